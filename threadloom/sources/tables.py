@@ -91,11 +91,28 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("fallback_applied"),
         (key % 250).cast("bigint").alias("compiler_latency_ms"),
         (800 + key % 4000).cast("bigint").alias("model_latency_ms"),
-        F.when(key % 13 != 0, 300 + key % 500).cast("bigint").alias("output_tokens"),
+        F.when(key % 13 != 0, 300 + key % 500).cast("bigint").alias("provider_output_tokens"),
+        F.when(key % 13 != 0, 400 + key % 700).cast("bigint").alias("provider_input_tokens"),
+        F.when(key % 6 == 0, F.lit(100)).cast("bigint").alias("cache_creation_tokens"),
+        F.when(key % 6 == 0, key % 400).cast("bigint").alias("cache_read_tokens"),
         F.when(key % 4 != 0, full + key % 90).cast("bigint").alias("full_estimate_tokens"),
+        (key % 50).alias("saved_omission"),
+        (key % 20).alias("saved_memory"),
+        (key % 30).alias("saved_compression"),
+        (key % 10).alias("saved_deduplication"),
+        F.when(key % 12 == 0, "flagged by the evaluator").alias("quality_warning"),
+        F.concat(F.lit('{"compilation":{"tokenCount":{"latencyMs":'), (key % 90).cast("string"), F.lit("}}}")).alias("trace_json"),
+        F.when(key % 10 == 0, _benchmark(key)).alias("benchmark_json"),
     )
 
 
+def _benchmark(key):
+    """Two measured sides; every third document lost its baseline."""
+    own = F.concat(F.lit('"optimized":{"modelLatencyMs":'), (500 + key % 900).cast("string"), F.lit("}}"))
+    full = F.concat(F.lit('{"full":{"modelLatencyMs":'), (900 + key % 1500).cast("string"), F.lit("},"))
+    return F.concat(F.when(key % 3 == 0, '{"full":null,').otherwise(full), own)
+
+
 ATTEMPT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
@@ -107,6 +124,7 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "expanded").when(F.col("l_returnflag") == "R", "regenerated").otherwise("optimized").alias("level"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("passed"),
         (F.col("l_quantity").cast("bigint") * 100).alias("context_tokens"),
+        F.when(F.col("l_suppkey") % 10 != 0, F.col("l_quantity").cast("bigint") * 5).alias("output_tokens"),
     )
 
 
@@ -131,3 +149,16 @@ def utility_calls(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_id") % 9 == 0, "mystery-model").otherwise("claude-haiku-4-5").alias("model"),
         (200 + F.col("event_id") % 700).cast("bigint").alias("latency_ms"),
     )
+
+
+def run_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Internal calls that belong to the runs of :func:`runs`, one per order line."""
+    line = F.col("l_linenumber")
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"),
+        F.when(line % 3 == 0, "evaluation").when(line % 3 == 1, "semantic_retrieval").otherwise("compression").alias("kind"),
+        F.when(F.col("l_partkey") % 17 == 0, 0).otherwise(1).alias("ok"),
+        F.when(F.col("l_partkey") % 17 != 0, F.col("l_quantity").cast("bigint") * 30).alias("input_tokens"),
+        F.when(F.col("l_partkey") % 17 != 0, F.col("l_quantity").cast("bigint") * 4).alias("output_tokens"),
+        F.when(F.col("l_suppkey") % 29 == 0, "mystery-model").otherwise("claude-haiku-4-5").alias("model"),
+    )
