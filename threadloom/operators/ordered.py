@@ -79,6 +79,17 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], position: Colum
     return rows.withColumn("_span", span_of(position)).join(spread, [*keys, "_span"], how).drop("_span")
 
 
+def attach_present(rows: DataFrame, facts: DataFrame, keys: list[str], position: Column, how: str = "left") -> DataFrame:
+    """Join facts (one row per key) to many rows per key when the keys are too many to repeat per span.
+
+    A fact is repeated only for the spans in which its key occurs, so the copies
+    never exceed the rows they serve, and a hot key spreads over its spans.
+    """
+    spanned = rows.withColumn("_span", span_of(position))
+    spread = spanned.select(*keys, "_span").distinct().join(facts, keys)
+    return spanned.join(spread, [*keys, "_span"], how).drop("_span")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the reliable checkpoint folder and continue from there."""
     use_checkpoint_folder(df.sparkSession)

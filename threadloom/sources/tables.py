@@ -64,6 +64,46 @@ def order_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def service_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Dated one-line logs, tool output, longer prose and repeated questions, one message per event.
+
+    Together with the rules they trigger every route: templates, events, copies, summaries and memory.
+    """
+    df = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    df = df.withColumn("_minute", F.date_trunc("minute", "ts"))
+    df = ordered.positions(df, ["user_id"], ["_minute"], ["ts", "event_id"])
+    kind, k = F.col("event_type"), _number().cast("bigint")
+    number = k.cast("string")
+    text = (
+        F.when((kind == "error") & (k % 3 == 0), F.concat(F.lit("2024-01-05T10:00:0"), (k % 10).cast("string"), F.lit(" ERROR PAYMENT_DECLINED gateway "), number))
+        .when((kind == "error") & (k % 3 == 1), F.concat(F.lit("2024-01-05 10:00:00 ERROR socket "), number, F.lit(" closed after GatewayException")))
+        .when(kind == "error", F.concat(F.lit("exit code 1\nworker-"), number, F.lit(" reported GatewayException")))
+        .when((kind == "click") & (k % 2 == 0), "Which of those errors came first?")
+        .when(kind == "click", F.concat(F.lit("Why does the gateway decline payment batch "), number, F.lit("?")))
+        .when(
+            (kind == "view") & (k % 2 == 0),
+            F.concat(
+                F.lit("The gateway declined payment batch "), number, F.lit(". The upstream bank closed the socket early that morning. "),
+                F.lit("Nobody changed the routing table before the incident. The on-call engineer restarted the relay twice. "),
+                F.lit("Customers saw a delayed confirmation page. The payment queue drained within "), number, F.lit(" minutes."),
+            ),
+        )
+        .when(kind == "view", "Traffic is steady today across the whole region.")
+        .when((kind == "purchase") & (k % 2 == 0), F.concat(F.lit("We decided to use MySQL "), (5 + k % 4).cast("string"), F.lit(" for the payment ledger because the bank asked for it.")))
+        .when(kind == "purchase", F.concat(F.lit("The retry limit is "), (k % 4).cast("string"), F.lit(".")))
+        .when(k % 5 == 0, "Never print card numbers in reports.")
+        .when(k % 5 == 1, "I prefer short answers with bullet points.")
+        .otherwise("Thanks, that gateway note helps a lot.")
+    )
+    return df.select(
+        F.col("user_id").alias("conv_id"),
+        (F.col("pos") + 1).alias("turn"),
+        "pos",
+        F.when(kind == "view", "assistant").when((kind == "signup") & (k % 10 == 0), "system").otherwise("user").alias("role"),
+        text.alias("text"),
+    )
+
+
 ORDER_MESSAGE_OFFSET = 1_000_000_000
 
 
