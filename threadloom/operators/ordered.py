@@ -75,8 +75,8 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], position: Colum
     The facts are repeated once per span of 4096 positions, so the rows of one
     hot key spread over many join keys; ``upto`` is the last position needed.
     """
-    spread = per_key.withColumn("_span", F.explode(F.sequence(F.lit(0).cast("bigint"), span_of(F.greatest(upto, F.lit(0))))))
-    return rows.withColumn("_span", span_of(position)).join(spread, [*keys, "_span"], how).drop("_span")
+    spread = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), span_of(F.greatest(upto, F.lit(0))))))
+    return rows.withColumn("_part", span_of(position)).join(spread, [*keys, "_part"], how).drop("_part")
 
 
 def attach_present(rows: DataFrame, facts: DataFrame, keys: list[str], position: Column, how: str = "left") -> DataFrame:
@@ -85,9 +85,9 @@ def attach_present(rows: DataFrame, facts: DataFrame, keys: list[str], position:
     A fact is repeated only for the spans in which its key occurs, so the copies
     never exceed the rows they serve, and a hot key spreads over its spans.
     """
-    spanned = rows.withColumn("_span", span_of(position))
-    spread = spanned.select(*keys, "_span").distinct().join(facts, keys)
-    return spanned.join(spread, [*keys, "_span"], how).drop("_span")
+    spanned = rows.withColumn("_part", span_of(position))
+    spread = spanned.select(*keys, "_part").distinct().join(facts, keys)
+    return spanned.join(spread, [*keys, "_part"], how).drop("_part")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
