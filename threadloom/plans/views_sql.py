@@ -127,3 +127,27 @@ run_costs AS (
   FROM (SELECT r.*, coalesce(c.optimizer, 0) AS optimizer, coalesce(a.waste, 0) AS waste, a.generation, coalesce(a.attempts, 0) AS attempts,
       r.count_source = 'provider_count' AND coalesce(c.unpriced, 0) = 0 AND coalesce(a.unpriced, 0) = 0 AND r.gross_input_savings_usd IS NOT NULL AS known
     FROM run_economics r LEFT JOIN call_costs c USING (run_id) LEFT JOIN attempt_costs a USING (run_id)))"""
+
+SERVICE_MESSAGES = f"""service_events AS (
+  SELECT *, {_K} AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+service_messages AS (
+  SELECT user_id AS conv_id, turn, turn - 1 AS pos,
+    CASE WHEN event_type = 'view' THEN 'assistant' WHEN event_type = 'signup' AND k % 10 = 0 THEN 'system' ELSE 'user' END AS role,
+    CASE
+      WHEN event_type = 'error' AND k % 3 = 0 THEN concat('2024-01-05T10:00:0', k % 10, ' ERROR PAYMENT_DECLINED gateway ', k)
+      WHEN event_type = 'error' AND k % 3 = 1 THEN concat('2024-01-05 10:00:00 ERROR socket ', k, ' closed after GatewayException')
+      WHEN event_type = 'error' THEN concat('exit code 1', chr(10), 'worker-', k, ' reported GatewayException')
+      WHEN event_type = 'click' AND k % 2 = 0 THEN 'Which of those errors came first?'
+      WHEN event_type = 'click' THEN concat('Why does the gateway decline payment batch ', k, '?')
+      WHEN event_type = 'view' AND k % 2 = 0 THEN concat('The gateway declined payment batch ', k, '. The upstream bank closed the socket early that morning. Nobody changed the routing table before the incident. The on-call engineer restarted the relay twice. Customers saw a delayed confirmation page. The payment queue drained within ', k, ' minutes.')
+      WHEN event_type = 'view' THEN 'Traffic is steady today across the whole region.'
+      WHEN event_type = 'purchase' AND k % 2 = 0 THEN concat('We decided to use MySQL ', 5 + k % 4, ' for the payment ledger because the bank asked for it.')
+      WHEN event_type = 'purchase' THEN concat('The retry limit is ', k % 4, '.')
+      WHEN k % 5 = 0 THEN 'Never print card numbers in reports.'
+      WHEN k % 5 = 1 THEN 'I prefer short answers with bullet points.'
+      ELSE 'Thanks, that gateway note helps a lot.' END AS text
+  FROM service_events)"""
+
+LATEST = """latest AS (
+  SELECT conv_id, turn AS req_turn, pos AS n, text AS request FROM messages WHERE role = 'user' AND pos > 0
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1)"""
