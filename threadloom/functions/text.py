@@ -38,6 +38,11 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside ``body``, also from nested lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_round(x: Column, digits: int) -> Column:
     """Round half up at the given digit, also for negative numbers."""
     k = 10.0**digits
@@ -195,19 +200,23 @@ def key_terms(c: Column) -> Column:
         ),
         lambda p: p["term"].isNotNull(),
     )
-    seen = tagged.getField("term")
-    fresh = F.filter(tagged, lambda p, i: F.array_position(seen, p["term"]) == i + 1)
-    return F.slice(fresh.getField("word"), 1, V.MAX_KEY_TERMS)
+
+    def first_seen(pairs):
+        return let(pairs.getField("term"), lambda seen: F.filter(pairs, lambda p, i: F.array_position(seen, p["term"]) == i + 1))
+
+    return F.slice(let(tagged, first_seen).getField("word"), 1, V.MAX_KEY_TERMS)
 
 
 # T16, T19 ------------------------------------------------------------------
 def is_follow_up(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(strip(c)), "’", "'")
-    n = word_count(t)
-    hit = None
-    for p in V.FOLLOW_UP_PATTERNS:
-        hit = match(t, p) if hit is None else hit | match(t, p)
-    return (n > 0) & (n <= V.FOLLOW_UP_MAX_WORDS) & hit
+    def test(t):
+        n = word_count(t)
+        hit = F.lit(False)
+        for p in V.FOLLOW_UP_PATTERNS:
+            hit = hit | match(t, p)
+        return (n > 0) & (n <= V.FOLLOW_UP_MAX_WORDS) & hit
+
+    return let(F.regexp_replace(F.lower(strip(c)), "’", "'"), test)
 
 
 def mentions_recall(c: Column) -> Column:
@@ -275,8 +284,6 @@ def detect_reference(ws: Column) -> Column:
         h = head(i)
         return F.when(w["deictic"] & h.isNotNull(), F.struct(i.alias("from"), h.alias("to")))
 
-    pointing = F.get(F.array_compact(F.transform(ws, demonstrative)), F.lit(0))
-
     def flagged(i, field):
         return F.coalesce(F.when(i >= 0, F.get(ws, i)[field]), F.lit(False))
 
@@ -288,20 +295,21 @@ def detect_reference(ws: Column) -> Column:
             F.struct(i.alias("at"), F.coalesce(begin, i).alias("from"), (i + F.when(after, 1).otherwise(0)).alias("to")),
         )
 
-    relative = F.get(F.array_compact(F.transform(ws, back_or_after)), F.lit(0))
-    joined = F.array_join(ws.getField("w"), " ")
-    return (
-        F.when(
-            pointing.isNotNull(),
-            _reference(F.get(ws, pointing["to"])["kind"], F.get(ws, pointing["to"])["w"], _phrase(ws, pointing["from"], pointing["to"] - pointing["from"] + 1)),
-        )
-        .when(
-            relative.isNotNull(),
-            _reference(F.get(ws, relative["at"])["kind"], F.get(ws, relative["at"])["w"], _phrase(ws, relative["from"], relative["to"] - relative["from"] + 1)),
-        )
-        .when(match(joined, V.WHY_FAILING), _reference(F.lit("error"), extract(joined, V.WHY_FAILING, 1), extract(joined, V.WHY_FAILING, 0)))
-        .when(match(joined, V.WHAT_HAPPENED), _reference(F.lit("any"), F.lit("this"), extract(joined, V.WHAT_HAPPENED, 0)))
+    def named(at, first, last):
+        return _reference(F.get(ws, at)["kind"], F.get(ws, at)["w"], _phrase(ws, first, last - first + 1))
+
+    def first_hit(fn):
+        return F.get(F.array_compact(F.transform(ws, fn)), F.lit(0))
+
+    pointing = let(first_hit(demonstrative), lambda h: F.when(h.isNotNull(), named(h["to"], h["from"], h["to"])))
+    relative = let(first_hit(back_or_after), lambda h: F.when(h.isNotNull(), named(h["at"], h["from"], h["to"])))
+    phrased = let(
+        F.array_join(ws.getField("w"), " "),
+        lambda t: F.when(match(t, V.WHY_FAILING), _reference(F.lit("error"), extract(t, V.WHY_FAILING, 1), extract(t, V.WHY_FAILING, 0))).when(
+            match(t, V.WHAT_HAPPENED), _reference(F.lit("any"), F.lit("this"), extract(t, V.WHAT_HAPPENED, 0))
+        ),
     )
+    return F.coalesce(pointing, relative, phrased)
 
 
 # T18 -----------------------------------------------------------------------

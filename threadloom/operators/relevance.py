@@ -91,11 +91,14 @@ def _prefix(t: Column) -> Column:
 
 def _matches(query: Column, doc: Column) -> Column:
     """Query terms that match the document. Two matching terms share their first five
-    characters, so most documents are settled by one set intersection."""
+    characters, so one set intersection leaves few terms to compare."""
+
+    def near_terms(shared):
+        near = F.filter(doc, lambda d: F.array_contains(shared, _prefix(d)))
+        return F.when(F.size(shared) == 0, F.array().cast("array<string>")).otherwise(near)
+
     shared = F.array_intersect(F.transform(query, _prefix), F.transform(doc, _prefix))
-    near = F.filter(doc, lambda d: F.array_contains(shared, _prefix(d)))
-    none = F.array().cast("array<string>")
-    return F.when(F.size(shared) == 0, none).otherwise(T.matched_terms(query, near))
+    return T.let(T.let(shared, near_terms), lambda near: T.matched_terms(query, near))
 
 
 def query_terms(requests: DataFrame, hist: DataFrame) -> DataFrame:
