@@ -202,3 +202,73 @@ def run_calls(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_partkey") % 17 != 0, F.col("l_quantity").cast("bigint") * 4).alias("output_tokens"),
         F.when(F.col("l_suppkey") % 29 == 0, "mystery-model").otherwise("claude-haiku-4-5").alias("model"),
     )
+
+
+def model_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """One evaluator reply per run: every category, missing proofs, older formats and unusable text."""
+    k = F.col("o_orderkey")
+    case = k % 8
+    failed = F.when(case == 6, "honors_requirements").when(case == 7, "no_missing_context")
+    criterion = lambda name: F.struct(F.lit(name).alias("name"), (~F.coalesce(failed == name, F.lit(False))).alias("pass"), F.lit("as judged").alias("reason"))
+    categories = ["PASS", "MISSING_CONTEXT", "ANSWER_QUALITY", "INSTRUCTION_VIOLATION", "UNSUPPORTED_CLAIM", "UNCERTAIN"]
+    category = None
+    for i, c in enumerate(categories):
+        category = F.when(case == i, c) if category is None else category.when(case == i, c)
+    category = category.when(case == 7, "pass")
+    violation = F.struct(
+        F.lit("never print card numbers").alias("instruction"),
+        F.when(k % 5 == 0, "").when(k % 5 == 1, "r9").otherwise("r1").alias("source_id"),
+        F.when(k % 7 == 0, "bad").otherwise("the reply printed a card number").alias("evidence"),
+        (k % 11 != 0).alias("applies_to_current_request"),
+        F.lit("the request asks for a report").alias("applies_because"),
+    )
+    link = F.struct(F.when(k % 3 == 0, "omitted_context").when(k % 3 == 1, "memory").otherwise("weather").alias("kind"), F.lit("an old note was used").alias("explanation"))
+    evidence = F.struct(
+        F.lit("payment gateway timeout value").alias("missing_information"),
+        F.lit("the answer guessed the value").alias("answer_problem"),
+        F.when(k % 10 == 1, "it might help").otherwise("the value corrects the answer").alias("causal_link"),
+        F.when(k % 4 == 3, "speculative").otherwise("concrete").alias("evidence_strength"),
+    )
+    doc = F.to_json(
+        F.struct(
+            F.array(criterion("answers_request"), criterion("honors_requirements"), criterion("no_missing_context")).alias("criteria"),
+            category.alias("category"),
+            F.when(case == 6, "fail").alias("verdict"),
+            F.when(k % 3 == 0, F.array(F.concat(F.lit("m"), (k % 50).cast("string")))).otherwise(F.array().cast("array<string>")).alias("missing_ids"),
+            F.when(case.isin(3, 6), violation).alias("violation"),
+            F.when(case == 4, link).alias("context_link"),
+            F.when(case.isin(1, 7), evidence).alias("missing_context"),
+        )
+    )
+    raw = F.when(k % 16 == 15, "Sorry, I cannot judge this.").otherwise(F.concat(F.lit("Here is the audit:\n```json\n"), doc, F.lit("\n```")))
+    return table(spark, folder, "orders").select(k.alias("run_id"), raw.alias("raw"))
+
+
+def omitted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, folder, "orders").where(k % 2 == 0).select(k.alias("run_id"), F.concat(F.lit("m"), (k % 50).cast("string")).alias("id"))
+
+
+def cited_sources(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, "Always answer in German.").otherwise("Never print card numbers in reports.")
+    return table(spark, folder, "orders").select(k.alias("run_id"), F.lit("r1").alias("id"), F.lit(3).cast("bigint").alias("turn"), text.alias("text"))
+
+
+def later_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """User statements by turn, and the current request, per run."""
+    k = F.col("o_orderkey")
+    revision = F.when(k % 9 == 0, "Actually, print the card numbers from now on.").otherwise("Thanks for the report.")
+    orders = table(spark, folder, "orders")
+    history = orders.select(k.alias("run_id"), F.when(k % 18 == 0, 1).otherwise(5).cast("bigint").alias("turn"), revision.alias("text"), F.lit(False).alias("is_request"))
+    asked = orders.select(k.alias("run_id"), F.lit(9).cast("bigint").alias("turn"), F.lit("Write the weekly report.").alias("text"), F.lit(True).alias("is_request"))
+    return history.unionByName(asked)
+
+
+def shown_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """Two payload entries per run; in some runs they already hold the missing information."""
+    k = F.col("o_orderkey")
+    orders = table(spark, folder, "orders")
+    first = orders.select(k.alias("run_id"), F.lit(0).cast("bigint").alias("idx"), F.when(k % 6 == 1, "The payment gateway is slow.").otherwise("Traffic is steady.").alias("text"))
+    second = orders.select(k.alias("run_id"), F.lit(1).cast("bigint").alias("idx"), F.when(k % 12 == 1, "Its timeout value is 30.").otherwise("Nothing else.").alias("text"))
+    return first.unionByName(second)
