@@ -115,10 +115,15 @@ def rule_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run ledger: estimated and counted, unpriced and bypassed runs."""
+    return run_rows(table(spark, folder, "orders"))
+
+
+def run_rows(orders: DataFrame) -> DataFrame:
+    """The run ledger as a projection of orders, also on a stream."""
     key = F.col("o_orderkey")
     full = (1000 + key % 9000).cast("bigint")
     bypassed = key % 3 == 0
-    return table(spark, folder, "orders").select(
+    return orders.select(
         key.alias("run_id"),
         F.col("o_custkey").alias("conversation_id"),
         F.col("o_orderdate").alias("created_at"),
