@@ -16,15 +16,15 @@ MESSAGE_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
 # Bounds one micro-batch, and with it what a stateful function gathers for one key.
-BATCH_BYTES = "2g"
+BATCH_BYTES = 2_000_000_000
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, batch_bytes: str = BATCH_BYTES) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, pattern: str, schema, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxBytesPerTrigger", batch_bytes)
     return reader.parquet(folder)
 
 
-def message_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", batch_bytes: str = BATCH_BYTES) -> DataFrame:
+def message_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Message files of a folder as a stream (IO14)."""
     return file_stream(spark, folder, pattern, MESSAGE_SCHEMA, batch_bytes)
 
