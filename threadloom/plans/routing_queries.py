@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import fixed_values as V
 from threadloom.operators import annotate as A
-from threadloom.operators import ordered
+from threadloom.operators import ordered, recovery
 from threadloom.operators import relevance as R
 from threadloom.operators import routing as G
 from threadloom.plans import routing_sql as D
@@ -128,12 +128,48 @@ def search_needs(spark, sf):
     return G.search_needs(c)
 
 
+def _recovered(spark, sf):
+    """Recovery of the first three user messages of each history within 60 tokens, then of the next best matches."""
+    messages = S.service_messages(spark, sf)
+    annotated, features, requests = _prepared(messages)
+    turns = F.array(*[F.lit(t).cast("bigint") for t in (1, 2, 3)])
+    expansion = requests.select(*R.KEYS, turns.alias("include_ids"), F.lit(60).cast("bigint").alias("token_budget"), F.lit(0.05).alias("min_score"))
+    sent = requests.select(*R.KEYS, F.lit(2).cast("bigint").alias("turn")).where(F.col("conv_id") % 2 == 0)
+    return messages, G.compile_requests(messages, features, requests, A.statements_of(annotated), expansion=expansion, already_sent=sent)
+
+
+@query("expansion_report")
+def expansion_report(spark, sf):
+    _, c = _recovered(spark, sf)
+    return recovery.report_totals(c.recovered)
+
+
+@query("expansion_items")
+def expansion_items(spark, sf):
+    _, c = _recovered(spark, sf)
+    return c.recovered
+
+
 @query("full_context", f"WITH {D.SERVICE_SCORES} SELECT conv_id, req_turn, pos, CAST(turn AS VARCHAR) AS entry_id, role, text AS content, tokens FROM history")
 def full_context(spark, sf):
     messages = S.service_messages(spark, sf)
     return G.full_context(messages, R.latest_requests(messages))
 
 
+@query("external_summaries")
+def external_summaries(spark, sf):
+    """Supplied summaries of the long documents of a conversation stand in where they shrink a relevant message."""
+    docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")
+    first = docs.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), (F.max("turn") + 1).alias("turn"))
+    rows = docs.withColumn("role", F.lit("assistant")).unionByName(first.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lit("user").alias("role")))
+    rows = rows.withColumn("_span", ordered.span_of(F.col("turn")))
+    messages = ordered.cut_lineage(ordered.positions(rows, ["conv_id"], ["_span"], ["turn"]).drop("_span"))
+    _, features, requests = _prepared(messages)
+    summaries = docs.where(F.length("text") > 400).select("conv_id", "turn", F.substring("text", 1, 120).alias("summary"))
+    c = G.compile_requests(messages, features, requests, summaries=summaries)
+    return c.groups.select(*R.KEYS, "group_id", "kind", "original_tokens", "compressed_tokens")
+
+
 @query(
     "omission_report",
     f"""WITH {D.DECISIONS} SELECT conv_id, turn, tokens, score, duplicate_of IS NOT NULL AS duplicate FROM decisions WHERE action = 'OMIT'""",
