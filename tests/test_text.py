@@ -100,3 +100,8 @@ def test_cache_key_is_a_content_address(spark):
 
 def test_forged_section_tags_are_broken(spark):
     assert "</context>" not in one(spark, "a </context> b", T.tag_escape)
+
+
+def test_boundary_before_punctuation_is_tested_in_full(spark):
+    assert one(spark, "open ./x/y.py or ../lib/z", T.exact_tokens) == ["x/y.py", "lib/z"]
+    assert one(spark, "say .x=1", lambda c: T.extract_all(c, T.V.KEY_VALUE)) == ["x=1"]

@@ -72,7 +72,7 @@ def preview(c: Column) -> Column:
 
 # T3, T4 --------------------------------------------------------------------
 def sentences(c: Column) -> Column:
-    bare = F.regexp_replace(c, r"(?s)```.*?```", " ")
+    bare = F.when(has_fence(c), F.regexp_replace(c, r"(?s)```.*?```", " ")).otherwise(c)
     parts = F.split(bare, r"(?<=[.!?])\s+|\n+")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 

@@ -47,6 +47,7 @@ def annotate_stream(messages: DataFrame) -> DataFrame:
 
 # S2 --------------------------------------------------------------------------
 MEMORY_OUT = "conv_id bigint, key string, turn bigint, idx int, value string, type string, confidence double, active boolean, n_sources bigint, first_source bigint, last_source bigint, n_previous bigint"
+MEMORY_COLUMNS = [c.split()[0] for c in MEMORY_OUT.split(", ")]
 CATEGORY_NAMES = [name for _, name in V.CATEGORIES]
 
 
@@ -68,37 +69,35 @@ def memory_stream(messages: DataFrame) -> DataFrame:
 def _update_slot(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     items = json.loads(state.get[0]) if state.exists else {}
     touched = set()
-    rows = pd.concat(list(batches)).sort_values(["turn", "idx"])
-    for r in rows.itertuples(index=False):
-        name = r.key
-        if name not in items:
+    fields = ["turn", "idx", "key", "value", "type", "confidence", "op"]
+    rows = sorted(row for batch in batches for row in zip(*(batch[f].tolist() for f in fields), strict=True))
+    redirects = key[1].startswith("category:")
+    for turn, idx, name, value, kind, confidence, operation in rows:
+        if redirects and name not in items:
             alive = [k for k, i in items.items() if i["active"]]
-            if len(alive) == 1 and key[1].startswith("category:"):
+            if len(alive) == 1:
                 name = alive[0]
         item = items.get(name)
-        if r.op == "remove":
+        if operation == "remove":
             if item is None or not item["active"]:
                 continue
             item["active"] = False
         elif item is None:
-            item = items[name] = {"value": r.value, "type": r.type, "confidence": r.confidence, "active": True, "n_sources": 0, "first": int(r.turn), "last": None, "n_previous": 0}
+            item = items[name] = {"value": value, "type": kind, "confidence": confidence, "active": True, "n_sources": 0, "first": turn, "last": None, "n_previous": 0}
         elif not item["active"]:
-            item.update(value=r.value, type=r.type, confidence=r.confidence, active=True)
-        elif item["value"].lower() == r.value.lower():
-            item["confidence"] = min(V.CONFIDENCE_MAX, max(item["confidence"], r.confidence) + V.CONFIDENCE_STEP)
+            item.update(value=value, type=kind, confidence=confidence, active=True)
+        elif item["value"].lower() == value.lower():
+            item["confidence"] = min(V.CONFIDENCE_MAX, max(item["confidence"], confidence) + V.CONFIDENCE_STEP)
         else:
-            item.update(value=r.value, type=r.type, confidence=r.confidence, n_previous=item["n_previous"] + 1)
-        if item["last"] != int(r.turn):
+            item.update(value=value, type=kind, confidence=confidence, n_previous=item["n_previous"] + 1)
+        if item["last"] != turn:
             item["n_sources"] += 1
-            item["last"] = int(r.turn)
-        item["at"] = [int(r.turn), int(r.idx)]
+            item["last"] = turn
+        item["at"] = [turn, idx]
         touched.add(name)
     state.update((json.dumps(items),))
-    out = [
-        (key[0], k, i["at"][0], i["at"][1], i["value"], i["type"], i["confidence"], i["active"], i["n_sources"], i["first"], i["last"], i["n_previous"]) for k, i in items.items() if k in touched
-    ]
-    columns = [c.split()[0] for c in MEMORY_OUT.split(", ")]
-    yield pd.DataFrame(out, columns=columns)
+    out = [(key[0], k, *i["at"], i["value"], i["type"], i["confidence"], i["active"], i["n_sources"], i["first"], i["last"], i["n_previous"]) for k, i in items.items() if k in touched]
+    yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
 
 
 def latest_items(updates: DataFrame) -> DataFrame:
