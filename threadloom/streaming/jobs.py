@@ -58,7 +58,7 @@ def memory_stream(messages: DataFrame) -> DataFrame:
     key, or one category whose keys can redirect to each other. It holds the items
     of the slot; source messages are counted, not listed.
     """
-    said = annotate.annotate(messages).where(F.col("role") != "assistant").select("conv_id", "turn", F.posexplode("statements").alias("idx", "s")).select("conv_id", "turn", "idx", "s.*")
+    said = annotate.statements_of(annotate.annotate(messages))
     key = T.canonical_key(F.col("key"))
     named = said.withColumn("key", F.when(key != "", key).otherwise(F.col("key")))
     last = F.element_at(F.split("key", "_"), -1)
