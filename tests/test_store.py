@@ -37,7 +37,7 @@ def test_ledger_batch_can_be_written_twice(spark, tmp_path):
         "run_id bigint, attempts array<struct<level:string,passed:int>>, calls array<struct<kind:string>>, decisions array<struct<message_id:bigint,action:string>>",
     )
     for _ in range(2):
-        D.write_run_ledger(runs, str(tmp_path), "7")
+        D.write_run_ledger(D.ledger_tables(runs), str(tmp_path), "7")
     assert {t: spark.read.parquet(f"{tmp_path}/{t}").count() for t in D.ledger_tables(runs)} == dict.fromkeys(D.ledger_tables(runs), 1)
 
 

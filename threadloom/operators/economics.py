@@ -1,5 +1,7 @@
 """Prices, sizes, savings and the optimise-or-bypass decision as column rules."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,13 +82,15 @@ def expected_eval_usage(calls: DataFrame, order: Column) -> DataFrame:
 # E4 --------------------------------------------------------------------------
 def expected_eval_cost(expected: DataFrame, utility_model: str, prices: DataFrame) -> DataFrame:
     """One row: expected cost of one validation call; NULL when the utility model is unpriced."""
-    priced = with_price(expected.withColumn("_model", F.lit(utility_model)), prices, "_model")
-    return priced.select(
+    alias = re.sub(r"-\d{8}$", "", utility_model)
+    known = prices.where(F.col("model").isin(utility_model, alias))
+    price = known.agg(F.max_by(F.struct("input", "output"), F.col("model") == utility_model).alias("p")).scalar()
+    return expected.withColumn("_p", price).select(
         "samples",
         "source",
         "input_tokens",
         "output_tokens",
-        ((F.col("input_tokens") * F.col("price.input") + F.col("output_tokens") * F.col("price.output")) / MILLION).alias("eval_cost_usd"),
+        ((F.col("input_tokens") * F.col("_p.input") + F.col("output_tokens") * F.col("_p.output")) / MILLION).alias("eval_cost_usd"),
     )
 
 
@@ -174,17 +178,21 @@ def run_costs(runs: DataFrame, attempts: DataFrame, calls: DataFrame, prices: Da
             F.count_if(F.col("input_tokens").isNotNull() & F.col("_cost").isNull()).alias("_calls_unpriced"),
         )
     )
-    models = runs.select("run_id", "model")
-    paid_attempts = with_price(attempts.join(models, "run_id"), prices).withColumn(
-        "_cost", F.when(F.col("output_tokens").isNotNull(), usage_cost(inputs=F.col("context_tokens"), outputs=F.col("output_tokens")))
+    # a run has one model, so its attempts are summed as tokens and priced once per run
+    billed = F.col("output_tokens").isNotNull()
+    parts = F.struct(F.when(billed, F.col("context_tokens")).otherwise(0).alias("i"), F.coalesce("output_tokens", F.lit(0)).alias("o"), billed.cast("int").alias("b"))
+    sums = attempts.withColumn("_a", parts).groupBy("run_id").agg(
+        F.sum("_a.i").alias("_i"), F.sum("_a.o").alias("_o"), F.sum("_a.b").alias("_b"), F.max_by("_a", at).alias("_last"), F.count("*").alias("attempts")
     )
-    unpriced = (F.col("_cost").isNull() & F.col("output_tokens").isNotNull()).cast("int")
-    spent = F.coalesce("_cost", F.lit(0.0))
-    waste = paid_attempts.groupBy("run_id").agg(
-        (F.sum(spent) - F.max_by(spent, at)).alias("_waste"),
-        (F.sum(unpriced) - F.max_by(unpriced, at)).alias("_attempts_unpriced"),
-        F.sum("_cost").alias("generation_cost_usd"),
-        F.count("*").alias("attempts"),
+    priced = with_price(runs.select("run_id", "model").join(sums, "run_id"), prices)
+    total = F.col("_i") * F.col("price.input") / MILLION + F.col("_o") * F.col("price.output") / MILLION
+    last = F.col("_last.i") * F.col("price.input") / MILLION + F.col("_last.o") * F.col("price.output") / MILLION
+    waste = priced.select(
+        "run_id",
+        F.coalesce(total - last, F.lit(0.0)).alias("_waste"),
+        F.when(F.col("price").isNull(), F.col("_b") - F.col("_last.b")).otherwise(0).alias("_attempts_unpriced"),
+        F.when(F.col("_b") > 0, total).alias("generation_cost_usd"),
+        "attempts",
     )
     zero = F.lit(0)
     joined = run_economics(runs, prices).join(paid_calls, "run_id", "left").join(waste, "run_id", "left")

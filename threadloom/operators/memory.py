@@ -235,7 +235,7 @@ def memory_block(items: DataFrame, keys: list[str] = CONV) -> DataFrame:
     sizes = sizes.select(*keys, "n_items", "line_tokens", block_tokens(F.col("_chars"), F.col("n_items")).alias("block_tokens"))
     small = sizes.where(F.col("block_tokens") <= V.MAX_REQUEST_TOKENS).select(*keys)
     body = (
-        lines.join(small, keys, "left_semi")
+        ordered.attach_present(lines, small, keys, F.col("created_at.turn"), "inner")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("created_at", "line"))).alias("ls"))
         .select(*keys, F.concat(F.lit(V.MEMORY_BLOCK_HEADER + "\n"), F.array_join(F.col("ls").getField("line"), "\n")).alias("block"))

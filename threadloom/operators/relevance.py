@@ -55,12 +55,6 @@ def latest_requests(messages: DataFrame) -> DataFrame:
     return last.select("conv_id", F.col("r.turn").alias("req_turn"), F.col("r.pos").alias("n"), F.col("r.text").alias("request"))
 
 
-def every_request(messages: DataFrame) -> DataFrame:
-    """All user messages with a history, for jobs that only need prefix totals."""
-    asked = messages.where((F.col("role") == "user") & (F.col("pos") > 0))
-    return asked.select("conv_id", F.col("turn").alias("req_turn"), F.col("pos").alias("n"), F.col("text").alias("request"))
-
-
 def request_features(requests: DataFrame) -> DataFrame:
     text = F.col("request")
     staged = requests.withColumns({"request_terms": T.terms(text), "important": T.important_terms(text), "_words": T.reference_words(text)})
@@ -181,7 +175,9 @@ def memory_scores(items: DataFrame, requests: DataFrame, weights: DataFrame, tot
     lent = weights.where("expansion").select(*KEYS, "n", "term", _prefix(F.col("term")).alias("_p"))
     own = rows.select(*KEYS, "key", at.alias("at"), F.explode("matched_own").alias("term"))
     words = rows.select(*KEYS, "key", at.alias("at"), F.explode("item_terms").alias("d")).withColumn("_p", _prefix(F.col("d")))
-    extra = words.join(lent.drop("n"), [*KEYS, "_p"]).where(T.term_match(F.col("term"), F.col("d"))).select(*KEYS, "key", "at", "term").distinct()
+    spread = lent.withColumn("_span", F.explode(F.sequence(F.lit(0).cast("bigint"), ordered.span_of(F.col("req_turn"))))).drop("n")
+    near = words.withColumn("_span", ordered.span_of(F.col("at"))).join(spread, [*KEYS, "_span", "_p"])
+    extra = near.where(T.term_match(F.col("term"), F.col("d"))).select(*KEYS, "key", "at", "term").distinct()
     facts = weights.withColumn("n", F.col("req_turn"))
     shared = overlap(own.unionByName(extra), facts, totals, "key", F.col("at")).drop("matched")
     size = F.size("item_terms")

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import fixed_values as V
 from threadloom.operators import annotate as A
+from threadloom.operators import memory as M
 from threadloom.operators import ordered, recovery
 from threadloom.operators import relevance as R
 from threadloom.operators import routing as G
+from threadloom.operators import verdicts as W
 from threadloom.plans import routing_sql as D
 from threadloom.plans import text_sql as X
 from threadloom.plans.registry import query
@@ -113,6 +115,36 @@ def context_checks(spark, sf):
     return checks.select("conv_id", "check", "failures", "passed")
 
 
+@query(
+    "memory_checks",
+    f"""WITH {D.ENTRIES}, r AS (SELECT conv_id, key, lower(value) AS v FROM memory_scores WHERE coverage > 0)
+SELECT r.conv_id, r.key, EXISTS (SELECT 1 FROM entries e WHERE e.conv_id = r.conv_id AND contains(lower(e.content), r.v))
+  OR EXISTS (SELECT 1 FROM memory_events s JOIN decisions d USING (conv_id, turn) WHERE s.conv_id = r.conv_id AND s.key = r.key AND s.change <> 'ignored' AND d.action IN ('KEEP', 'RETRIEVE', 'COMPRESS')) AS passed FROM r""",
+)
+def memory_checks(spark, sf):
+    messages = S.service_messages(spark, sf)
+    annotated, features, requests = _prepared(messages)
+    said = A.statements_of(annotated)
+    c = G.compile_requests(messages, features, requests, said)
+    events = M.memory_events(M.memory_before_requests(said, requests), R.KEYS)
+    sources = M.memory_sources(events, R.KEYS)
+    _, items = R.score(features, requests, ordered.cut_lineage(M.memory_items(events, R.KEYS)), sources)
+    entries = ordered.cut_lineage(G.payload_entries(c, messages))
+    return G.check_memory(c, items, sources, entries).select("conv_id", "key", "passed")
+
+
+@query(
+    "identifier_checks",
+    f"""WITH {D.ENTRIES}, i AS (SELECT DISTINCT conv_id, unnest(list_filter(list_transform(regexp_extract_all(request, {X.sql_quote(V.EXACT_TOKEN)}), lambda t: regexp_replace(t, '^`|`$', '', 'g')), lambda t: length(t) >= 3)) AS identifier FROM latest)
+SELECT i.conv_id, i.identifier, EXISTS (SELECT 1 FROM entries e WHERE e.conv_id = i.conv_id AND contains(lower(e.content), lower(i.identifier))) AS passed
+FROM i WHERE EXISTS (SELECT 1 FROM history h WHERE h.conv_id = i.conv_id AND contains(lower(h.text), lower(i.identifier)))""",
+)
+def identifier_checks(spark, sf):
+    messages, c = compiled(spark, sf)
+    entries = ordered.cut_lineage(G.payload_entries(c, messages))
+    return G.check_identifiers(c.requests, entries, messages).select("conv_id", "identifier", "passed")
+
+
 @query(
     "search_needs",
     f"""WITH {D.DECISIONS},
@@ -156,14 +188,28 @@ def full_context(spark, sf):
     return G.full_context(messages, R.latest_requests(messages))
 
 
-@query("external_summaries")
-def external_summaries(spark, sf):
-    """Supplied summaries of the long documents of a conversation stand in where they shrink a relevant message."""
+def _document_conversations(spark, sf):
+    """Documents as assistant messages of fifty conversations, each ending in a user request."""
     docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")
     first = docs.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), (F.max("turn") + 1).alias("turn"))
     rows = docs.withColumn("role", F.lit("assistant")).unionByName(first.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lit("user").alias("role")))
     rows = rows.withColumn("_span", ordered.span_of(F.col("turn")))
-    messages = ordered.cut_lineage(ordered.positions(rows, ["conv_id"], ["_span"], ["turn"]).drop("_span"))
+    return docs, ordered.cut_lineage(ordered.positions(rows, ["conv_id"], ["_span"], ["turn"]).drop("_span"))
+
+
+@query("summary_prompts")
+def summary_prompts(spark, sf):
+    _, messages = _document_conversations(spark, sf)
+    _, features, requests = _prepared(messages)
+    c = G.compile_requests(messages, features, requests)
+    wanted = c.decisions.where("summary_candidate").select(*R.KEYS, "turn")
+    return W.summary_prompts(wanted.join(messages.select("conv_id", "turn", "text"), ["conv_id", "turn"]))
+
+
+@query("external_summaries")
+def external_summaries(spark, sf):
+    """Supplied summaries of the long documents of a conversation stand in where they shrink a relevant message."""
+    docs, messages = _document_conversations(spark, sf)
     _, features, requests = _prepared(messages)
     summaries = docs.where(F.length("text") > 400).select("conv_id", "turn", F.substring("text", 1, 120).alias("summary"))
     c = G.compile_requests(messages, features, requests, summaries=summaries)

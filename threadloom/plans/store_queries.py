@@ -34,6 +34,16 @@ def read_messages(spark, sf):
     return D.read_messages(S.event_messages(spark, sf), 7).select("turn", "role", "text")
 
 
+@query(
+    "annotations_of",
+    f"""WITH {Q.CONVERSATIONS}, {X.annotated('messages')} SELECT m.conv_id, m.turn, n.content_type FROM messages m JOIN notes n USING (role, text) WHERE m.conv_id % 7 = 3""",
+)
+def annotations_of(spark, sf):
+    messages = S.conversation_messages(spark, sf)
+    stored = A.annotate(messages).select("conv_id", "turn", "content_type")
+    return D.annotations_of(stored, messages.where(F.col("conv_id") % 7 == 3))
+
+
 @query(
     "upsert_annotations",
     f"""WITH {Q.CONVERSATIONS}, {X.annotated('messages')} SELECT m.conv_id, m.turn, CASE WHEN m.turn % 2 = 0 THEN 'fact' ELSE n.content_type END AS content_type, CASE WHEN m.turn % 2 = 0 THEN 2 ELSE 1 END AS updated_at
@@ -109,19 +119,19 @@ UNION ALL SELECT 'utility_call', count(*), CAST(sum(input_tokens) AS BIGINT) FRO
 UNION ALL SELECT 'context_decision', count(*), CAST(sum(context_tokens) AS BIGINT) FROM attempts JOIN runs USING (run_id)""",
 )
 def run_ledger(spark, sf):
-    """Write the nested runs to the four ledger tables, in two batches, and read totals back."""
-    attempts = S.attempts(spark, sf)
-    calls = S.run_calls(spark, sf).groupBy("run_id").agg(F.collect_list(F.struct("kind", "ok", "input_tokens", "output_tokens", "model")).alias("calls"))
-    nested = attempts.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "level", "passed", "context_tokens"))).alias("attempts"),
-        F.collect_list(F.struct(F.col("at.l_partkey").alias("message_id"), F.lit("KEEP").alias("action"), F.col("context_tokens").alias("tokens"))).alias("decisions"),
-    )
-    runs = S.runs(spark, sf).join(nested, "run_id", "left").join(calls, "run_id", "left")
-    empty = {c: F.coalesce(c, F.array().cast(runs.schema[c].dataType)) for c in ("attempts", "decisions", "calls")}
-    runs = ordered.cut_lineage(runs.withColumns(empty))
+    """Write the runs and their rows to the four ledger tables, in two batches, and read totals back."""
+    runs = S.runs(spark, sf)
+    ids = runs.select("run_id")
+    attempts = S.attempts(spark, sf).join(ids, "run_id", "left_semi")
+    tables = {
+        "compiler_run": runs,
+        "run_attempt": attempts.select("run_id", "at.*", "level", "passed", "context_tokens"),
+        "utility_call": S.run_calls(spark, sf).join(ids, "run_id", "left_semi"),
+        "context_decision": attempts.select("run_id", F.col("at.l_partkey").alias("message_id"), F.lit("KEEP").alias("action"), F.col("context_tokens").alias("tokens")),
+    }
     folder = f"{ordered.use_checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}"
     for batch in (0, 1):
-        D.write_run_ledger(runs.where(F.col("run_id") % 2 == batch), folder, str(batch))
+        D.write_run_ledger({name: rows.where(F.col("run_id") % 2 == batch) for name, rows in tables.items()}, folder, str(batch))
     measure = {"compiler_run": "original_tokens", "run_attempt": "context_tokens", "utility_call": "input_tokens", "context_decision": "tokens"}
     parts = [spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("ledger"), F.count("*").alias("n"), F.sum(c).alias("total")) for name, c in measure.items()]
     out = parts[0]

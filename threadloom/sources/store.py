@@ -24,6 +24,12 @@ def list_conversations(conversations: DataFrame) -> DataFrame:
     return conversations.orderBy(F.desc("updated_at"), F.desc("conversation_id"))
 
 
+# J6 --------------------------------------------------------------------------
+def annotations_of(annotations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Stored annotations of the given messages."""
+    return annotations.join(messages.select("conv_id", "turn"), ["conv_id", "turn"])
+
+
 # IO3, IO4 --------------------------------------------------------------------
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], version: str, keep_first: list[str] | None = None) -> DataFrame:
     """Latest version of each key; columns in ``keep_first`` keep their earliest value."""
@@ -76,9 +82,9 @@ def ledger_tables(runs: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
-def write_run_ledger(runs: DataFrame, folder: str, batch: str) -> None:
+def write_run_ledger(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
     """Append one batch of runs to the four tables; rewriting the same batch replaces it, so a retry is safe."""
-    for name, rows in ledger_tables(runs).items():
+    for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
 
 
