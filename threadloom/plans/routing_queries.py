@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed_values as V
+from threadloom.functions import text as T
 from threadloom.operators import annotate as A
 from threadloom.operators import memory as M
 from threadloom.operators import ordered, recovery
@@ -190,9 +191,12 @@ def full_context(spark, sf):
 
 def _document_conversations(spark, sf):
     """Documents as assistant messages of fifty conversations, each ending in a user request."""
-    docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")
-    first = docs.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), (F.max("turn") + 1).alias("turn"))
-    rows = docs.withColumn("role", F.lit("assistant")).unionByName(first.select("conv_id", "turn", F.substring("text", 1, 200).alias("text"), F.lit("user").alias("role")))
+    cited = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" See notes/item.md."))).otherwise(F.col("text"))
+    docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), cited.alias("text"))
+    # the request quotes a document with exact wording where there is one: such a message can only be shortened by a supplied summary
+    exact = F.when(T.needs_exact_wording(F.col("text")) & (F.length("text") > 1200), F.col("turn"))
+    first = docs.groupBy("conv_id").agg(F.coalesce(F.min_by("text", exact), F.min_by("text", "turn")).alias("text"), (F.max("turn") + 1).alias("turn"))
+    rows = docs.withColumn("role", F.lit("assistant")).unionByName(first.select("conv_id", "turn", F.substring("text", 1, 300).alias("text"), F.lit("user").alias("role")))
     rows = rows.withColumn("_span", ordered.span_of(F.col("turn")))
     return docs, ordered.cut_lineage(ordered.positions(rows, ["conv_id"], ["_span"], ["turn"]).drop("_span"))
 
