@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed_values as V
 
 MILLION = 1_000_000
-PRICE_COLUMNS = "model string, input double, output double, cache_write double, cache_write_1h double, cache_read double"
+PRICE_COLUMNS = "model, input, output, cache_write, cache_write_1h, cache_read"
 
 
 def default_prices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(V.PRICES, PRICE_COLUMNS)
+    """The price rows as an inline table: Spark knows its size, so it joins without shuffling the other side."""
+    rows = ", ".join(f"('{model}', {', '.join(f'{float(x)}D' for x in prices)})" for model, *prices in V.PRICES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS prices({PRICE_COLUMNS})")
 
 
 def with_price(df: DataFrame, prices: DataFrame, model: str = "model", out: str = "price") -> DataFrame:

@@ -289,11 +289,15 @@ def _combine(rows: DataFrame) -> DataFrame:
 
 # --- prefix totals for every request (T1, W2) ------------------------------------------
 def history_tokens(messages: DataFrame) -> DataFrame:
-    """Per user message: length and estimated size of everything before it, plus the request itself."""
-    rows = messages.select("conv_id", "turn", "pos", "role", T.text_tokens(F.col("text")).alias("_own"), ordered.span_of(F.col("pos")).alias("_span"))
-    summed = ordered.running_sums(rows, ["conv_id"], ["_span"], ["pos"], {"before": F.col("_own") + V.MESSAGE_OVERHEAD}, include_row=False)
-    return summed.where((F.col("role") == "user") & (F.col("pos") > 0)).select(
-        "conv_id", F.col("turn").alias("req_turn"), F.col("pos").alias("history_messages"), (F.col("before") + F.col("_own")).alias("original_tokens")
+    """Per user message: length and estimated size of everything before it, plus the request itself.
+
+    Texts are measured in one scan; the two passes of the running sum read only the measured rows.
+    """
+    rows = messages.select("conv_id", "turn", "role", T.text_tokens(F.col("text")).alias("_own"), ordered.span_of(F.col("turn")).alias("_span"))
+    sums = {"history_messages": F.lit(1), "_before": F.col("_own") + V.MESSAGE_OVERHEAD}
+    summed = ordered.running_sums(ordered.cut_lineage(rows), ["conv_id"], ["_span"], ["turn"], sums, include_row=False)
+    return summed.where((F.col("role") == "user") & (F.col("history_messages") > 0)).select(
+        "conv_id", F.col("turn").alias("req_turn"), F.col("history_messages").cast("bigint").alias("history_messages"), (F.col("_before") + F.col("_own")).alias("original_tokens")
     )
 
 
@@ -301,8 +305,8 @@ def continuity(rows: DataFrame) -> DataFrame:
     """The last two unprotected messages of each request, unless either is too large (W2)."""
     newest = F.row_number().over(ordered.Window.partitionBy(*KEYS).orderBy(F.desc("pos")))
     last = rows.where(~F.col("protected")).select(*KEYS, "pos", "tokens", newest.alias("_rn")).where(F.col("_rn") <= V.CONTINUITY_MESSAGES)
-    fits = last.groupBy(*KEYS).agg((F.max("tokens") <= V.CONTINUITY_MAX_TOKENS).alias("_fits")).where("_fits").select(*KEYS)
-    return last.join(fits, KEYS).select(*KEYS, "pos")
+    pair = last.groupBy(*KEYS).agg(F.max("tokens").alias("_largest"), F.collect_list("pos").alias("_at"))
+    return pair.where(F.col("_largest") <= V.CONTINUITY_MAX_TOKENS).select(*KEYS, F.explode("_at").alias("pos"))
 
 
 def antecedents(rows: DataFrame, requests: DataFrame) -> DataFrame:

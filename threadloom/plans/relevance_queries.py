@@ -41,7 +41,7 @@ def service_scores(spark, sf):
 SELECT conv_id, turn AS req_turn, pos AS history_messages, CAST(before + own AS BIGINT) AS original_tokens FROM t WHERE role = 'user' AND pos > 0""",
 )
 def history_tokens(spark, sf):
-    return R.history_tokens(S.conversation_messages(spark, sf))
+    return R.history_tokens(S.table(spark, sf, "conversations"))
 
 
 @query(
