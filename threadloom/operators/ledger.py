@@ -253,9 +253,9 @@ def cumulative_series(costed: DataFrame) -> DataFrame:
     net = F.coalesce("net_savings_usd", F.lit(0.0))
     rows = costed.select("conversation_id", "run_id", "created_at", "original_tokens", "compiled_tokens", net.alias("_net"))
     summed = ordered.running_sums(
-        rows,
+        ordered.cut_lineage(rows.withColumn("_block", ordered.block_of(F.col("run_id")))),
         ["conversation_id"],
-        ["created_at"],
+        ["created_at", "_block"],
         ["created_at", "run_id"],
         {"n": F.lit(1), "cumulative_full": F.col("original_tokens"), "cumulative_final": F.col("compiled_tokens"), "net": F.col("_net")},
     )

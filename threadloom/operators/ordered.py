@@ -16,6 +16,11 @@ def span_of(position: Column) -> Column:
     return F.floor(position / SPAN).cast("bigint")
 
 
+def block_of(identifier: Column) -> Column:
+    """Coarse bucket of an ever-growing id: at most a million rows where ids are unique."""
+    return F.floor(identifier / 2**20).cast("bigint")
+
+
 def _earlier(keys, bucket):
     return Window.partitionBy(*keys).orderBy(*bucket)
 

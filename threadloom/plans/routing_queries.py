@@ -146,16 +146,16 @@ def identifier_checks(spark, sf):
     return G.check_identifiers(c.requests, entries, messages).select("conv_id", "identifier", "passed")
 
 
-@query(
-    "search_needs",
-    f"""WITH {D.DECISIONS},
+_NEEDS = f"""{D.DECISIONS},
 f AS (SELECT conv_id, count(*) FILTER (NOT protected AND NOT continuity) AS outside, coalesce(bool_or(NOT protected AND NOT continuity AND score >= {V.RETRIEVE_THRESHOLD}), FALSE) AS any_relevant FROM decisions GROUP BY conv_id),
 q AS (SELECT l.conv_id, l.req_turn, f.outside, f.any_relevant, l.request = '{D.REFERRING}' AS refers, l.request = '{D.REFERRING}' AND EXISTS (SELECT 1 FROM antecedents a WHERE a.conv_id = l.conv_id) AS resolved,
   {X.hit('l.request', V.REFERENTIAL_WORDS, 'i')} AS earlier, {X.hit('l.request', V.RECALL_WORDS, 'i')} AS recall, len(a.request_terms) AS terms,
-  {X.words('lower(l.request)')} BETWEEN 1 AND {V.FOLLOW_UP_MAX_WORDS} AND ({' OR '.join(X.hit('lower(l.request)', p) for p in V.FOLLOW_UP_PATTERNS)}) AS follow_up FROM latest l JOIN f USING (conv_id) JOIN asked a USING (conv_id))
-SELECT conv_id, req_turn, outside, any_relevant, follow_up, resolved AS reference_resolved, refers AND NOT resolved AND outside >= 1 AS reference_unresolved,
-  NOT resolved AND ((follow_up AND outside >= 1 AND NOT any_relevant) OR (refers AND outside >= 1) OR (outside >= 6 AND ((earlier AND recall) OR (NOT any_relevant AND (earlier OR terms <= 2))))) AS needs_search FROM q""",
-)
+  {X.words('lower(l.request)')} BETWEEN 1 AND {V.FOLLOW_UP_MAX_WORDS} AND ({' OR '.join(X.hit('lower(l.request)', p) for p in V.FOLLOW_UP_PATTERNS)}) AS follow_up FROM latest l JOIN f USING (conv_id) JOIN asked a USING (conv_id)),
+needs AS (SELECT conv_id, req_turn, outside, any_relevant, follow_up, resolved AS reference_resolved, refers AND NOT resolved AND outside >= 1 AS reference_unresolved,
+  NOT resolved AND ((follow_up AND outside >= 1 AND NOT any_relevant) OR (refers AND outside >= 1) OR (outside >= 6 AND ((earlier AND recall) OR (NOT any_relevant AND (earlier OR terms <= 2))))) AS needs_search FROM q)"""
+
+
+@query("search_needs", f"WITH {_NEEDS} SELECT * FROM needs")
 def search_needs(spark, sf):
     _, c = compiled(spark, sf)
     return G.search_needs(c)
@@ -189,6 +189,17 @@ def full_context(spark, sf):
     return G.full_context(messages, R.latest_requests(messages))
 
 
+@query(
+    "search_pool",
+    f"""WITH {_NEEDS}, p AS (SELECT d.conv_id, d.turn, d.pos, d.n, d.protected, w.reference_unresolved FROM decisions d JOIN needs w USING (conv_id) WHERE w.needs_search AND NOT d.continuity)
+SELECT conv_id, turn FROM p WHERE reference_unresolved AND pos >= n - {V.ANTECEDENT_WINDOW}
+UNION ALL SELECT conv_id, turn FROM (SELECT conv_id, turn FROM p WHERE NOT reference_unresolved AND NOT protected QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) <= {V.SEARCH_DIGESTS})""",
+)
+def search_pool(spark, sf):
+    _, c = compiled(spark, sf)
+    return G.search_pool(c, G.search_needs(c)).select("conv_id", "turn")
+
+
 def _document_conversations(spark, sf):
     """Documents as assistant messages of fifty conversations, each ending in a user request."""
     cited = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" See notes/item.md."))).otherwise(F.col("text"))

@@ -48,7 +48,8 @@ def event_messages(spark: SparkSession, folder: str) -> DataFrame:
 def order_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions, state changes and removals, one message per order."""
     df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    df = ordered.positions(df, ["o_custkey"], ["o_orderdate"], ["o_orderdate", "o_orderkey"])
+    df = df.withColumn("_block", ordered.block_of(F.col("o_orderkey")))
+    df = ordered.positions(df, ["o_custkey"], ["o_orderdate", "_block"], ["o_orderdate", "o_orderkey"])
     status = F.col("o_orderstatus")
     text = (
         F.when(status == "F", F.concat(F.lit("We decided to use MySQL "), (5 + F.col("o_orderkey") % 4).cast("string"), F.lit(".")))
