@@ -3,24 +3,41 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, decontaminate, rendezvous
+from threadloom.llm import bpe, classifier, decontaminate, licenses, rendezvous, spots, templates
 from threadloom.sources.tables import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SPLIT_PATTERN = public_tokenizers.PATTERN
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANK_FILE, SPLIT_PATTERN)
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, text without recurring lines, n_lines, n_dropped."""
+    return templates.drop_recurring(table(spark, folder, "documents").select("doc_id", "text"), counts=True)
+
+
 def op6_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     return rendezvous.assign(table(spark, folder, "documents"), [1.0] * 40, [1.0] * 41)
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_spot_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return spots.report(table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op6_rendezvous_shards, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op9_spot_fingerprints, op10_decontamination)}
 CHECKS: dict[str, str] = {}
