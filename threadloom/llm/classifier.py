@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-Words and byte 3-grams of a text are hashed to buckets, each bucket has a learned
-vector, a document is the mean of its vectors, and a softmax over two classes
+Words and byte 3-grams of a text are hashed to buckets, word 2-grams of one word
+repeated share a bucket of their own, each bucket has a learned vector, a document is the mean of its vectors, and a softmax over two classes
 gives the score. Training is plain stochastic gradient descent in numpy on a
 bounded sample of labelled documents. Scoring reads every whole text; since the
 output is linear in the mean, each bucket is folded into one number first.
@@ -28,8 +28,10 @@ MAX_ROWS = 3000
 MAX_BYTES = 24 << 20
 BITS = 17
 DIM = 10
-EPOCHS = 8
-RATE = 0.5
+EPOCHS = 10
+RATE = 2.0
+REPEAT = 2 << BITS  # bucket of a word that follows itself
+SIZE = (2 << BITS) + 1
 
 
 class Model(NamedTuple):
@@ -49,9 +51,11 @@ def _gram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def buckets(text: W.Bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of all words, then of all 3-grams inside one text."""
+    """(bucket, row) of all words, of words that follow themselves, and of all 3-grams inside one text."""
     found = W.find_words(text, W.NOT_SPACE)
     out = [((found.hashes >> np.uint64(64 - BITS)).astype(np.int32), found.row)]
+    again = np.flatnonzero((found.hashes[1:] == found.hashes[:-1]) & (found.row[1:] == found.row[:-1]))
+    out.append((np.full(len(again), REPEAT, dtype=np.int32), found.row[again]))
     if len(text.data) > 2:
         row = np.repeat(np.arange(len(text.offsets) - 1), np.diff(text.offsets))
         inside = row[2:] == row[:-2]
@@ -61,7 +65,7 @@ def buckets(text: W.Bytes) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def train(texts: list[str], labels: list[int], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (2 << BITS, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (SIZE, dim)).astype(np.float32)
     output, bias = np.zeros((2, dim), dtype=np.float32), np.zeros(2, dtype=np.float32)
     bags = []
     for text in texts:
