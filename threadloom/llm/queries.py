@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, classifier, decontaminate, licenses, rendezvous, spots, templates
+from threadloom.llm import bpe, classifier, decontaminate, licenses, ngram_join, rendezvous, spots, templates
 from threadloom.sources.tables import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -14,6 +14,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"), size=3, num=90, den=100)
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANK_FILE, SPLIT_PATTERN)
 
@@ -39,5 +43,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op9_spot_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_ngram_join, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op9_spot_fingerprints, op10_decontamination)}
 CHECKS: dict[str, str] = {}
