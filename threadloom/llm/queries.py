@@ -1,13 +1,23 @@
 """Registered queries of the training-data operators, each over its whole table."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, classifier, decontaminate, licenses, ngram_join, rendezvous, spots, templates
+from threadloom.llm import bpe, classifier, decontaminate, licenses, ngram_join, rendezvous, repair, spots, templates, token_counts
+from threadloom.llm.shared import shared_folder
 from threadloom.sources.tables import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SPLIT_PATTERN = public_tokenizers.PATTERN
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+END_ID = 2
+
+
+def op1_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), PIECES)
 
 
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +45,12 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_repair_ids(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    repair.write(table(spark, folder, "documents"), path, WORD_TOKENIZER, END_ID)
+    return repair.read_digests(spark.read.parquet(path))
+
+
 def op9_spot_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return spots.report(table(spark, folder, "documents"))
 
@@ -43,5 +59,5 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_ngram_join, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op9_spot_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination)}
 CHECKS: dict[str, str] = {}
