@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm.shared import written
+
 # Common words of English, French, German and Spanish
 ANCHORS = (
     "a an and are as at be but by for from had has have he in is it not of on or that the their they this to was were which with "
@@ -28,10 +30,11 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 BLOCK_ROWS = 1024
+BROADCAST_ROWS = 500_000
 
 
 def with_spots(df: DataFrame, text: str, out: str) -> DataFrame:
-    """All columns of ``df`` and the sorted set of the spots of ``text`` as hexadecimal hashes."""
+    """All columns of ``df`` and the sorted set of the hashes of the spots of ``text``."""
     anchors = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
     norm, parts, bodies = f"_{out}_norm", f"_{out}_parts", f"_{out}_bodies"
     df = df.withColumn(norm, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
@@ -45,8 +48,12 @@ def with_spots(df: DataFrame, text: str, out: str) -> DataFrame:
 
     whole = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.array(F.when(F.col(norm) == "  ", F.col(text)).otherwise(F.col(norm))))
     found = F.when(F.size(parts) > 0, F.transform(parts, spot)).otherwise(whole)
-    hashed = F.transform(found, lambda s: F.lpad(F.lower(F.hex(F.crc32(s.cast("binary")))), 8, "0"))
-    return df.withColumn(out, F.array_sort(F.array_distinct(hashed))).drop(norm, parts, bodies)
+    return df.withColumn(out, F.array_sort(F.array_distinct(F.transform(found, lambda s: F.hash(s))))).drop(norm, parts, bodies)
+
+
+def fingerprint(spots: Column) -> Column:
+    """Spot hashes as eight hexadecimal digits each."""
+    return F.array_join(F.transform(spots, lambda h: F.lpad(F.lower(F.hex(h.cast("bigint").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,28 +63,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def with_next(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of doc_id, text, spots with next_text, next_spots of the row that follows by descending doc_id.
+def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, text and spots of every document, and next_text, next_spots of the row that follows by descending doc_id.
 
     The first row follows the last. Rows are cut into blocks of neighbouring ids,
     about ``block_rows`` each where ids are spread evenly; every block also gets
     the first row of the next one, so no step orders more than a block.
     """
     lowest = F.lit(-(2**62))
-    bounds = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+    rows = docs.withColumns({"_order": F.struct("doc_id", F.xxhash64("text").alias("hash"))})
+    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
     span = (bounds["high"] - bounds["low"] + 1) if bounds["high"] is not None else 1
     width = max(1, span * block_rows // max(1, bounds["n"]))
-    rows = rows.withColumns({"_block": F.coalesce(F.floor(F.col("doc_id") / width).cast("bigint"), lowest), "_order": F.struct("doc_id", F.xxhash64("text").alias("hash"))})
-    # one row per block from here
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / width).cast("bigint"), lowest))
+    # one narrow row per block: its first row, and the block that this row follows
     tops = rows.groupBy("_block").agg(F.max("_order").alias("_top"))
-    by_block = Window.orderBy(F.desc("_block"))
-    tops = tops.withColumn("_goes", F.lag("_block").over(by_block))
-    last = tops.agg(F.min("_block").alias("_last"))
-    tops = tops.join(F.broadcast(last)).select(F.col("_top"), F.coalesce("_goes", "_last").alias("_goes"), "_block")
-    borrowed = rows.join(tops, "_block").where(F.col("_order") == F.col("_top")).select("doc_id", "text", "spots", F.col("_goes").alias("_block"), "_order", F.lit(1).alias("_borrowed"))
-    together = rows.select("doc_id", "text", "spots", "_block", "_order", F.lit(0).alias("_borrowed")).unionByName(borrowed)
-    order = Window.partitionBy("_block").orderBy("_borrowed", F.desc("_order"))
-    return together.withColumns({"next_text": F.lead("text").over(order), "next_spots": F.lead("spots").over(order)}).where(F.col("_borrowed") == 0).drop("_block", "_order", "_borrowed")
+    tops = written(tops.withColumn("_goes", F.lag("_block").over(Window.orderBy(F.desc("_block")))), "spot-blocks")
+    last = tops.agg(F.min("_block").alias("n")).first()["n"]
+    tops = tops.withColumn("_goes", F.coalesce("_goes", F.lit(last).cast("bigint")))
+    rows = rows.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, "_block")
+    own, lent = F.struct(F.col("_block").alias("block"), F.lit(0).alias("lent")), F.struct(F.col("_goes").alias("block"), F.lit(1).alias("lent"))
+    rows = rows.withColumn("_to", F.explode(F.when(F.col("_order") == F.col("_top"), F.array(own, lent)).otherwise(F.array(own))))
+    rows = with_spots(rows.select("doc_id", "text", "_order", "_to.block", "_to.lent"), "text", "spots")
+    order = Window.partitionBy("block").orderBy("lent", F.desc("_order"))
+    return rows.withColumns({"next_text": F.lead("text").over(order), "next_spots": F.lead("spots").over(order)}).where(F.col("lent") == 0).drop("block", "lent", "_order")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -87,7 +96,7 @@ def report(docs: DataFrame) -> DataFrame:
     next document, or by all of it where it is shorter.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_spots(rows, "text", "spots"))
+    rows = with_next(rows)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
@@ -97,8 +106,8 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("spots", "").alias("fingerprint"),
-        F.array_join("edited_spots", "").alias("edited_fingerprint"),
+        fingerprint(F.col("spots")).alias("fingerprint"),
+        fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"),
         likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
@@ -112,7 +121,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     and pairs whose sizes rule the threshold out are dropped before comparison.
     """
     sets = with_spots(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "spots")
-    sets = sets.select("doc_id", "spots", F.array_join("spots", "").alias("fingerprint"))
+    sets = sets.select("doc_id", "spots", fingerprint(F.col("spots")).alias("fingerprint"))
     members = sets.join(sets.groupBy("fingerprint").agg(F.min("doc_id").alias("representative")), "fingerprint").select("doc_id", "representative")
     one = sets.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("spots").alias("spots")).where(F.size("spots") > 0)
     size = F.size("spots")
