@@ -68,3 +68,11 @@ def drop_recurring(docs: DataFrame, counts: bool = False) -> DataFrame:
     more = [F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped")] if counts else []
     out = rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "_dropped", *more)
     return out.where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\s\p{Z}]")).drop("_dropped")
+
+
+def with_lengths(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
+    """Bring n_chars, where the documents have it, in line with the cleaned text."""
+    if "n_chars" not in docs.columns:
+        return cleaned
+    length = F.when(F.col("text").isNotNull() & F.col("n_chars").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
