@@ -10,13 +10,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, decontaminate
+from threadloom.llm import bpe, classifier, decontaminate, ngram_join, templates
 from threadloom.llm.queries import RANK_FILE, SPLIT_PATTERN
 from threadloom.llm.shared import shared_folder
 from threadloom.sources.tables import table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 go."""
+    return classifier.keep_good(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template an earlier document has go; n_chars follows the text."""
+    return templates.with_lengths(templates.drop_recurring(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays: five-word n-grams, Jaccard similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs, size=5, num=80, den=100)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark passages go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -26,8 +42,11 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
-    ("byte-level BPE encoding", bpe_encoding),
+    ("byte-level BPE encoding and decoding", bpe_encoding),
 ]
 
 ORACLE_SQL = None
