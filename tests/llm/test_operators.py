@@ -471,3 +471,14 @@ def test_empty_benchmark_and_empty_documents(spark):
         repair.read_digests(repair.blocks(none, queries.WORD_TOKENIZER, 2)),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_stages_keep_columns_with_the_names_used_inside(spark):
+    inside = ["_order", "_text", "_dropped", "_kept", "_row", "row", "score", "_score", "_judged", "_judged_state", "_block", "kind", "name", "component"]
+    rows = [(i, t, *[f"{c}{i}" for c in inside]) for i, t in enumerate([None, "", "some words of its own", "other words that differ here"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in inside))
+    bench = spark.createDataFrame([(1, "nothing of this occurs")], "item_id bigint, text string")
+    model = classifier.Model(np.zeros(classifier.SIZE, dtype=np.float32), 1.0)
+    for out in (templates.drop_recurring(docs), classifier.keep_good(docs, model), decontaminate.drop_contaminated(docs, bench), ngram_join.keep_one(docs)):
+        assert out.columns == docs.columns
+        assert sorted(tuple(r) for r in out.collect()) == sorted(rows)

@@ -144,4 +144,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents whose score is 0.5 or more, with all their columns."""
-    return scored(docs, model, "_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+    # the row travels as one struct, so that no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return scored(rows, model).where(F.col("score") >= 0.5).select("row.*")

@@ -204,4 +204,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return judged(docs, benchmark).where(~F.col("_judged.contaminated")).select(*docs.columns)
+    # the row travels as one struct, so that no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return judged(rows, benchmark).where(~F.col("_judged.contaminated")).select("row.*")
