@@ -222,21 +222,23 @@ def block_tokens(total_length, n_items):
     return F.ceil(chars / V.CHARS_PER_TOKEN).cast("bigint") + V.MESSAGE_OVERHEAD
 
 
+def memory_lines(items: DataFrame, keys: list[str] = CONV) -> DataFrame:
+    """Lines of each memory block as rows."""
+    return items.where("active").select(*keys, "created_at", line().alias("line"), line_tokens().alias("line_tokens"))
+
+
 def memory_block(items: DataFrame, keys: list[str] = CONV) -> DataFrame:
-    """Size of each memory block, and its text where a model request could carry it.
+    """Size and text of each memory block: one line per active item, in order of creation.
 
-    A block above the request limit is never sent, so its text is left NULL; that
-    also bounds what one row can hold.
+    The text is one value because it is sent as one entry; :func:`memory_lines` has the same lines as rows.
     """
-    lines = items.where("active").select(*keys, "created_at", line().alias("line"), line_tokens().alias("line_tokens"))
+    lines = memory_lines(items, keys)
     sizes = lines.groupBy(*keys).agg(
         F.count("*").alias("n_items"), F.sum("line_tokens").alias("line_tokens"), F.sum(F.length("line")).alias("_chars")
     )
     sizes = sizes.select(*keys, "n_items", "line_tokens", block_tokens(F.col("_chars"), F.col("n_items")).alias("block_tokens"))
-    small = sizes.where(F.col("block_tokens") <= V.MAX_REQUEST_TOKENS).select(*keys)
     body = (
-        ordered.attach_present(lines, small, keys, F.col("created_at.turn"), "inner")
-        .groupBy(*keys)
+        lines.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("created_at", "line"))).alias("ls"))
         .select(*keys, F.concat(F.lit(V.MEMORY_BLOCK_HEADER + "\n"), F.array_join(F.col("ls").getField("line"), "\n")).alias("block"))
     )

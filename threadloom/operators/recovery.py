@@ -15,14 +15,17 @@ KEYS = relevance.KEYS
 ITEM = "struct<turn:bigint,kind:string,representation:string,tokens:bigint,skipped:boolean,why:string>"
 
 
-def plan(rows: DataFrame, expansion: DataFrame, already_sent: DataFrame, messages: DataFrame, items: DataFrame | None, sources: DataFrame | None, summaries: DataFrame | None) -> DataFrame:
+def plan(rows: DataFrame, expansion: DataFrame, already_sent: DataFrame | None, messages: DataFrame, items: DataFrame | None, sources: DataFrame | None, summaries: DataFrame | None) -> DataFrame:
     """Per request: items restored or skipped in order, the budget left and whether it was overrun.
 
     ``expansion``: conv_id, req_turn, include_ids (turns), token_budget, min_score (NULL: named messages only).
     """
     named = expansion.select(*KEYS, "token_budget", F.posexplode("include_ids").alias("ord", "turn"))
     state = rows.select(*KEYS, "turn", "pos", "role", "tokens", "memory_complete", F.col("route").isNotNull().alias("_routed"))
-    state = state.join(already_sent.select(*KEYS, "turn", F.lit(True).alias("_sent")), [*KEYS, "turn"], "left")
+    if already_sent is None:
+        state = state.withColumn("_sent", F.lit(None).cast("boolean"))
+    else:
+        state = state.join(already_sent.select(*KEYS, "turn", F.lit(True).alias("_sent")), [*KEYS, "turn"], "left")
     state = state.withColumn("_there", F.col("_routed") | F.coalesce("_sent", F.lit(False))).drop("_routed", "_sent")
     named = named.join(state, [*KEYS, "turn"])
     prev = state.select(*KEYS, (F.col("pos") + 1).alias("pos"), F.col("turn").alias("p_turn"), F.col("tokens").alias("p_tokens"), F.col("role").alias("p_role"), F.col("_there").alias("p_there"))

@@ -38,6 +38,7 @@ def message_features(annotated: DataFrame) -> DataFrame:
         F.col("protection").isNotNull().alias("protected"),
         F.col("protection.level").alias("level"),
         F.col("protection.reason").alias("protection_reason"),
+        F.col("protection.method").alias("protection_method"),
         F.sha2(F.concat_ws("|", role, "_sig"), 256).alias("sig"),
         F.when(F.col("content_type").isin(LOGISH), F.sha2(F.concat_ws("|", role, T.template_signature(F.col("_sig"))), 256)).alias("template"),
         F.when(F.col("content_type").isin(LOGISH), T.primary_event(text)).alias("event"),

@@ -7,6 +7,7 @@ from threadloom.operators import annotate as A
 from threadloom.operators import explain as P
 from threadloom.operators import memory as M
 from threadloom.operators import relevance as R
+from threadloom.operators.reasons import RETRIED
 from threadloom.plans import routing_sql as D
 from threadloom.plans import text_sql as X
 from threadloom.plans import views_sql as Q
@@ -73,13 +74,24 @@ def attempt_views(spark, sf):
 
 @query(
     "fallback_reasons",
-    f"""WITH {Q.ATTEMPTS}, h AS (SELECT run_id, min_by(passed, idx) AS ok, count(*) AS n FROM attempts GROUP BY run_id HAVING min_by(passed, idx) = 0),
-s AS (SELECT run_id, idx, CASE WHEN level = 'regenerated' THEN concat('Response regenerated with the same context (no context added); ', CASE WHEN passed = 1 THEN 'the retry passed.' ELSE 'the retry did not pass.' END)
-  WHEN level = 'expanded' THEN concat('More context added (2 entries, ', context_tokens, ' est. tokens); ', CASE WHEN passed = 1 THEN 'the retry passed.' ELSE 'the retry did not pass.' END) ELSE 'Full context was used for the returned answer.' END AS s FROM attempts WHERE idx > 0)
-SELECT h.run_id, concat('Optimized answer failed evaluation [UNCERTAIN]: no reason given. ', CASE WHEN n = 1 THEN 'No retry was made.' ELSE (SELECT string_agg(s.s, ' ' ORDER BY idx) FROM s WHERE s.run_id = h.run_id) END) AS fallback_reason FROM h""",
+    f"""WITH {Q.ATTEMPTS}, long_runs AS (SELECT o_orderkey AS run_id, i AS idx, CASE WHEN i % 2 = 0 THEN 'expanded' ELSE 'regenerated' END AS level, CASE WHEN i = 39 THEN 1 ELSE 0 END AS passed, 100 * i AS context_tokens
+  FROM orders, range(40) t(i) WHERE o_orderkey % 500 = 0),
+every AS (SELECT run_id, idx, level, passed, context_tokens FROM attempts WHERE run_id NOT IN (SELECT run_id FROM long_runs) UNION ALL SELECT run_id, idx, level, passed, context_tokens FROM long_runs),
+h AS (SELECT run_id, count(*) AS n FROM every GROUP BY run_id HAVING min_by(passed, idx) = 0)
+SELECT run_id, CAST(0 AS BIGINT) AS place, 'failed' AS event, '{RETRIED['failed']}: UNCERTAIN, no reason given' AS sentence FROM h
+UNION ALL SELECT run_id, 1, 'no_retry', '{RETRIED['no_retry']}' FROM h WHERE n = 1
+UNION ALL SELECT run_id, idx, CASE WHEN level IN ('regenerated', 'expanded') THEN level ELSE 'full' END, concat(CASE level WHEN 'regenerated' THEN '{RETRIED['regenerated']}' WHEN 'expanded' THEN concat('{RETRIED['expanded']} (2 entries, ', context_tokens, ' tokens)') ELSE '{RETRIED['full']}' END,
+  CASE WHEN passed = 1 THEN ': accepted' ELSE ': rejected' END) FROM every JOIN h USING (run_id) WHERE idx > 0""",
 )
 def fallback_reasons(spark, sf):
-    attempts = S.numbered_attempts(spark, sf).withColumns(
+    """Runs with an order key divisible by 500 have forty attempts."""
+    orders = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id")).where(F.col("run_id") % 500 == 0)
+    i = F.col("idx")
+    many = orders.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("idx")).select(
+        "run_id", "idx", F.when(i % 2 == 0, "expanded").otherwise("regenerated").alias("level"), (i == 39).cast("int").alias("passed"), (i * 100).cast("bigint").alias("context_tokens")
+    )
+    short = S.numbered_attempts(spark, sf).join(orders, "run_id", "left_anti").select(*many.columns)
+    attempts = short.unionByName(many).withColumns(
         {
             "category": F.when(F.col("passed") == 1, "PASS").otherwise("UNCERTAIN"),
             "reason": F.lit("no reason given"),
@@ -93,7 +105,7 @@ def fallback_reasons(spark, sf):
 @query(
     "rebuild_decisions",
     """SELECT o_orderkey AS run_id, i AS id, 'fact' AS content_type, CASE i WHEN 'a' THEN 'KEEP' WHEN 'b' THEN 'RETRIEVE' WHEN 'c' THEN 'COMPRESS' WHEN 'd' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'OMIT' ELSE 'MEMORY' END ELSE 'RETRIEVE' END AS action,
-  CASE i WHEN 'a' THEN 'rule' WHEN 'b' THEN 'match' WHEN 'c' THEN 'Compressed into g1' WHEN 'd' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'unrelated' ELSE 'Durable statement represented as memory' END ELSE 'Kept' END AS reason
+  CASE i WHEN 'a' THEN 'rule' WHEN 'b' THEN 'match' WHEN 'c' THEN 'part_of:g1' WHEN 'd' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'unrelated' ELSE 'note' END ELSE 'kept' END AS reason
 FROM orders, (VALUES ('a'), ('b'), ('c'), ('d'), ('e')) v(i)""",
 )
 def rebuild_decisions(spark, sf):
@@ -123,7 +135,7 @@ def trace_sections(spark, sf):
 
 @query(
     "understanding",
-    f"""WITH {D.DECISIONS} SELECT l.conv_id, l.req_turn, count(*) AS messages_reviewed, count(*) FILTER (d.protected) AS protected, (SELECT count(*) FROM injected i WHERE i.conv_id = l.conv_id) AS memory_items,
+    f"""WITH {D.DECISIONS} SELECT l.conv_id, l.req_turn, count(*) AS messages_reviewed, count(*) FILTER (d.protected) AS protected, (SELECT count(*) FROM memory_items i WHERE i.conv_id = l.conv_id AND i.active) AS memory_items,
   {X.words('lower(l.request)')} BETWEEN 1 AND {V.FOLLOW_UP_MAX_WORDS} AND ({' OR '.join(X.hit('lower(l.request)', p) for p in V.FOLLOW_UP_PATTERNS)}) AS follow_up,
   CASE WHEN l.request = '{D.REFERRING}' AND EXISTS (SELECT 1 FROM shown s WHERE s.conv_id = l.conv_id) THEN 'those errors' END AS phrase,
   CASE WHEN l.request = '{D.REFERRING}' AND EXISTS (SELECT 1 FROM shown s WHERE s.conv_id = l.conv_id) THEN CAST((SELECT count(*) FROM antecedents a WHERE a.conv_id = l.conv_id) AS INTEGER) END AS found

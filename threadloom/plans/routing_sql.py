@@ -87,12 +87,12 @@ rated AS (
   FROM cut_lines c JOIN asked a USING (conv_id)),
 greedy AS (
   SELECT conv_id, island, count(*) AS sentences, list_reduce(list_prepend({{'used': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[]), 'cost': CAST(0 AS BIGINT), 'id': CAST(0 AS BIGINT), 'budget': CAST(0 AS BIGINT)}},
-    list({{'used': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[]), 'cost': cost, 'id': pos * 1000 + line_no, 'budget': CAST(floor(original_tokens * {V.DISCUSSION_BUDGET}) AS BIGINT)}} ORDER BY rating DESC, pos, line_no)),
+    list({{'used': CAST(0 AS BIGINT), 'ids': CAST([] AS BIGINT[]), 'cost': cost, 'id': pos * 2147483648 + line_no, 'budget': CAST(floor(original_tokens * {V.DISCUSSION_BUDGET}) AS BIGINT)}} ORDER BY rating DESC, pos, line_no)),
     lambda acc, x: {{'used': CASE WHEN acc.used + x.cost <= x.budget THEN acc.used + x.cost ELSE acc.used END, 'ids': CASE WHEN acc.used + x.cost <= x.budget THEN list_append(acc.ids, x.id) ELSE acc.ids END, 'cost': x.cost, 'id': x.id, 'budget': x.budget}}) AS r
   FROM rated JOIN runs USING (conv_id, island) GROUP BY conv_id, island),
 extracts AS (
   SELECT r.conv_id, r.island, string_agg(r.sentence, ' ' ORDER BY r.pos, r.line_no) AS body FROM rated r JOIN greedy g USING (conv_id, island)
-  WHERE list_contains(g.r.ids, r.pos * 1000 + r.line_no) AND len(g.r.ids) < g.sentences GROUP BY r.conv_id, r.island),
+  WHERE list_contains(g.r.ids, r.pos * 2147483648 + r.line_no) AND len(g.r.ids) < g.sentences GROUP BY r.conv_id, r.island),
 discussed AS (
   SELECT *, {X.tokens('summary')} + 4 AS compressed_tokens FROM (SELECT r.*, concat('discussion:', run) AS group_id, concat('Discussion summary (', n_sources, ' messages): ', body) AS summary FROM runs r JOIN extracts USING (conv_id, island))
   WHERE original_tokens - ({X.tokens('summary')} + 4) >= {V.MIN_SAVED_TOKENS} AND {X.tokens('summary')} + 4 <= original_tokens * {V.MAX_COMPRESSED_RATIO}),

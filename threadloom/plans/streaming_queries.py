@@ -4,7 +4,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import fixed_values as V
 from threadloom.operators import ordered
 from threadloom.plans import text_sql as X
 from threadloom.plans import views_sql as Q
@@ -41,25 +40,13 @@ def annotate_stream(spark, sf):
     f"WITH {_ORDERS} SELECT conv_id, key, value, type, round(confidence, 6) AS confidence, active, n_sources, first_source, last_source, n_previous FROM memory_items",
 )
 def memory_stream(spark, sf):
-    """The order messages arrive in three installments, each conversation in order; state carries over between runs."""
+    """Orders arrive in three installments, newest first; statements are stored as they come and merged at the end."""
     folder = _work_folder(spark)
     messages = ordered.cut_lineage(S.order_messages(spark, sf).drop("pos"))
-    for low, high in ((0, 4), (4, 8), (8, None)):
-        part = messages.where(F.col("turn") > low)
-        part = part if high is None else part.where(F.col("turn") <= high)
-        part.write.mode("append").parquet(f"{folder}/inbox")
-        J.run_to_end(J.memory_stream(J.message_stream(spark, f"{folder}/inbox")), f"{folder}/out", f"{folder}/checkpoint", "update")
-    return rounded(J.latest_items(spark.read.parquet(f"{folder}/out")))
-
-
-@query("admission_log")
-def admission_log(spark, sf):
-    schema = S.table(spark, sf, "events").schema
-    events = J.file_stream(spark, sf, "events.parquet", schema)
-    # a day of the log is replayed as one minute so that the rules bite
-    ts = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) / 1440).cast("bigint"))
-    requests = events.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 16).alias("instance"), F.col("user_id").alias("client"), ts.alias("ts"))
-    return _finish(spark, J.admission_log(requests, V.GENERATION_RULES)).drop("batch")
+    for part in (F.col("turn") > 8, (F.col("turn") > 4) & (F.col("turn") <= 8), F.col("turn") <= 4):
+        messages.where(part).write.mode("append").parquet(f"{folder}/inbox")
+        J.run_to_end(J.statement_stream(J.message_stream(spark, f"{folder}/inbox")), f"{folder}/out", f"{folder}/checkpoint")
+    return rounded(J.stored_items(spark.read.parquet(f"{folder}/out").drop("batch")))
 
 
 @query(

@@ -46,11 +46,12 @@ def parse_replies(spark, sf):
 
 @query(
     "failure_categories",
-    f"""WITH {_VERDICTS} SELECT run_id, CASE WHEN category = 'PASS' AND k % 6 = 0 THEN 'PASS' WHEN k % 6 = 1 THEN 'CHECK_FAILED' WHEN category = 'PASS' THEN 'UNCERTAIN' ELSE category END AS failure_category FROM verdicts""",
+    f"""WITH {_VERDICTS} SELECT run_id, CASE WHEN category = 'PASS' AND k % 6 = 0 THEN 'PASS' WHEN k % 6 = 1 THEN 'CHECK_FAILED' WHEN category = 'PASS' THEN 'UNCERTAIN' ELSE category END AS failure_category FROM verdicts
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 1 THEN 'CHECK_FAILED' ELSE 'PASS' END FROM orders WHERE o_orderkey % 16 = 15""",
 )
 def failure_categories(spark, sf):
-    p = W.parse_replies(S.model_replies(spark, sf)).where(F.col("error").isNull())
-    passed = (F.col("category") == "PASS") & (F.col("run_id") % 6 == 0)
+    p = W.judged(W.parse_replies(S.model_replies(spark, sf)))
+    passed = (F.col("category") == "PASS") & ((F.col("run_id") % 6 == 0) | F.col("error").isNotNull() & (F.col("run_id") % 6 != 1))
     return p.select("run_id", W.failure_category(passed, F.col("run_id") % 6 == 1, F.col("category")).alias("failure_category"))
 
 
@@ -62,14 +63,14 @@ def valid_missing_ids(spark, sf):
 _PROBLEMS = f"""{_VERDICTS},
 judged AS (
   SELECT *, CAST(CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_missing,
-    list_filter([CASE WHEN k % 6 <> 0 THEN 'no real missing source id was named' END, CASE WHEN NOT has_evidence THEN 'no structured evidence was given' END,
-      CASE WHEN has_evidence AND k % 4 = 3 THEN 'the evidence is speculative' WHEN has_evidence AND k % 10 = 1 THEN 'the evidence is worded as speculation' END,
-      CASE WHEN has_evidence AND k % 12 = 1 THEN 'the information is already represented in the payload (protected, memory, compressed or retrieved context)' END], lambda x: x IS NOT NULL) AS mc,
-    CASE WHEN NOT has_violation THEN ['no violation details were given'] ELSE list_filter([
-      CASE WHEN k % 5 = 0 THEN 'no source id was cited' WHEN k % 5 = 1 THEN 'the cited source id does not exist' WHEN k % 4 = 0 THEN 'the quoted instruction does not appear in its cited source' END,
-      CASE WHEN k % 5 NOT IN (0, 1) AND k % 9 = 0 AND k % 18 <> 0 THEN 'a newer user statement revises this instruction, so the older text is no longer in force' END,
-      CASE WHEN k % 7 = 0 THEN 'no concrete evidence of the violation was given' END,
-      CASE WHEN k % 11 = 0 THEN 'it was not confirmed that the instruction applies to the current request' END], lambda x: x IS NOT NULL) END AS vp FROM verdicts)"""
+    list_filter([CASE WHEN k % 6 <> 0 THEN 'no_missing_id' END, CASE WHEN NOT has_evidence THEN 'no_evidence' END,
+      CASE WHEN has_evidence AND k % 4 = 3 THEN 'speculative' WHEN has_evidence AND k % 10 = 1 THEN 'speculative_wording' END,
+      CASE WHEN has_evidence AND k % 12 = 1 THEN 'already_shown' END], lambda x: x IS NOT NULL) AS mc,
+    CASE WHEN NOT has_violation THEN ['no_details'] ELSE list_filter([
+      CASE WHEN k % 5 = 0 THEN 'no_source' WHEN k % 5 = 1 THEN 'unknown_source' WHEN k % 4 = 0 THEN 'not_in_source' END,
+      CASE WHEN k % 5 NOT IN (0, 1) AND k % 9 = 0 AND k % 18 <> 0 THEN 'superseded' END,
+      CASE WHEN k % 7 = 0 THEN 'no_violation_evidence' END,
+      CASE WHEN k % 11 = 0 THEN 'not_applied' END], lambda x: x IS NOT NULL) END AS vp FROM verdicts)"""
 
 _KINDS = """CASE WHEN category = 'MISSING_CONTEXT' AND len(mc) = 0 THEN 'context_expansion' WHEN category = 'INSTRUCTION_VIOLATION' AND len(vp) = 0 THEN 'corrective_regeneration'
     WHEN category = 'UNSUPPORTED_CLAIM' AND has_link AND k % 3 = 0 AND n_missing > 0 THEN 'context_expansion' WHEN category = 'UNSUPPORTED_CLAIM' AND has_link AND k % 3 = 1 THEN 'corrective_regeneration'
@@ -81,10 +82,11 @@ _KINDS = """CASE WHEN category = 'MISSING_CONTEXT' AND len(mc) = 0 THEN 'context
     f"""WITH {_PROBLEMS}, p AS (SELECT *, {_KINDS} AS kind FROM judged)
 SELECT run_id, category, n_missing, kind, CASE WHEN kind = 'context_expansion' THEN 'context' WHEN kind = 'corrective_regeneration' THEN CASE WHEN category = 'UNSUPPORTED_CLAIM' THEN 'grounding' ELSE 'instruction' END END AS purpose,
   kind <> 'none' AND category IN ('UNSUPPORTED_CLAIM', 'UNCERTAIN') AS optional, category <> 'PASS' AND kind = 'none' AS warning_only,
-  array_to_string(CASE WHEN kind = 'none' AND category = 'MISSING_CONTEXT' THEN mc WHEN kind = 'none' AND category = 'INSTRUCTION_VIOLATION' THEN vp ELSE [] END, '; ') AS problems FROM p""",
+  array_to_string(CASE WHEN kind = 'none' AND category = 'MISSING_CONTEXT' THEN mc WHEN kind = 'none' AND category = 'INSTRUCTION_VIOLATION' THEN vp ELSE [] END, '; ') AS problems FROM p
+UNION ALL SELECT o_orderkey, 'PASS', 0, 'none', NULL, FALSE, FALSE, '' FROM orders WHERE o_orderkey % 16 = 15""",
 )
 def retry_proposals(spark, sf):
-    verdicts = ordered.cut_lineage(W.parse_replies(S.model_replies(spark, sf)).where(F.col("error").isNull()))
+    verdicts = ordered.cut_lineage(W.judged(W.parse_replies(S.model_replies(spark, sf))))
     p = W.retry_proposals(verdicts, S.omitted_ids(spark, sf), S.cited_sources(spark, sf), S.later_statements(spark, sf), S.shown_payload(spark, sf))
     return p.withColumns({"problems": F.array_join("problems", "; "), "n_missing": F.col("n_missing").cast("bigint")})
 
@@ -95,10 +97,11 @@ def retry_proposals(spark, sf):
 e AS (SELECT p.*, r.original_tokens, r.compiled_tokens, r.compiled_tokens / CAST(r.original_tokens AS DOUBLE) AS share, k % 7 = 2 AS blocked, k % 13 = 0 AS same FROM p JOIN runs r USING (run_id))
 SELECT run_id, CASE WHEN category = 'PASS' THEN 'none' WHEN kind = 'corrective_regeneration' AND NOT blocked THEN 'corrective_regeneration'
   WHEN kind = 'context_expansion' AND NOT same AND NOT blocked THEN CASE WHEN share >= {V.FULL_EQUIVALENT_RATIO} THEN 'full_fallback' ELSE 'context_expansion' END
-  WHEN category = 'MISSING_CONTEXT' AND kind = 'context_expansion' THEN 'full_fallback' ELSE 'none' END AS decision, round(share, 6) AS share_of_full FROM e""",
+  WHEN category = 'MISSING_CONTEXT' AND kind = 'context_expansion' THEN 'full_fallback' ELSE 'none' END AS decision, round(share, 6) AS share_of_full FROM e
+UNION ALL SELECT run_id, 'none', round(compiled_tokens / CAST(original_tokens AS DOUBLE), 6) FROM runs WHERE run_id % 16 = 15""",
 )
 def escalation(spark, sf):
-    verdicts = ordered.cut_lineage(W.parse_replies(S.model_replies(spark, sf)).where(F.col("error").isNull()))
+    verdicts = ordered.cut_lineage(W.judged(W.parse_replies(S.model_replies(spark, sf))))
     p = W.retry_proposals(verdicts, S.omitted_ids(spark, sf), S.cited_sources(spark, sf), S.later_statements(spark, sf), S.shown_payload(spark, sf))
     k = F.col("run_id")
     sized = p.join(S.runs(spark, sf).select("run_id", F.col("original_tokens").alias("full_tokens"), F.col("compiled_tokens").alias("recovery_tokens")), "run_id")
@@ -123,9 +126,9 @@ def requirements(spark, sf):
     "required_partners",
     f"""WITH m AS (SELECT conv_id, turn, pos, CASE WHEN role = 'user' AND turn % 4 = 0 THEN 'Yes, do that.' WHEN role = 'assistant' AND turn % 4 = 1 THEN 'As you asked, the gateway was restarted.' ELSE text END AS text, role FROM ({'WITH ' + Q.CONVERSATIONS + ' SELECT * FROM messages'})),
 p AS (SELECT m.*, b.turn AS partner_turn, b.role AS before FROM m JOIN m b ON b.conv_id = m.conv_id AND b.pos = m.pos - 1 WHERE b.role <> m.role),
-w AS (SELECT conv_id, turn, partner_turn, CASE WHEN role = 'assistant' AND {X.words(X.trim('text'))} <= {V.SHORT_ANSWER_WORDS} AND {X.hit(X.trim('text'), V.DEPENDENT_START, 'i')} THEN 'the answer is short and only makes sense next to the question it answers'
-  WHEN role = 'assistant' AND {X.hit(X.trim('text') + '[1:240]', V.BACK_REFERENCE, 'i')} THEN 'the answer refers back to the question it responds to'
-  WHEN role = 'user' AND {X.words(X.trim('text'))} <= {V.SHORT_REPLY_WORDS} AND {X.hit(X.trim('text'), V.DEPENDENT_START, 'i')} THEN 'the message is a short reply that only makes sense next to the assistant message it answers' END AS why FROM p)
+w AS (SELECT conv_id, turn, partner_turn, CASE WHEN role = 'assistant' AND {X.words(X.trim('text'))} <= {V.SHORT_ANSWER_WORDS} AND {X.hit(X.trim('text'), V.DEPENDENT_START, 'i')} THEN 'short_answer'
+  WHEN role = 'assistant' AND {X.hit(X.trim('text') + '[1:240]', V.BACK_REFERENCE, 'i')} THEN 'answer_refers_back'
+  WHEN role = 'user' AND {X.words(X.trim('text'))} <= {V.SHORT_REPLY_WORDS} AND {X.hit(X.trim('text'), V.DEPENDENT_START, 'i')} THEN 'short_reply' END AS why FROM p)
 SELECT * FROM w WHERE why IS NOT NULL""",
 )
 def required_partners(spark, sf):
@@ -144,7 +147,7 @@ _SUMMARY_TEXT = "CASE turn % 3 WHEN 0 THEN concat(text[1:40], ' 4711') WHEN 1 TH
 @query(
     "check_summaries",
     f"""WITH {Q.CONVERSATIONS}, s AS (SELECT conv_id, turn, text, {_SUMMARY_TEXT} AS summary FROM messages)
-SELECT conv_id, turn, accepted, CASE WHEN NOT accepted THEN CASE WHEN made_up THEN 'adds content not in the message: 4711' ELSE 'not meaningfully shorter than the original' END END AS reason
+SELECT conv_id, turn, accepted, CASE WHEN NOT accepted THEN CASE WHEN made_up THEN 'adds:4711' ELSE 'not_shorter' END END AS reason
 FROM (SELECT *, turn % 3 = 0 AS made_up, turn % 3 <> 0 AND {X.tokens('summary')} <= {X.tokens('text')} * {V.SUMMARY_MAX_RATIO} AS accepted FROM s)""",
 )
 def check_summaries(spark, sf):

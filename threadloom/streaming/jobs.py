@@ -1,21 +1,14 @@
 """Structured Streaming forms of the jobs whose input keeps arriving."""
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from threadloom.functions import fixed_values as V
-from threadloom.functions import text as T
-from threadloom.operators import annotate, economics
+from threadloom.operators import annotate, economics, memory
 
 MESSAGE_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
-# Bounds one micro-batch, and with it what a stateful function gathers for one key.
+# Paces micro-batches; results do not depend on it.
 BATCH_BYTES = 2_000_000_000
 
 
@@ -46,108 +39,15 @@ def annotate_stream(messages: DataFrame) -> DataFrame:
 
 
 # S2 --------------------------------------------------------------------------
-MEMORY_OUT = "conv_id bigint, key string, turn bigint, idx int, value string, type string, confidence double, active boolean, n_sources bigint, first_source bigint, last_source bigint, n_previous bigint"
-MEMORY_COLUMNS = [c.split()[0] for c in MEMORY_OUT.split(", ")]
-CATEGORY_NAMES = [name for _, name in V.CATEGORIES]
-
-
-def memory_stream(messages: DataFrame) -> DataFrame:
-    """Memory items updated as messages arrive in order.
-
-    State is kept per conversation and slot, not per conversation: a slot is one
-    key, or one category whose keys can redirect to each other. It holds the items
-    of the slot; source messages are counted, not listed.
-    """
-    said = annotate.statements_of(annotate.annotate(messages))
-    key = T.canonical_key(F.col("key"))
-    named = said.withColumn("key", F.when(key != "", key).otherwise(F.col("key")))
-    last = F.element_at(F.split("key", "_"), -1)
-    slotted = named.withColumn("slot", F.when(last.isin(CATEGORY_NAMES), F.concat(F.lit("category:"), last)).otherwise(F.col("key")))
-    return slotted.groupBy("conv_id", "slot").applyInPandasWithState(_update_slot, MEMORY_OUT, "items string", "update", GroupStateTimeout.NoTimeout)
-
-
-def _update_slot(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    items = json.loads(state.get[0]) if state.exists else {}
-    touched = set()
-    fields = ["turn", "idx", "key", "value", "type", "confidence", "op"]
-    rows = sorted(row for batch in batches for row in zip(*(batch[f].tolist() for f in fields), strict=True))
-    redirects = key[1].startswith("category:")
-    for turn, idx, name, value, kind, confidence, operation in rows:
-        if redirects and name not in items:
-            alive = [k for k, i in items.items() if i["active"]]
-            if len(alive) == 1:
-                name = alive[0]
-        item = items.get(name)
-        if operation == "remove":
-            if item is None or not item["active"]:
-                continue
-            item["active"] = False
-        elif item is None:
-            item = items[name] = {"value": value, "type": kind, "confidence": confidence, "active": True, "n_sources": 0, "first": turn, "last": None, "n_previous": 0}
-        elif not item["active"]:
-            item.update(value=value, type=kind, confidence=confidence, active=True)
-        elif item["value"].lower() == value.lower():
-            item["confidence"] = min(V.CONFIDENCE_MAX, max(item["confidence"], confidence) + V.CONFIDENCE_STEP)
-        else:
-            item.update(value=value, type=kind, confidence=confidence, n_previous=item["n_previous"] + 1)
-        if item["last"] != turn:
-            item["n_sources"] += 1
-            item["last"] = turn
-        item["at"] = [turn, idx]
-        touched.add(name)
-    state.update((json.dumps(items),))
-    out = [(key[0], k, *i["at"], i["value"], i["type"], i["confidence"], i["active"], i["n_sources"], i["first"], i["last"], i["n_previous"]) for k, i in items.items() if k in touched]
-    yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
-
-
-def latest_items(updates: DataFrame) -> DataFrame:
-    """Final state of each item from the update log of :func:`memory_stream`."""
-    fields = ["value", "type", "confidence", "active", "n_sources", "first_source", "last_source", "n_previous"]
-    last = updates.groupBy("conv_id", "key").agg(F.max_by(F.struct(*fields), F.struct("turn", "idx")).alias("i"))
-    return last.select("conv_id", "key", "i.*")
-
-
-# S3 --------------------------------------------------------------------------
-ADMISSION_OUT = "request_id bigint, instance bigint, client bigint, ts timestamp, admitted boolean, blocked_by string, retry_after_sec bigint"
-
-
-def admission_log(requests: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame:
-    """Admit a request only if it is under every rolling-window rule; only admitted requests count.
-
-    ``requests``: request_id, instance, client, ts. ``rules``: (scope, limit, seconds) with scope
-    "client" or "all". The "all" rule covers one serving instance and makes its requests depend on
-    each other, so an instance is the unit of parallelism; state holds at most ``limit`` times per
-    rule and client with a hit inside the window.
-    """
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = json.loads(state.get[0]) if state.exists else {}
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        now = 0.0
-        for r in rows.itertuples(index=False):
-            now = r.ts.timestamp()
-            worst = None
-            kept = []
-            for n, (scope, limit, seconds) in enumerate(rules):
-                name = f"{n}:{r.client}" if scope == "client" else f"{n}:"
-                recent = [t for t in hits.get(name, []) if t > now - seconds]
-                kept.append((name, recent))
-                if len(recent) >= limit:
-                    retry = max(1, int(-(-(recent[0] + seconds - now) // 1)))
-                    if worst is None or retry > worst[0]:
-                        worst = (retry, f"{scope}:{limit}/{seconds}s")
-            if worst is None:
-                for name, recent in kept:
-                    hits[name] = [*recent, now]
-            out.append((r.request_id, key[0], r.client, r.ts, worst is None, worst and worst[1], worst and worst[0]))
-        widest = max(seconds for _, _, seconds in rules)
-        hits = {name: times for name, times in hits.items() if times and times[-1] > now - widest}
-        state.update((json.dumps(hits),))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in ADMISSION_OUT.split(", ")])
-        yield frame.astype({"retry_after_sec": "Int64"})
-
-    return requests.groupBy("instance").applyInPandasWithState(admit, ADMISSION_OUT, "hits string", "append", GroupStateTimeout.NoTimeout)
+def statement_stream(messages: DataFrame) -> DataFrame:
+    """Statements of arriving messages, row by row: nothing is kept between batches, in whatever order they come."""
+    return annotate.statements_of(annotate.annotate(messages))
+
+
+def stored_items(statements: DataFrame) -> DataFrame:
+    """Memory items of all statements that a stream has stored; a statement stored twice counts once."""
+    events = memory.memory_events(statements.dropDuplicates(["conv_id", "turn", "idx"]))
+    return memory.memory_items(events).drop("created_at")
 
 
 # S4 --------------------------------------------------------------------------
