@@ -38,7 +38,17 @@ def test_ledger_batch_can_be_written_twice(spark, tmp_path):
     )
     for _ in range(2):
         D.write_run_ledger(D.ledger_tables(runs), str(tmp_path), "7")
-    assert {t: spark.read.parquet(f"{tmp_path}/{t}").count() for t in D.ledger_tables(runs)} == dict.fromkeys(D.ledger_tables(runs), 1)
+    assert {t: D.read_run_ledger(spark, str(tmp_path), t).count() for t in D.ledger_tables(runs)} == dict.fromkeys(D.ledger_tables(runs), 1)
+    broken = {name: rows for name, rows in D.ledger_tables(runs).items() if name != "compiler_run"}
+    for name, rows in broken.items():  # a crash before the run rows
+        rows.write.parquet(f"{tmp_path}/{name}/batch=8")
+    assert {t: D.read_run_ledger(spark, str(tmp_path), t).count() for t in broken} == dict.fromkeys(broken, 1)
+
+
+def test_upsert_breaks_ties_the_same_way_in_any_order(spark):
+    schema = "conv_id int, turn int, value string, updated_at int"
+    a, b = spark.createDataFrame([(1, 1, "a", 5)], schema), spark.createDataFrame([(1, 1, "b", 5)], schema)
+    assert [D.upsert_annotations(x, y).first()["value"] for x, y in ((a, b), (b, a))] == ["b", "b"]
 
 
 def test_unpriced_exports_stay_empty(spark, tmp_path):

@@ -106,13 +106,12 @@ def use_checkpoint_folder(spark) -> str:
     import tempfile
 
     context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
     context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir()

@@ -133,7 +133,7 @@ def run_ledger(spark, sf):
     for batch in (0, 1):
         D.write_run_ledger({name: rows.where(F.col("run_id") % 2 == batch) for name, rows in tables.items()}, folder, str(batch))
     measure = {"compiler_run": "original_tokens", "run_attempt": "context_tokens", "utility_call": "input_tokens", "context_decision": "tokens"}
-    parts = [spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("ledger"), F.count("*").alias("n"), F.sum(c).alias("total")) for name, c in measure.items()]
+    parts = [D.read_run_ledger(spark, folder, name).agg(F.lit(name).alias("ledger"), F.count("*").alias("n"), F.sum(c).alias("total")) for name, c in measure.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

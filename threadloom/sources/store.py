@@ -32,11 +32,11 @@ def annotations_of(annotations: DataFrame, messages: DataFrame) -> DataFrame:
 
 # IO3, IO4 --------------------------------------------------------------------
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], version: str, keep_first: list[str] | None = None) -> DataFrame:
-    """Latest version of each key; columns in ``keep_first`` keep their earliest value."""
+    """Latest version of each key, the larger row on a tie; columns in ``keep_first`` keep their earliest value."""
     keep_first = keep_first or []
     both = stored.unionByName(incoming, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys and c not in keep_first]
-    winner = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_w"), *[F.min(c).alias(c) for c in keep_first])
+    winner = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *[c for c in rest if c != version])).alias("_w"), *[F.min(c).alias(c) for c in keep_first])
     return winner.select(*keys, *keep_first, "_w.*")
 
 
@@ -83,9 +83,20 @@ def ledger_tables(runs: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_run_ledger(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
-    """Append one batch of runs to the four tables; rewriting the same batch replaces it, so a retry is safe."""
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    """Append one batch of runs to the four tables; rewriting the same batch replaces it, so a retry is safe.
+
+    Run rows are written last: their presence is what makes a batch complete for :func:`read_run_ledger`.
+    """
+    for name in sorted(tables, key=lambda name: name == "compiler_run"):
+        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+
+def read_run_ledger(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows of one ledger table, of complete batches only."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    if name == "compiler_run":
+        return rows
+    return rows.join(spark.read.parquet(f"{folder}/compiler_run").select("batch").distinct(), "batch", "left_semi")
 
 
 # IO8 -------------------------------------------------------------------------
