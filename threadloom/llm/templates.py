@@ -14,12 +14,14 @@ Only built-in column functions are used. Templates are 64-bit hashes.
 Defined cases: null and empty texts have no lines and pass unchanged; a null
 doc_id counts as the smallest id; repeated lines of one document, and rows with
 the same doc_id, do not count as other documents; other columns pass through;
-an empty table gives no rows.
+an empty table gives no rows. Ids are integers.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.shared import written
+
 LEAD = 3
 MIN_TOKENS = 3
 MIN_GENERAL = 8
@@ -45,29 +47,34 @@ def template_keys(n: Column, tokens: Column) -> Column:
     return F.when(n < MIN_TOKENS, F.array().cast("array<bigint>")).when(n < MIN_GENERAL, F.array(whole)).otherwise(F.array(whole, *[without(p) for p in range(PARTS)]))
 
 
+def order_of(doc_id: Column) -> Column:
+    """Integer ids in order, null as the smallest."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63)).cast("bigint"))
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, _text (hash of the text), dropped: numbers of the lines to drop, for documents that have some."""
+    """_order (the id, null as the smallest), _text (hash of the text), _dropped: numbers of the lines to drop, for documents that have some."""
     lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n")).alias("_line", "_words"))
     rows = lines.select("doc_id", "_text", "_line", tokens_of(F.col("_words")).alias("_tokens")).withColumn("_n", F.size("_tokens"))
     rows = rows.select("doc_id", "_text", "_line", F.explode(template_keys(F.col("_n"), F.col("_tokens"))).alias("_key"))
-    # null counts as the smallest id
-    rows = rows.withColumn("_order", F.struct("doc_id"))
+    # read twice below; null counts as the smallest id
+    rows = written(rows.withColumn("_order", order_of(F.col("doc_id"))).drop("doc_id"), "line-templates")
     first = rows.groupBy("_key").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last")).where(F.col("_first") < F.col("_last")).drop("_last")
     later = rows.join(first, "_key").where(F.col("_first") < F.col("_order"))
-    return later.groupBy("doc_id", "_text").agg(F.collect_set("_line").alias("_dropped"))
+    return later.groupBy("_order", "_text").agg(F.collect_set("_line").alias("_dropped"))
 
 
 def drop_recurring(docs: DataFrame, counts: bool = False) -> DataFrame:
     """The documents without recurring lines, all columns kept; with ``counts`` also n_lines and n_dropped."""
-    dropped = recurring_lines(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), "_dropped")
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["_id"]) & (rows["_h"] == dropped["_hash"]), "left")
-    lines = F.split("text", "\n")
+    # the row travels as one struct, so that no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), order_of(F.col("doc_id")).alias("_order"), F.xxhash64("text").alias("_text"))
+    rows = rows.join(recurring_lines(docs), ["_order", "_text"], "left")
+    lines = F.split("_row.text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_dropped"), i))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    more = [F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped")] if counts else []
-    out = rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "_dropped", *more)
-    return out.where(F.col("_dropped").isNull() | F.col("text").rlike(r"[^\s\p{Z}]")).drop("_dropped")
+    text = F.when(F.col("_dropped").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    rows = rows.select("_row", "_dropped", text.alias("_kept")).where(F.col("_dropped").isNull() | F.col("_kept").rlike(r"[^\s\p{Z}]"))
+    more = [F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped")] if counts else []
+    return rows.select(*[(F.col("_kept") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns], *more)
 
 
 def with_lengths(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
