@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import bpe, classifier, decontaminate, licenses, ngram_join, rendezvous, repair, spots, templates, token_counts
+from threadloom.llm.checks import CHECKS  # noqa: F401
 from threadloom.llm.shared import shared_folder
 from threadloom.sources.tables import table
 
@@ -21,7 +22,7 @@ def op1_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.scan(table(spark, folder, "documents"))
+    return licenses.scan(table(spark, folder, "documents")).drop("n_met")
 
 
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,4 +61,3 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination)}
-CHECKS: dict[str, str] = {}
