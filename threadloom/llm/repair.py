@@ -42,7 +42,8 @@ RULES = 4096
 MIN_COUNT = 8
 SLOT_BITS = 20
 #: Words whose ids a task keeps; beyond them it starts anew.
-KEPT = 600_000
+KEPT = 1_000_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which begins contractions
 BLOCK_TYPE = "range int, block int, start_in_range bigint, n_ids bigint, first_nonterminal int, doc_ids array<{id}>, doc_starts binary, rules binary, lengths binary, low binary, high binary"
 
 
@@ -56,48 +57,75 @@ class Grammar(NamedTuple):
     ends: np.ndarray
 
 
-class _Words(dict):
-    """Numbers words as they first occur."""
+class _Numbers(dict):
+    """Numbers strings as they first occur; ``fresh`` lists those without ids yet."""
 
-    def __missing__(self, word):
-        number = self[word] = len(self)
+    def __init__(self):
+        self.fresh = []
+
+    def __missing__(self, text):
+        number = self[text] = len(self)
+        self.fresh.append(text)
         return number
 
 
+class _Grown:
+    """An array that grows in large steps."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(max(len(self.data), end - self.size), self.data.dtype)])
+        self.data[self.size : end] = values
+        self.size = end
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordCoder:
     """Ids of texts, each distinct word encoded once.
 
     For a tokenizer that lower-cases, drops white space, keeps letters apart from
-    punctuation and ends words with a mark. Texts of Latin-1 characters, which
-    hold nothing that joins with another character, are lower-cased first.
+    punctuation and ends words with a mark. A word of letters and the punctuation
+    after it are pieces of their own. Texts of Latin-1 characters, which hold
+    nothing that joins with another character, are lower-cased first.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._as_bytes = lambda x: level.pre_tokenize_str(x)[0][0]
+        probe = ["token", "Été", "größe", "x"]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        self.direct = whole == [[t.id for t in self.tokenizer.model.tokenize(self._as_bytes(x.lower()))] for x in probe]
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.flat, self.starts = _Words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.words, self.pieces = _Numbers(), _Numbers()
+        self.stem, self.tail = _Grown(np.int32), _Grown(np.int32)  # pieces of each word, the second -1 where there is one
+        self.ids, self.ends = _Grown(np.int32), _Grown(np.int64)  # ids of all pieces, and where those of each end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > KEPT:
             self.forget()
-        known = len(self.words)
-        found = [np.fromiter(map(self.words.__getitem__, self._plain(t).replace("\n", " ").split(" ")), np.int64) for t in texts]
-        if len(self.words) > known:
-            fresh = list(self.words)[known:]
-            lists = self._fresh(fresh)
-            ends = self.starts[-1] + np.cumsum([len(x) for x in lists])
-            self.flat = np.concatenate([self.flat, *lists]).astype(np.int32)
-            self.starts = np.concatenate([self.starts, ends])
-        return [self._ids(f) for f in found]
+        number = self.words.__getitem__
+        found = [np.fromiter(map(number, self._plain(t).replace("\n", " ").split(" ")), np.int64) for t in texts]
+        self._learn()
+        return [self._ids_of(f) for f in found]
 
     @staticmethod
     def _plain(text: str) -> str:
@@ -106,27 +134,48 @@ class WordCoder:
         except UnicodeEncodeError:
             return text
 
-    def _fresh(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; a word of letters and the punctuation after it are encoded apart."""
-        cut = [(stem, w[len(stem) :]) if (stem := w.rstrip(".,!?;:")).isalpha() else (w, "") for w in words]
-        stems = list({s for s, _ in cut if s.isalpha()})
-        own = {}
-        for at in range(0, len(stems), 256):
-            part = stems[at : at + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int32)
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) == len(part):
-                own.update(zip(part, np.split(ids, ends[:-1])))
-        rest = list({x for pair in cut for x in pair} - own.keys())
-        own.update((w, np.array(e.ids, dtype=np.int32)) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
-        return [own[s] if not tail else np.concatenate([own[s], own[tail]]) for s, tail in cut]
-
-    def _ids(self, words: np.ndarray) -> np.ndarray:
-        begin = self.starts[words]
-        sizes = self.starts[words + 1] - begin
-        total = int(sizes.sum())
+    def _learn(self) -> None:
+        words, self.words.fresh = self.words.fresh, []
+        if not words:
+            return
+        stems, tails = [], []
+        number = self.pieces.__getitem__
+        for word in words:
+            stem = word.rstrip(PUNCTUATION)
+            if len(stem) < len(word) and stem.isalpha():
+                stems.append(number(stem))
+                tails.append(number(word[len(stem) :]))
+            else:
+                stems.append(number(word))
+                tails.append(-1)
+        self.stem.extend(np.array(stems))
+        self.tail.extend(np.array(tails))
+        pieces, self.pieces.fresh = self.pieces.fresh, []
+        # a piece of letters is one word to the library's model; all others go through its whole pipeline
+        sizes, ids = np.zeros(len(pieces), np.int64), [[]] * len(pieces)
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for i, x in enumerate(pieces):
+            if self.direct and x.isalpha() and (x.isascii() or _is_latin(x)):
+                ids[i] = [t.id for t in tokenize(x.lower() if x.isascii() else self._as_bytes(x.lower()))]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        sizes[:] = list(map(len, ids))
+        before = self.ends.data[self.ends.size - 1] if self.ends.size else 0
+        self.ends.extend(before + np.cumsum(sizes))
+        self.ids.extend(np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())))
+
+    def _ids_of(self, words: np.ndarray) -> np.ndarray:
+        both = np.empty((len(words), 2), np.int32)
+        both[:, 0], both[:, 1] = self.stem.data[words], self.tail.data[words]
+        pieces = both.ravel()
+        pieces = pieces[pieces >= 0]
+        end = self.ends.data[pieces]
+        begin = np.where(pieces > 0, self.ends.data[pieces - 1], 0)
+        sizes = end - begin
         ahead = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(begin - ahead, sizes) + np.arange(total)]
+        return self.ids.data[np.repeat(begin - ahead, sizes) + np.arange(int(sizes.sum()))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -136,7 +185,7 @@ def coder(tokenizer_file: str) -> WordCoder:
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, min_count: int = MIN_COUNT) -> Grammar:
     """Grammar of the ids of several documents; ``ends[i]`` is the place after document i, ``first`` above all ids."""
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)  # last symbol of a document
     last[ends - 1] = True
     pairs = [np.zeros((0, 2), np.int64)]
@@ -144,33 +193,41 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS
     for _ in range(rounds):
         if len(sequence) < 2:
             break
-        key = sequence[:-1] << np.int64(32) | sequence[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        inside = ~last[:-1]
-        counts = np.bincount(slot[inside], minlength=1 << SLOT_BITS)
+        left, right = sequence[:-1], sequence[1:]
+        slot = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)
+        slot ^= slot >> np.uint32(15)
+        slot *= np.uint32(0x2C1B3C6D)
+        slot >>= np.uint32(32 - SLOT_BITS)
+        slot[last[:-1]] = 1 << SLOT_BITS  # no pair spans documents
+        counts = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[:-1]
         top = np.argpartition(counts, -rules)[-rules:]
-        top = top[counts[top] >= min_count]
+        top = np.sort(top[counts[top] >= min_count])
         if not len(top):
             break
-        stands = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
-        wanted = np.zeros(1 << SLOT_BITS, dtype=bool)
-        wanted[top] = True
-        place = np.flatnonzero(wanted[slot] & inside)
-        stands[slot[place]] = key[place]
-        place = place[stands[slot[place]] == key[place]]
+        rank = np.full((1 << SLOT_BITS) + 1, -1, dtype=np.int16)
+        rank[top] = np.arange(len(top))
+        ranks = rank[slot]
+        place = np.flatnonzero(ranks >= 0)
+        ranks = ranks[place]
+        stands = np.zeros(len(top), dtype=np.int64)
+        stands[ranks] = place
+        of = stands[ranks]
+        same = (left[place] == left[of]) & (right[place] == right[of])
+        place, ranks = place[same], ranks[same]
         # of neighbouring places every second one
         fresh = np.r_[True, np.diff(place) > 1]
         run = np.flatnonzero(fresh)
-        place = place[(place - np.repeat(place[run], np.diff(np.r_[run, len(place)]))) % 2 == 0]
-        times = np.bincount(slot[place], minlength=1 << SLOT_BITS)
-        used = np.flatnonzero(times >= min_count)
+        every = (place - np.repeat(place[run], np.diff(np.r_[run, len(place)]))) % 2 == 0
+        place, ranks = place[every], ranks[every]
+        used = np.flatnonzero(np.bincount(ranks, minlength=len(top)) >= min_count)
         if not len(used):
             break
-        number = np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+        number = np.full(len(top), -1, dtype=np.int64)
         number[used] = symbol + np.arange(len(used))
-        place = place[number[slot[place]] >= 0]
-        pairs.append(np.stack([stands[used] >> 32, stands[used] & 0xFFFFFFFF], axis=1))
-        sequence[place] = number[slot[place]]
+        keep = number[ranks] >= 0
+        place, ranks = place[keep], ranks[keep]
+        pairs.append(np.stack([left[stands[used]], right[stands[used]]], axis=1).astype(np.int64))
+        sequence[place] = number[ranks]
         last[place] |= last[place + 1]
         stay = np.ones(len(sequence), dtype=bool)
         stay[place + 1] = False
@@ -237,8 +294,8 @@ def blocks(docs: DataFrame, tokenizer_file: str, end_id: int, range_bytes: int =
         own = coder(tokenizer_file)
         for batch in batches:
             ids, texts = [], batch.column("text")
-            for start in range(0, len(texts), 256):
-                ids += [np.append(x, end_id).astype("<u4").tobytes() for x in own.encode([t.as_py() or "" for t in texts[start : start + 256]])]
+            for start in range(0, len(texts), 512):
+                ids += [np.append(x, end_id).astype("<u4").tobytes() for x in own.encode([t.as_py() or "" for t in texts[start : start + 512]])]
             keys = [-1 if x is None else int(np.searchsorted(ends, x, "left")) for x in batch.column("doc_id").to_pylist()]
             narrow = [_narrow(x) for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array([max(k, 0) for k in keys], pa.int32()), batch.column("doc_id"), pa.array([x[0] for x in narrow], pa.binary()), pa.array([x[1] for x in narrow], pa.binary())], ["range", "doc_id", "low", "high"])
