@@ -10,14 +10,16 @@ is counted once for each shared path, and a subtree is left as soon as what
 remains of either set cannot make up the overlap still missing.
 
 Links are wanted as classes, so pairs that are connected already need no
-comparison. First every prefix n-gram compares its documents with its first
-``LEADERS`` ones, which settles groups of copies of any size in linear work;
-then all pairs under an n-gram that are not connected yet are compared. The
-second step leaves no link out.
+comparison. First every set is compared with the one set it meets under most of
+its prefix n-grams among the first ``LEADERS`` of each, which settles groups of
+copies of any size in linear work; then all pairs that are not connected yet and
+share as many prefix n-grams as their sizes demand are compared. The second step
+leaves no link out.
 
 The order only affects speed: n-grams found more than once within a task are
 counted over all tasks and the ``FREQUENT`` most frequent are ordered last, by
-count; all others by hash. This list, 3 MB, is the only broadcast.
+count; all others by hash. This list, 3 MB, is broadcast, and doc_ids to fetch
+sets of, if they are at most ``BROADCAST_ROWS``.
 
 Skew: equal sets are one set from the start, and a task emits a set once; tries
 of a set that many others meet are dealt over several tasks; buckets of an
@@ -33,7 +35,7 @@ empty table gives no rows.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
@@ -41,9 +43,10 @@ from threadloom.llm.components import connected
 from threadloom.llm.shared import written
 
 FREQUENT = 1 << 18
-COUNT_BLOCK = 4 << 20
+COUNT_BLOCK = 1 << 20
 LEADERS = 2
 TRIE_SETS = 512
+BROADCAST_ROWS = 1_000_000
 CELL_ROWS = 2048
 _TOP = np.uint64(1 << 63)
 
@@ -182,16 +185,56 @@ def met_entries(entries: DataFrame) -> DataFrame:
 
 
 def _may_link(num: int, den: int):
-    """Condition on two entries x and y of one n-gram: sizes and places leave enough to share."""
+    """Condition on two entries x and y of one n-gram: sizes and places leave enough to share.
+
+    Before the n-gram both sets have at most ``before`` members in common, those
+    that any other prefix has too; behind it at most what remains of either set.
+    """
     n, m = F.col("x.n"), F.col("y.n")
-    need = F.ceil((n + m) * num / F.lit(num + den) - 1e-9)
-    most = F.least("x.pos", "y.pos") + 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (most >= need)
+    most = F.least("x.before", "y.before") + 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (most >= F.ceil((n + m) * num / F.lit(num + den) - 1e-9))
+
 
+def _shared_needed(n, m, num: int, den: int):
+    """How many n-grams the prefixes of two sets of these sizes share at least, if the sets are alike enough.
+
+    The set whose prefix ends first in the global order has all common n-grams
+    outside of it among its other members, so the rest of the overlap lies in both prefixes.
+    """
+    overlap = F.ceil((n + m) * num / F.lit(num + den) - 1e-9)
+    return F.greatest(F.lit(1), overlap - F.ceil(F.greatest(n, m) * num / F.lit(den) - 1e-9) + 1)
+
+
+def nearest_leaders(met: DataFrame, num: int, den: int) -> DataFrame:
+    """For each set the leader (one of the first sets under an n-gram) it meets under most n-grams: pairs (a, b).
+
+    At most one row per set. Those unlikely to link are left to the second step.
+    """
+    x, y = met.where(F.col("at") < LEADERS).alias("x"), met.alias("y")
+    shared = x.join(y, "token").where(_may_link(num, den) & (F.col("x.at") < F.col("y.at")))
+    shared = shared.groupBy(F.col("y.name").alias("name"), F.col("x.name").alias("leader")).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    shared = shared.where(F.col("times") * 2 >= _shared_needed(F.col("n"), F.col("m"), num, den))
+    best = shared.groupBy("name").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
+    return best.select(F.least("name", "leader").alias("a"), F.greatest("name", "leader").alias("b")).distinct()
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], condition) -> DataFrame:
-    met = left.alias("x").join(right.alias("y"), on).where(condition)
-    return met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+
+def open_pairs(met: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link.
+
+    N-grams whose sets are all in one component are dropped; the sets under any
+    other n-gram are dealt into cells, so that many under one n-gram spread over tasks.
+    """
+    rows = met.join(near.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_count"))
+    tokens = tokens.where(F.col("_low") != F.col("_high")).select("token", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts"))
+    cells = rows.join(tokens, "token").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
+    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    cells = cells.select("token", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "name", "n", "pos", "before", "component")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name"))
+    crossing = (F.col("x._own") != F.col("y._own")) | (F.col("x._i") == F.col("x._j"))
+    shared = cells.alias("x").join(cells.alias("y"), ["token", "_i", "_j"]).where(_may_link(num, den) & apart & crossing)
+    shared = shared.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b")
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[bool]:
@@ -277,9 +320,10 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame, size: int, frequent) -> Dat
             out = [(set_name(grams), in_order(grams, frequent.value).tobytes()) for _, grams in set_rows(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["name", "members"])
 
-    # rows that repeat a doc_id give sets nobody asked for, or the same set again
+    # a doc_id that repeats gives sets nobody asked for, or the same set again; neither changes what is linked
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
-    return rows.mapInArrow(run, "name binary, members binary").dropDuplicates(["name"])
+    return rows.mapInArrow(run, "name binary, members binary")
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -290,24 +334,17 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     rows = both.where("kind = 0").select("doc_id", "n", "name")
     frequent = spark.sparkContext.broadcast(frequent_grams(both.where("kind = 1")))
 
-    met = written(met_entries(prefix_entries(docs, size, num, den, frequent)), "ngram-met")
+    met = met_entries(prefix_entries(docs, size, num, den, frequent))
+    # a set has few rows here, those of its prefix
+    before = F.row_number().over(Window.partitionBy("name").orderBy("pos")) - 1
+    met = written(met.withColumn("before", before), "ngram-met")
     some = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"))
 
-    may = _may_link(num, den)
-    pairs = written(_pairs(met.where(F.col("at") < LEADERS), met, ["token"], may & (F.col("x.at") < F.col("y.at"))), "ngram-pairs")
+    pairs = written(nearest_leaders(met, num, den), "ngram-pairs")
     edges = _verified(docs, pairs, some, size, num, den, frequent)
     near = written(connected(edges, "ngram-near"), "ngram-near")
-
-    open_rows = met.join(near.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    open_tokens = open_rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_count"))
-    open_tokens = open_tokens.where(F.col("_low") != F.col("_high")).select("token", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts"))
-    cells = open_rows.join(open_tokens, "token").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    cells = cells.select("token", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "name", "n", "pos", "component")
-    unequal = (F.col("x.component") != F.col("y.component")) & (F.struct("x.n", "x.name") < F.struct("y.n", "y.name"))
-    crossing = (F.col("x._own") != F.col("y._own")) | (F.col("x._i") == F.col("x._j"))
-    rest = _pairs(cells, cells, ["token", "_i", "_j"], may & unequal & crossing).join(pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, written(rest, "ngram-rest"), some, size, num, den, frequent)
+    rest = written(open_pairs(met, near, num, den).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    more = _verified(docs, rest, some, size, num, den, frequent)
 
     classes = connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "ngram-classes")
     named = some.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -321,7 +358,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
 
 def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
     names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    wanted = names.join(some, "name").select(F.col("first_id").alias("doc_id"))
+    wanted = written(names.join(some, "name").select(F.col("first_id").alias("doc_id")), "ngram-wanted")
     sets = written(ordered_sets(docs, wanted, size, frequent), "ngram-members")
     return written(linked(pairs, sets, num, den), "ngram-links")
 
