@@ -191,6 +191,31 @@ def test_ngram_join(spark, monkeypatch, size, num, cell, seed):
     assert got == brute_classes(texts, ids, size, num, 100)
 
 
+def brute_links(texts, size, num, den):
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set())
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a & b and den * len(a & b) >= num * len(a | b)}
+
+
+@pytest.mark.parametrize("size, num, block, seed", [(3, 90, 1024, 5), (2, 60, 3, 7)])
+def test_ngram_links_are_whole(spark, monkeypatch, size, num, block, seed):
+    monkeypatch.setattr(ngram_join, "LINK_SETS", block)
+    monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 16)
+    texts = [None, "", "one", "ONE", "two words", *near_texts(seed)]
+    want = brute_links(texts, size, num, 100)
+    got = {r.doc_id: r.n_links for r in ngram_join.links(frame(spark, texts), size, num, 100).collect()}
+    assert got == {i: sum(a == i for a, _ in want) for i in range(len(texts))}
+    pairs, sets = (x.collect() for x in ngram_join.linked_sets(frame(spark, texts), size, num, 100))
+    of = {}
+    for r in sets:
+        of.setdefault(bytes(r.name), []).append(r.doc_id)
+    found = [(i, j) for r in pairs for i in of[bytes(r.a)] for j in of[bytes(r.b)]]
+    same = {(i, j) for ids in of.values() for i in ids for j in ids if i != j}
+    assert len(found) == len(set(found)) and {*found, *((j, i) for i, j in found)} | same == want
+
+
 def test_trie_overlaps_equal_set_intersection():
     rng = np.random.default_rng(8)
     for _ in range(20):

@@ -36,6 +36,15 @@ reach(a, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM
 c AS (SELECT a AS doc_id, min(r) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)"""
 
+NGRAM_LINKS = f"""
+WITH base AS ({NGRAMS}),
+d AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*)))
+SELECT base.*, (SELECT count(*) FROM links WHERE a = base.doc_id) AS n_links FROM base"""
+
 _PART = f"ceil((n - {templates.LEAD}) / {templates.PARTS}.0)::INT"
 
 LINES = rf"""
@@ -62,4 +71,4 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-CHECKS = {"op2_license_scan": LICENSES, "op3_ngram_join": NGRAMS, "op5_line_dedup": LINES, "op10_decontamination": BENCHMARK}
+CHECKS = {"op2_license_scan": LICENSES, "op3_ngram_join": NGRAMS, "op3_ngram_links": NGRAM_LINKS, "op5_line_dedup": LINES, "op10_decontamination": BENCHMARK}

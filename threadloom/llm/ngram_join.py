@@ -14,7 +14,12 @@ comparison. First every set is compared with the one set it meets under most of
 its prefix n-grams among the first ``LEADERS`` of each, which settles groups of
 copies of any size in linear work; then all pairs that are not connected yet and
 share as many prefix n-grams as their sizes demand are compared. The second step
-leaves no link out.
+leaves no class out.
+
+Links as such, and their number for each document, come from a third step: every
+link lies inside a class, so all pairs of different sets of a class are compared,
+by counting the n-grams that two blocks of at most about ``LINK_SETS`` sets, or
+``LINK_BYTES`` of members, have in common. Copies count by their number.
 
 The order only affects speed: n-grams found more than once within a task are
 counted over all tasks and the ``FREQUENT`` most frequent are ordered last, by
@@ -23,8 +28,8 @@ sets of, if they are at most ``BROADCAST_ROWS``.
 
 Skew: equal sets are one set from the start, and a task emits a set once; tries
 of a set that many others meet are dealt over several tasks; buckets of an
-n-gram that are still open in the second step are split into cells. Steps are
-cut by tables in the shared folder.
+n-gram that are still open in the second step are split into cells, and so are
+the blocks of a large class in the third. Steps are cut by tables in the shared folder.
 
 Defined cases: null and empty texts, and texts without words, have no n-grams,
 link with nothing and are their own class; a text of fewer words than n is one
@@ -48,6 +53,9 @@ LEADERS = 2
 TRIE_SETS = 512
 BROADCAST_ROWS = 1_000_000
 CELL_ROWS = 2048
+LINK_SETS = 1024
+LINK_BYTES = 1 << 24
+LINK_COLUMNS = 4096
 _TOP = np.uint64(1 << 63)
 
 
@@ -326,8 +334,75 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame, size: int, frequent) -> Dat
     return rows.mapInArrow(run, "name binary, members binary")
 
 
-def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, name (of the set) for every row; two documents link when den * intersection >= num * union."""
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of one list shares with each of the other."""
+    out = np.zeros((len(one), len(two)), np.int64)
+    sizes = [len(s) for s in one] + [len(s) for s in two]
+    member, row = np.concatenate(one + two), np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(member, kind="stable")
+    member, row = member[order], row[order]
+    start = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+    times = np.diff(np.r_[start, len(member)])
+    met = np.repeat(times > 1, times)
+    row, column = row[met], np.repeat(np.arange(np.count_nonzero(times > 1)), times[times > 1])
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+        a, b = np.searchsorted(column, (first, first + LINK_COLUMNS))
+        has = np.zeros((len(sizes), LINK_COLUMNS), np.float32)  # sums of up to LINK_COLUMNS ones are exact
+        has[row[a:b], column[a:b] - first] = 1
+        has = has[:, : int(column[b - 1]) - first + 1]
+        out += (has[: len(one)] @ has[len(one) :].T).astype(np.int64)
+    return out
+
+
+def class_links(classes: DataFrame, sets: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
+    """All pairs (a, b) of different sets that link; ``counted``: name and n_links, the documents that it links with in other sets.
+
+    ``classes`` has name, n, copies and component of every set that is not alone in its class.
+    """
+    groups = classes.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / LINK_SETS, F.sum(F.col("n").cast("bigint")) * 8 / LINK_BYTES)).cast("int").alias("_parts"))
+    rows = classes.join(groups, "component").join(sets, "name").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    rows = rows.select("component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "name", "copies", "members")
+    schema = "name binary, n_links bigint" if counted else "a binary, b binary"
+
+    def settle(key, held: dict):
+        sides = [[(name, *x[1:]) for name, x in held.items() if x[0] == side] for side in dict.fromkeys(key[1:])]
+        one, two = sides[0], sides[-1]
+        if not one or not two or len(held) < 2:
+            return None
+        n, m = (np.array([len(x[2]) for x in side]) for side in (one, two))
+        yes = shared_counts([x[2] for x in one], [x[2] for x in two]) >= overlap_needed(n[:, None], m[None, :], num, den)
+        if len(sides) == 1:
+            yes &= ~np.eye(len(one), dtype=bool) if counted else np.triu(np.ones(yes.shape, bool), 1)
+        if counted:
+            found = [(x[0], int(c)) for x, c in zip(one, yes @ np.array([x[1] for x in two]))]
+            found += [(x[0], int(c)) for x, c in zip(two, np.array([x[1] for x in one]) @ yes)] if len(sides) == 2 else []
+            found = [x for x in found if x[1]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int64())], ["name", "n_links"])
+        pairs = [sorted((one[i][0], two[j][0])) for i, j in np.argwhere(yes)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], ["a", "b"])
+
+    def run(batches):
+        key, held = None, {}  # a set that was fetched more than once counts once
+        for batch in batches:
+            columns = [batch.column(c) for c in ("component", "_i", "_j", "_own", "name", "copies", "members")]
+            for i in range(batch.num_rows):
+                here = tuple(c[i].as_py() for c in columns[:3])
+                if here != key:
+                    if (found := settle(key, held) if held else None) is not None:
+                        yield found
+                    key, held = here, {}
+                own, name, copies = (c[i].as_py() for c in columns[3:6])
+                if name not in held:
+                    held[name] = (own, copies, np.frombuffer(columns[6][i].as_buffer(), np.uint64).copy())
+        if (found := settle(key, held) if held else None) is not None:
+            yield found
+
+    return rows.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j").mapInArrow(run, schema)
+
+
+def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, name) of all documents; name, first_id, n, copies, component and whether it is alone of every set; members of those that are not."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     both = written(sets_and_counts(docs, size), "ngram-sets")
@@ -338,29 +413,52 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataF
     # a set has few rows here, those of its prefix
     before = F.row_number().over(Window.partitionBy("name").orderBy("pos")) - 1
     met = written(met.withColumn("before", before), "ngram-met")
-    some = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"))
+    some = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
 
     pairs = written(nearest_leaders(met, num, den), "ngram-pairs")
-    edges = _verified(docs, pairs, some, size, num, den, frequent)
+    edges, sets = _verified(docs, pairs, some, size, num, den, frequent)
     near = written(connected(edges, "ngram-near"), "ngram-near")
     rest = written(open_pairs(met, near, num, den).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-    more = _verified(docs, rest, some, size, num, den, frequent)
+    more, more_sets = _verified(docs, rest, some, size, num, den, frequent)
 
     classes = connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "ngram-classes")
-    named = some.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    named = written(named, "ngram-named")
+    named = some.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("alone", F.col("component").isNull())
+    named = written(named.withColumn("component", F.coalesce("component", "name")), "ngram-named")
+    return rows, named, sets.unionByName(more_sets)
+
+
+def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, name (of the set) for every row; two documents link when den * intersection >= num * union.
+
+    With ``counted`` also n_links: the other rows, copies included, that the row links with.
+    """
+    rows, named, sets = _classes_of_sets(docs, size, num, den)
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    facts = named.join(first, "component").select("name", "component_id", "copies")
+    if counted:
+        links = class_links(named.where("not alone").drop("first_id", "alone"), sets, num, den, True)
+        links = written(links.groupBy("name").agg(F.sum("n_links").alias("n_links")), "ngram-n-links")
+        facts = facts.join(links, "name", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if counted else []
     return (
-        rows.join(named.join(first, "component").select("name", "component_id"), "name", "left")
-        .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "name")
+        rows.join(facts.drop("copies"), "name", "left")
+        .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "name", *more)
     )
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
+def linked_sets(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) for different sets that link, and (doc_id, name) for the documents of each set; documents of one set link too."""
+    rows, named, sets = _classes_of_sets(docs, size, num, den)
+    links = class_links(named.where("not alone").drop("first_id", "alone"), sets, num, den, False)
+    return written(links, "ngram-all-links"), rows.where("n > 0").select("doc_id", "name")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int, frequent) -> tuple[DataFrame, DataFrame]:
+    """The pairs that link, and the sets of all pairs."""
     names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     wanted = written(names.join(some, "name").select(F.col("first_id").alias("doc_id")), "ngram-wanted")
     sets = written(ordered_sets(docs, wanted, size, frequent), "ngram-members")
-    return written(linked(pairs, sets, num, den), "ngram-links")
+    return written(linked(pairs, sets, num, den), "ngram-links"), sets
 
 
 def classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -368,6 +466,11 @@ def classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return join(docs, size, num, den).drop("name")
 
 
+def links(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links."""
+    return join(docs, size, num, den, counted=True).drop("name")
+
+
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that are the smallest doc_id of their class, with all their columns."""
     dropped = join(docs, size, num, den).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

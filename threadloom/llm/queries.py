@@ -29,6 +29,11 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"), size=3, num=90, den=100)
 
 
+def op3_ngram_links(spark: SparkSession, folder: str) -> DataFrame:
+    """op3_ngram_join with the number of links of each document."""
+    return ngram_join.links(table(spark, folder, "documents"), size=3, num=90, den=100)
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), RANK_FILE, SPLIT_PATTERN)
 
@@ -60,4 +65,4 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op3_ngram_links, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination)}
