@@ -369,6 +369,23 @@ def test_classifier_defined_cases(spark):
 # Re-Pair
 
 
+def test_classifier_sample_goes_on_after_long_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda texts, labels: seen.append(sorted(zip(texts, labels))))
+    monkeypatch.setattr(classifier, "MAX_TEXT", 20)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = [f"long {i} " + "x" * (500 if i % 4 == 0 else 30) if i % 2 == 0 else f"text {i}" for i in ids]
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in ids], "doc_id bigint, quality int")
+    short = [(t, i % 3 % 2) for i, t in zip(ids, texts) if i % 2]
+    room = sum(len(t) for t, _ in short)
+    for extra in (0, 90):
+        classifier.fit(frame(spark, texts, ids), labels, max_bytes=room + extra)
+        assert set(short) <= set(seen[-1]) and sum(len(t) for t, _ in seen[-1]) <= room + extra
+    assert len(seen[0]) == len(short) < len(seen[1])
+    classifier.fit(frame(spark, [texts[1], texts[1]], [ids[1], ids[1]]), labels)
+    assert [t for t, _ in seen[-1]] == [texts[1]] * 2
+
+
 def test_repair_grammar_round_trip():
     rng = np.random.default_rng(12)
     for n_docs in (1, 5, 40):

@@ -7,7 +7,10 @@ bounded sample of labelled documents. Scoring reads every whole text; since the
 output is linear in the mean, each bucket is folded into one number first.
 
 The sample takes at most ``MAX_ROWS`` labelled documents of at most ``MAX_BYTES``
-of text together, in the order of a hash of doc_id.
+of text together, in the order of a hash of doc_id. Texts of over ``MAX_TEXT``
+bytes come after all others, so they only fill what is left; those of over
+``MAX_BYTES`` cannot be learned from. It is chosen by ids and lengths, then only
+the chosen texts are fetched.
 
 Defined cases: a null or empty text gets the score of the bias alone; without
 labelled rows every score is 0.5; several labels of one document count as their
@@ -26,6 +29,7 @@ from threadloom.llm import words as W
 
 MAX_ROWS = 3000
 MAX_BYTES = 24 << 20
+MAX_TEXT = 1 << 20
 BITS = 17
 DIM = 10
 EPOCHS = 10
@@ -118,11 +122,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         .limit(max_rows)
     )
     # at most max_rows narrow rows
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(known), "doc_id")
-    rows = rows.withColumn("_at", F.xxhash64("doc_id")).orderBy("_at", "doc_id", F.xxhash64("_text")).limit(max_rows)
-    so_far = F.sum(F.octet_length("_text")).over(Window.orderBy("_at", "doc_id", F.xxhash64("_text")).rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("_so_far", so_far).where(F.col("_so_far") <= max_bytes).select("_text", "_label").collect()
-    return train([r["_text"] for r in sample], [r["_label"] for r in sample])
+    text, order = F.coalesce("text", F.lit("")), ["_long", "_at", "doc_id", "_hash"]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_hash"), F.octet_length(text).cast("bigint").alias("_bytes"), F.xxhash64("doc_id").alias("_at"))
+    rows = rows.join(F.broadcast(known), "doc_id").where(F.col("_bytes") <= max_bytes).withColumn("_long", F.col("_bytes") > MAX_TEXT)
+    rows = rows.orderBy(*order).limit(max_rows)
+    so_far = F.sum("_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = rows.withColumn("_so_far", so_far).where(F.col("_so_far") <= max_bytes).select(*order, "_label").collect()
+    if not chosen:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["_hash"]) for r in chosen], rows.select("doc_id", "_hash").schema).distinct()
+    found = docs.select("doc_id", F.xxhash64(text).alias("_hash"), text.alias("_text")).join(F.broadcast(wanted), ["doc_id", "_hash"])
+    # equal rows are fetched once and learned from as often as they were chosen
+    texts = {(r["doc_id"], r["_hash"]): r["_text"] for r in found.groupBy("doc_id", "_hash").agg(F.first("_text").alias("_text")).collect()}
+    return train([texts[r["doc_id"], r["_hash"]] for r in chosen], [r["_label"] for r in chosen])
 
 
 def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
