@@ -216,6 +216,13 @@ def test_ngram_links_are_whole(spark, monkeypatch, size, num, block, seed):
     assert len(found) == len(set(found)) and {*found, *((j, i) for i, j in found)} | same == want
 
 
+def test_ngram_links_reach_sets_of_null_ids(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i : i + 30]) for i in (0, 2, 4)]  # neighbours link, the middle one has no id
+    got = ngram_join.links(frame(spark, texts, [7, None, 9]), 3, 80, 100).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {7: (7, 1), None: (7, 2), 9: (7, 1)}
+
+
 def test_trie_overlaps_equal_set_intersection():
     rng = np.random.default_rng(8)
     for _ in range(20):

@@ -328,9 +328,10 @@ def ordered_sets(docs: DataFrame, wanted: DataFrame, size: int, frequent) -> Dat
             out = [(set_name(grams), in_order(grams, frequent.value).tobytes()) for _, grams in set_rows(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["name", "members"])
 
-    # a doc_id that repeats gives sets nobody asked for, or the same set again; neither changes what is linked
+    # a doc_id that repeats, or null, gives sets nobody asked for, or the same set again; neither changes what is linked
+    wanted = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
     return rows.mapInArrow(run, "name binary, members binary")
 
 
