@@ -71,4 +71,28 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-CHECKS = {"op2_license_scan": LICENSES, "op3_ngram_join": NGRAMS, "op3_ngram_links": NGRAM_LINKS, "op5_line_dedup": LINES, "op10_decontamination": BENCHMARK}
+_RULES = "('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')"
+
+URLS = f"""
+WITH p AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, n, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{licenses.UPPER}', '{licenses.LOWER}') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM p),
+r(rule, h, prefix, v) AS (VALUES {_RULES}),
+m AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (n)"""
+
+COLLOCATIONS = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, doc, unnest(list_transform(pieces, lambda x: regexp_extract_all(x, '[^\\x20\\x09]+'))) AS ws FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM p, range(1, 6) AS s(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+cuts AS (SELECT lang, phrase, size, a, unnest(range(1, size)) AS k, ws FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, size, a, cuts.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts JOIN n USING (lang)
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1 : cuts.k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[cuts.k + 1 : size], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.size > b.size AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
+
+CHECKS = {"op11_collocations": COLLOCATIONS, "op13_url_filter": URLS, "op2_license_scan": LICENSES, "op3_ngram_join": NGRAMS, "op3_ngram_links": NGRAM_LINKS, "op5_line_dedup": LINES, "op10_decontamination": BENCHMARK}

@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, classifier, decontaminate, licenses, ngram_join, rendezvous, repair, spots, templates, token_counts
+from threadloom.llm import bpe, classifier, collocations, decontaminate, licenses, ngram_join, periodic_runs, rendezvous, repair, spots, templates, token_counts, url_filter
 from threadloom.llm.checks import CHECKS  # noqa: F401
 from threadloom.llm.shared import shared_folder
 from threadloom.sources.tables import table
@@ -15,6 +15,8 @@ SPLIT_PATTERN = public_tokenizers.PATTERN
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
+#: Host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def op1_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,4 +67,16 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op3_ngram_links, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination)}
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.top(table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.report(table(spark, folder, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), spark.createDataFrame(URL_RULES, url_filter.RULE_COLUMNS))
+
+
+QUERIES = {f.__name__: f for f in (op1_trie_token_counts, op2_license_scan, op3_ngram_join, op3_ngram_links, op4_bpe_round_trip, op5_line_dedup, op6_rendezvous_shards, op7_quality_classifier, op8_repair_ids, op9_spot_fingerprints, op10_decontamination, op11_collocations, op12_periodic_runs, op13_url_filter)}

@@ -82,8 +82,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         start = stop
 
 
-def find_words(text: Bytes, member: np.ndarray) -> Words:
-    """Maximal runs of member bytes within each text, with A-Z lower-cased for the hash."""
+def find_words(text: Bytes, member: np.ndarray, fold: bool = True) -> Words:
+    """Maximal runs of member bytes within each text, with A-Z lower-cased unless ``fold`` is false."""
     data, offsets = text
     n = len(data)
     inside = member[data]
@@ -96,7 +96,7 @@ def find_words(text: Bytes, member: np.ndarray) -> Words:
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     row = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets, "left")
-    lower = TO_LOWER[data]
+    lower = TO_LOWER[data] if fold else data
     return Words(lower, starts, ends, row, first, _hashes(lower[inside], ends - starts))
 
 
