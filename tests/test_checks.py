@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 
 import __spark_entry__ as entry
 

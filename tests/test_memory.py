@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import memory as M
@@ -91,10 +92,55 @@ def test_long_repeats_reach_the_maximum(spark, short_spans):
     assert item["confidence"] == 0.99 and item["n_sources"] == 50
 
 
-def test_block_text_is_left_out_above_the_request_limit(spark, monkeypatch):
+def test_block_text_is_whole_above_the_request_limit(spark, monkeypatch):
     rows = [(1, 1, 0, "owner", "Ann", "fact", 0.7, "set"), (2, 1, 0, "owner", "B" * 400, "fact", 0.7, "set")]
     items = M.memory_items(M.memory_events(spark.createDataFrame(rows, SCHEMA)))
     monkeypatch.setattr(M.V, "MAX_REQUEST_TOKENS", 50)
     block = {r["conv_id"]: r for r in M.memory_block(items).collect()}
     assert block[1]["block"] == "STRUCTURED MEMORY\nowner: Ann" and block[1]["block_tokens"] == 11
-    assert block[2]["block"] is None and block[2]["block_tokens"] == 111
+    assert block[2]["block"] == "STRUCTURED MEMORY\nowner: " + "B" * 400 and block[2]["block_tokens"] == 111
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_keys_of_a_hot_slot_are_resolved_by_spans(spark, short_spans, seed):
+    """Removals of the only active item through a key that does not exist yet, across many spans."""
+    rng = random.Random(seed)
+    keys = [f"{x}database" for x in ("", "a_", "b_", "c_", "d_", "e_")][: 2 + seed * 2]
+    rows = [(1, t, 0, rng.choice(keys[:2] if t < 20 else keys), rng.choice("AB"), "fact", 0.7, "remove" if rng.random() < 0.55 else "set") for t in range(60)]
+    rows += [(2, t, 0, keys[0], "A", "fact", 0.7, "set") for t in range(12)] + [(2, 13, 0, keys[1], "B", "fact", 0.7, "remove"), (2, 14, 0, keys[1], "B", "fact", 0.7, "set")]
+    _check(spark, rows)
+
+
+def test_no_python_runs_in_the_merge(spark):
+    rows = [(1, t, 0, ["database", "a_database"][t % 2], "A", "fact", 0.7, "set") for t in range(6)]
+    plan = M.memory_events(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Python" not in plan
+
+
+def test_versions_are_the_memory_before_every_request(spark, short_spans):
+    rows = _statements(7, ["deadline", "owner", "database", "audit_database"], n=40, convs=3) + [(9, t, 0, "owner", "Ann", "fact", 0.7, "set") for t in range(30)]
+    requests = [(conv, t) for conv in (0, 1, 2, 9, 11) for t in range(0, 45, 2 if conv else 3)] + [(0, 3), (2, 4)]
+    versions = M.memory_versions(M.memory_events(spark.createDataFrame(rows, SCHEMA))).cache()
+    asked = spark.createDataFrame(requests, "conv_id bigint, req_turn bigint")
+    seen = [r.asDict() for r in M.memory_for_requests(versions, asked).collect()]
+    sizes = {(r["conv_id"], r["req_turn"]): r for r in M.memory_sizes(versions, asked).collect()}
+    assert len(sizes) == len(set(requests))
+    assert len(seen) <= versions.count()
+    for conv, turn in set(requests):
+        items, _ = fold([r for r in rows if r[0] == conv and r[1] < turn])
+        want = {k: (i["value"], i["type"], round(i["conf"], 9), i["active"], len(i["sources"])) for k, i in items.items()}
+        got = {r["key"]: (r["value"], r["type"], round(r["confidence"], 9), r["active"], r["n_sources"]) for r in seen if r["conv_id"] == conv and r["first_request"] <= turn <= r["last_request"]}
+        assert got == want
+        lines = [f"{k}: {i['value']}" for k, i in items.items() if i["active"]]
+        assert (sizes[conv, turn]["active_items"], sizes[conv, turn]["line_tokens"]) == (len(lines), sum(-(-len(x) // 4) + 1 for x in lines))
+    for r in seen:
+        mine = sorted({t for c, t in requests if c == r["conv_id"]})
+        assert r["n_requests"] == sum(r["first_request"] <= t <= r["last_request"] for t in mine)
+
+
+def test_memory_of_nothing(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    versions = M.memory_versions(M.memory_events(none))
+    asked = spark.createDataFrame([(1, 5)], "conv_id bigint, req_turn bigint")
+    assert versions.count() == 0 and M.memory_for_requests(versions, asked).count() == 0
+    assert [tuple(r) for r in M.memory_sizes(versions, asked).collect()] == [(1, 5, 0, 0)]

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from pyspark.sql import functions as F
 
 from threadloom.operators import annotate as A

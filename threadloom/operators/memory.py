@@ -6,12 +6,10 @@ the previous statement of the same key, found with bucketed windows, and the
 item is then an aggregate over those classified statements.
 
 ``keys`` names the columns that identify one memory: ``["conv_id"]`` for the
-current state, ``["conv_id", "req_turn"]`` for the state before each request.
+current state, ``["conv_id", "req_turn"]`` for the state before one request of
+each. For all requests at once there are versions with the turns they are valid.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +21,9 @@ CONV = ["conv_id"]
 AT = ["turn", "idx"]
 # From any confidence, this many repeats reach the maximum; later ones change nothing.
 REPEATS_TO_MAX = 20
+# States of a key while a slot's statements are followed, and the target that is not among a span's own keys.
+ABSENT, INACTIVE, ACTIVE = 0, 1, 2
+OTHER = -1
 CATEGORY_NAMES = [name for _, name in V.CATEGORIES]
 
 
@@ -36,7 +37,7 @@ def resolve_keys(statements: DataFrame, keys: list[str] = CONV) -> DataFrame:
 
     Only categories for which a memory holds two or more different raw keys can
     redirect. Of those, repeats of the same key and operation follow their
-    predecessor, so only the first statement of each repeat is looked at in order.
+    predecessor, so only the first statement of each repeat, a head, is followed.
     """
     canonical = T.canonical_key(F.col("key"))
     named = statements.withColumn("key", F.when(canonical != "", canonical).otherwise(F.col("key"))).withColumn("_cat", _last_segment(F.col("key")))
@@ -63,36 +64,86 @@ def resolve_keys(statements: DataFrame, keys: list[str] = CONV) -> DataFrame:
 
 
 def _walk_heads(heads: DataFrame, slot: list[str]) -> DataFrame:
-    """Walk each slot's heads in order; memory is one entry per distinct key of the slot."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, active = None, {}
-        for batch in batches:
-            targets = []
-            for row in batch.itertuples(index=False):
-                here = tuple(getattr(row, name) for name in names)
-                if here != current:
-                    current, active = here, {}
-                key = row.key
-                if key not in active:
-                    alive = [k for k, on in active.items() if on]
-                    if len(alive) == 1:
-                        key = alive[0]
-                if row.op != "remove":
-                    active[key] = True
-                elif key in active:
-                    active[key] = False
-                targets.append(key)
-            yield batch[[*order]].assign(_target=targets)
-
-    order = [*slot, *AT]
-    plain = heads.withColumnRenamed("_cat", "cat")
-    order = ["cat" if c == "_cat" else c for c in order]
-    names = ["cat" if c == "_cat" else c for c in slot]
-    fields = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in order) + ", _target string"
-    walked = plain.repartition(*names).sortWithinPartitions(*order).mapInPandas(walk, schema)
-    return walked.withColumnRenamed("cat", "_cat")
+    """The key each head applies to (``_target``), for slots cut into spans that are followed at once.
+
+    Each span starts from a state: which of its keys exist or are active, how many other items
+    are active, and which one if it is the only one. The first pass starts all spans empty; what
+    they end with gives the state the next span really starts from, and spans that started from
+    another are followed again until none is left. The first n spans are right after n passes;
+    once all keys exist, a span's end hardly depends on its start, so a few passes do.
+    """
+    spans = heads.withColumn("_span", ordered.span_of(F.col("turn"))).groupBy(*slot, "_span").agg(
+        F.array_sort(F.collect_list(F.struct(*AT, "key", "op"))).alias("_heads"), F.array_sort(F.collect_set("key")).alias("_keys")
+    )
+    nothing = {"_before": F.transform("_keys", lambda k: F.lit(ABSENT)), "_others": F.lit(0), "_other": F.lit(None).cast("string")}
+    walked = ordered.cut_lineage(_follow(spans.withColumns(nothing)))
+    several = walked.groupBy(*slot).count().where("count > 1").select(*slot)
+    if not several.isEmpty():
+        single = walked.join(several, slot, "left_anti")
+        walked = ordered.cut_lineage(walked.join(several, slot, "left_semi"))
+        while True:
+            real = ordered.cut_lineage(_states_before(walked, slot))
+            same = F.col("_before") == F.col("_was")
+            same &= (F.col("_others") == F.col("_others_was")) & F.col("_other").eqNullSafe(F.col("_other_was"))
+            if real.where(~same).isEmpty():
+                break
+            walked = ordered.cut_lineage(_follow(real.drop("_was", "_others_was", "_other_was")))
+        walked = single.unionByName(walked)
+    target = F.when(F.col("_to") == OTHER, F.col("_other")).otherwise(F.get("_keys", F.col("_to")))
+    rows = walked.select(*slot, "_keys", "_other", F.explode(F.arrays_zip("_heads", "_targets")).alias("_h"))
+    rows = rows.select(*slot, "_keys", "_other", *[F.col(f"_h._heads.{c}").alias(c) for c in AT], F.col("_h._targets").alias("_to"))
+    return rows.select(*slot, *AT, target.alias("_target"))
+
+
+def _follow(spans: DataFrame) -> DataFrame:
+    """Follow the heads of each span from its start (``_before``, ``_others``): ``_targets`` of the heads
+    (place in ``_keys``, or OTHER), ``_after`` and whether the one other active item was removed."""
+    places = F.transform("_heads", lambda h: F.struct((F.array_position("_keys", h["key"]) - 1).cast("int").alias("p"), (h["op"] == "remove").alias("off")))
+    start = F.struct(F.col("_before").alias("s"), F.col("_others").alias("o"), F.array().cast("array<int>").alias("t"))
+
+    def step(acc, h):
+        alive = F.size(F.filter(acc["s"], lambda x: x == ACTIVE)) + acc["o"]
+        only = F.when(acc["o"] == 1, F.lit(OTHER)).otherwise(F.array_position(acc["s"], ACTIVE).cast("int") - 1)
+        to = F.when((F.get(acc["s"], h["p"]) != ABSENT) | (alive != 1), h["p"]).otherwise(only)
+
+        def applied(to):
+            changed = lambda x: F.when(~h["off"], ACTIVE).when(x == ABSENT, ABSENT).otherwise(INACTIVE)
+            return F.struct(
+                F.transform(acc["s"], lambda x, i: F.when(i == to, changed(x)).otherwise(x)).alias("s"),
+                F.when((to == OTHER) & h["off"], 0).otherwise(acc["o"]).alias("o"),
+                F.concat(acc["t"], F.array(to)).alias("t"),
+            )
+
+        return T.let(to, applied)
+
+    followed = spans.withColumn("_r", F.aggregate(places, start, step))
+    removed = (F.col("_others") == 1) & (F.col("_r.o") == 0)
+    return followed.withColumns({"_after": F.col("_r.s"), "_targets": F.col("_r.t"), "_removed": removed}).drop("_r")
+
+
+def _states_before(walked: DataFrame, slot: list[str]) -> DataFrame:
+    """The same spans with the states that the spans before them end with; the states assumed so far in ``_was`` columns."""
+    code = F.xxhash64("key").cast("decimal(38,0)")
+    own = walked.select(*slot, "_span", F.explode(F.arrays_zip(F.col("_keys").alias("key"), F.col("_after").alias("after"))).alias("k")).select(*slot, "_span", "k.*", F.lit(True).alias("own"))
+    gone = walked.where("_removed").select(*slot, "_span", F.col("_other").alias("key"), F.lit(INACTIVE).alias("after"), F.lit(False).alias("own"))
+    # a row for each span a key occurs in
+    rows = own.unionByName(gone).withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy(*slot, "key").orderBy("_span")), F.lit(ABSENT)))
+    rows = rows.withColumn("code", code)
+    change = (F.col("after") == ACTIVE).cast("int") - (F.col("before") == ACTIVE).cast("int")
+    mine = (F.col("own") & (F.col("before") == ACTIVE)).cast("int")
+    spans = rows.groupBy(*slot, "_span").agg(
+        F.sum(change).alias("_n"), F.sum(change * F.col("code")).alias("_codes"), F.sum(mine).alias("_mine"), F.sum(mine * F.col("code")).alias("_my_codes"),
+        F.array_sort(F.collect_list(F.when(F.col("own"), F.struct("key", "before")))).getField("before").alias("_before"),
+    )
+    # a row for each span of the slot; the sum of the codes of one item is its code
+    along = Window.partitionBy(*slot).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
+    others = spans.select(*slot, "_span", "_before", (earlier("_n") - F.col("_mine")).cast("int").alias("_others"), (earlier("_codes") - F.col("_my_codes")).alias("_code"))
+    names = rows.select(*slot, F.col("code").alias("_code"), F.col("key").alias("_other")).distinct()
+    others = others.withColumn("_code", F.when(F.col("_others") == 1, F.col("_code").cast("decimal(38,0)"))).join(names, [*slot, "_code"], "left").drop("_code")
+    others = others.withColumn("_others", F.least("_others", F.lit(2)))
+    kept = walked.select(*slot, "_span", "_heads", "_keys", F.col("_before").alias("_was"), F.col("_others").alias("_others_was"), F.col("_other").alias("_other_was"))
+    return kept.join(others, [*slot, "_span"])
 
 
 # --- M4: what each statement does ------------------------------------------------
@@ -201,6 +252,66 @@ def memory_changes(events: DataFrame, keys: list[str] = CONV) -> DataFrame:
     )
 
 
+def memory_versions(events: DataFrame) -> DataFrame:
+    """State of each item of a conversation after every turn that touched it, valid until the next such turn (NULL: still).
+
+    One row per touched turn and item, however many requests look at it. Confidence in closed form: after
+    n repeats it is n steps above the largest of its start and of each repeat's own less the steps before it.
+    """
+    item = [*CONV, "key"]
+    starts = F.col("change").isin("created", "updated")
+    repeat = F.col("change") == "unchanged"
+    rows = events.where(F.col("change") != "ignored").withColumn("_span", ordered.span_of(F.col("turn")))
+    rows = ordered.running_sums(rows, [*item, "run_at"], ["_span"], AT, {"_n": repeat.cast("int")})
+    own = F.when(starts, F.col("confidence")).when(repeat, F.col("confidence") - F.lit(V.CONFIDENCE_STEP) * (F.col("_n") - 1))
+    rows = ordered.running_max(rows, [*item, "run_at"], ["_span"], AT, own, "_base")
+    rows = ordered.carry(rows, item, ["_span"], AT, F.when(starts, F.col("type")), "_type", include_row=True)
+    raised = F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.least(F.lit(V.CONFIDENCE_MAX), F.col("_base") + F.lit(V.CONFIDENCE_STEP) * F.col("_n")))
+    state = F.struct(F.col("item_value").alias("value"), F.col("_type").alias("type"), raised.alias("confidence"), (F.col("op") == "set").alias("active"))
+    turns = ordered.cut_lineage(rows.groupBy(*item, "turn", "_span").agg(F.max_by(state, "idx").alias("s")).select(*item, "turn", "_span", "s.*"))
+    turns = ordered.positions(turns, item, ["_span"], ["turn"], "n_sources", start=1)
+    return ordered.following(turns, item, ["_span"], ["turn"], F.col("turn"), "until").drop("_span")
+
+
+def memory_for_requests(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """The versions of :func:`memory_versions` that a request sees, with the first and last such request and their number.
+
+    A request sees the version that is valid before its turn, so each serves a stretch of neighbouring requests:
+    the result grows with the changes, not with requests times items. ``requests``: conv_id, req_turn, many per conversation.
+    """
+    asked = requests.select("conv_id", F.col("req_turn").alias("turn")).distinct().withColumn("_span", ordered.span_of(F.col("turn")))
+    asked = ordered.cut_lineage(ordered.positions(asked, CONV, ["_span"], ["turn"], "nth"))
+    # number of requests up to each turn that touched an item, the request of the same turn included
+    points = asked.select("conv_id", "turn", "_span", F.lit(0).alias("_kind")).unionByName(
+        versions.select("conv_id", "turn", ordered.span_of(F.col("turn")).alias("_span"), F.lit(1).alias("_kind")).distinct()
+    )
+    counted = ordered.running_sums(points, CONV, ["_span"], ["turn", "_kind"], {"_seen": (F.col("_kind") == 0).cast("int")})
+    counted = ordered.cut_lineage(counted.where("_kind = 1").select("conv_id", "turn", "_seen"))
+    totals = asked.groupBy("conv_id").agg(F.count("*").alias("_all"))
+    rows = versions.join(counted.withColumnRenamed("_seen", "_from"), ["conv_id", "turn"])
+    rows = rows.join(counted.select("conv_id", F.col("turn").alias("until"), F.col("_seen").alias("_to")), ["conv_id", "until"], "left")
+    rows = ordered.attach_present(rows, totals, CONV, F.col("turn"), "inner").withColumn("_to", F.coalesce("_to", "_all"))
+    rows = rows.where(F.col("_to") > F.col("_from"))
+    place = lambda name: asked.select("conv_id", F.col("nth").alias(f"_{name}"), F.col("turn").alias(name))
+    rows = rows.withColumns({"_first_request": F.col("_from"), "_last_request": F.col("_to") - 1})
+    rows = rows.join(place("first_request"), ["conv_id", "_first_request"]).join(place("last_request"), ["conv_id", "_last_request"])
+    return rows.select(
+        "conv_id", "key", "value", "type", "confidence", "active", "n_sources", "turn", "until", "first_request", "last_request", (F.col("_to") - F.col("_from")).alias("n_requests")
+    )
+
+
+def memory_sizes(versions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Active items, and the tokens of their lines, before each request: running sums of what every version changes."""
+    cost = F.when(F.col("active"), line_tokens()).otherwise(0)
+    begin = versions.select("conv_id", "turn", F.lit(1).alias("_kind"), F.col("active").cast("int").alias("n"), cost.alias("tokens"))
+    end = versions.where(F.col("until").isNotNull()).select("conv_id", F.col("until").alias("turn"), F.lit(1).alias("_kind"), (-F.col("active").cast("int")).alias("n"), (-cost).alias("tokens"))
+    asked = requests.select("conv_id", F.col("req_turn").alias("turn"), F.lit(0).alias("_kind"), F.lit(0).alias("n"), F.lit(0).alias("tokens")).distinct()
+    points = begin.unionByName(end).unionByName(asked).groupBy("conv_id", "turn", "_kind").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    points = points.withColumn("_span", ordered.span_of(F.col("turn")))
+    summed = ordered.running_sums(points, CONV, ["_span"], ["turn", "_kind"], {"active_items": F.col("n"), "line_tokens": F.col("tokens")})
+    return summed.where("_kind = 0").select("conv_id", F.col("turn").alias("req_turn"), "active_items", "line_tokens")
+
+
 def memory_before_requests(statements: DataFrame, requests: DataFrame) -> DataFrame:
     """Statements made before each request, keyed for a memory per request (M9)."""
     wanted = requests.select("conv_id", "req_turn")

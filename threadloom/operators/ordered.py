@@ -74,6 +74,22 @@ def carry(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], v
     )
 
 
+def running_max(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Largest non-null ``value`` up to each row within ``keys``."""
+    inside = Window.partitionBy(*keys, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = df.groupBy(*keys, *bucket).agg(F.max(value).alias("_top"))
+    tops = tops.select(*keys, *bucket, F.max("_top").over(_earlier(keys, bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    return df.withColumn(out, F.max(value).over(inside)).join(tops, [*keys, *bucket]).withColumn(out, F.greatest(out, "_top")).drop("_top")
+
+
+def following(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """``value`` of the next row within ``keys``, NULL for the last."""
+    first = df.groupBy(*keys, *bucket).agg(F.min_by(value, F.struct(*order)).alias("_next"))
+    first = first.select(*keys, *bucket, F.lead("_next").over(_earlier(keys, bucket)).alias("_next"))
+    inside = Window.partitionBy(*keys, *bucket).orderBy(*order)
+    return df.withColumn(out, F.lead(value).over(inside)).join(first, [*keys, *bucket]).withColumn(out, F.coalesce(out, "_next")).drop("_next")
+
+
 def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], position: Column, upto: Column, how: str = "inner") -> DataFrame:
     """Join one-row-per-key facts to many rows per key, span by span.
 

@@ -56,6 +56,12 @@ def latest_requests(messages: DataFrame) -> DataFrame:
     return last.select("conv_id", F.col("r.turn").alias("req_turn"), F.col("r.pos").alias("n"), F.col("r.text").alias("request"))
 
 
+def all_requests(messages: DataFrame) -> DataFrame:
+    """Every user message that has a history, many per conversation."""
+    asked = messages.where((F.col("role") == "user") & (F.col("pos") > 0))
+    return asked.select("conv_id", F.col("turn").alias("req_turn"), F.col("pos").alias("n"), F.col("text").alias("request"))
+
+
 def request_features(requests: DataFrame) -> DataFrame:
     text = F.col("request")
     staged = requests.withColumns({"request_terms": T.terms(text), "important": T.important_terms(text), "_words": T.reference_words(text)})

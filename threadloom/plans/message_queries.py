@@ -6,6 +6,7 @@ from threadloom.functions import fixed_values as V
 from threadloom.functions import text as T
 from threadloom.operators import annotate as A
 from threadloom.operators import memory as M
+from threadloom.operators import ordered
 from threadloom.operators import relevance as R
 from threadloom.plans import text_sql as X
 from threadloom.plans import views_sql as Q
@@ -232,6 +233,35 @@ def memory_as_of(spark, sf):
     return rounded(items.select(*R.KEYS, "key", "value", "confidence", "active", "n_sources"))
 
 
+_EVERY = f"""{Q.ORDER_MESSAGES}, messages AS (SELECT * FROM order_messages), {X.annotated('messages')}, {X.STATEMENTS.replace('statements AS', 'every_statement AS')},
+asked AS (SELECT conv_id, turn AS req_turn FROM messages WHERE role = 'user' AND pos > 0),
+statements AS (SELECT concat(s.conv_id, ':', req_turn) AS conv_id, s.turn, s.idx, s.key, s.value, s.type, s.confidence, s.op FROM every_statement s JOIN asked USING (conv_id) WHERE s.turn < req_turn), {X.MEMORY},
+seen AS (SELECT CAST(split_part(conv_id, ':', 1) AS BIGINT) AS conv, CAST(split_part(conv_id, ':', 2) AS BIGINT) AS req_turn, * EXCLUDE (conv_id) FROM memory_items)"""
+
+
+@query(
+    "memory_as_of_all",
+    f"""WITH {_EVERY} SELECT conv AS conv_id, key, value, type, round(confidence, 6) AS confidence, active, n_sources, min(req_turn) AS first_request, max(req_turn) AS last_request, count(*) AS n_requests FROM seen GROUP BY ALL""",
+)
+def memory_as_of_all(spark, sf):
+    """The memory before every request: each version once, with the stretch of requests that see it."""
+    messages = S.order_messages(spark, sf)
+    versions = ordered.cut_lineage(M.memory_versions(M.memory_events(A.statements_of(A.annotate(messages)))))
+    return rounded(M.memory_for_requests(versions, R.all_requests(messages)).drop("turn", "until"))
+
+
+@query(
+    "memory_sizes",
+    f"""WITH {_EVERY}, l AS (SELECT conv, req_turn, active, {X.tokens("concat(key, ': ', value)")} + 1 AS cost FROM seen),
+t AS (SELECT conv, req_turn, count(*) FILTER (active) AS n, CAST(coalesce(sum(cost) FILTER (active), 0) AS BIGINT) AS tokens FROM l GROUP BY ALL)
+SELECT a.conv_id, a.req_turn, coalesce(n, 0) AS active_items, coalesce(tokens, 0) AS line_tokens FROM asked a LEFT JOIN t ON t.conv = a.conv_id AND t.req_turn = a.req_turn""",
+)
+def memory_sizes(spark, sf):
+    messages = S.order_messages(spark, sf)
+    versions = ordered.cut_lineage(M.memory_versions(M.memory_events(A.statements_of(A.annotate(messages)))))
+    return M.memory_sizes(versions, R.all_requests(messages))
+
+
 @query(
     "request_analysis",
     f"""WITH {_ALL}, q AS (SELECT DISTINCT text FROM messages WHERE role = 'user'), f AS (SELECT text, CASE {' '.join(f"WHEN {X.hit('text', p, 'i')} THEN '{n}'" for p, n in V.TASKS)} WHEN contains(text, '?') THEN 'question' ELSE 'general request' END AS task,
