@@ -250,6 +250,43 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(k.alias("run_id"), raw.alias("raw"))
 
 
+def _reply(items, name: str, bad) -> "F.Column":
+    """A reply as models write them: prose with braces, a fence, the object and more prose; some are no use."""
+    doc = F.to_json(F.struct(items.alias(name)))
+    return F.when(bad, "I cannot {do} that.").otherwise(F.concat(F.lit("Here {it} is:\n```json\n"), doc, F.lit('\n```\nOr else {"' + name + '":[]}')))
+
+
+def classification_reply_rows(asked: DataFrame) -> DataFrame:
+    """One reply per batch of asked messages (conv_id, batch, turn, text): every second message is classified, one in four as protected."""
+    turn = F.col("turn")
+    note = F.struct(F.lit("Open Topic").alias("key"), F.concat(F.lit("  "), F.substring("text", 1, 20), F.lit('  "{x}')).alias("value"), F.lit("rumour").alias("type"), F.lit("set").alias("op"))
+    item = F.struct(
+        turn,
+        F.struct(
+            F.when(turn % 8 == 6, "nobody").otherwise(turn.cast("string")).alias("id"), F.when(turn % 4 == 0, "constraint").otherwise("fact").alias("type"), (turn % 4 == 0).alias("protected"),
+            F.lit(" states a rule ").alias("protection_reason"), F.when(turn % 4 != 0, F.array(note)).otherwise(F.array().cast("array<struct<key:string,value:string,type:string,op:string>>")).alias("memory"), F.lit(True).alias("complete"),
+        ).alias("v"),
+    )
+    items = F.coalesce(F.array_sort(F.collect_list(F.when(turn % 2 == 0, item))), F.array()).getField("v")
+    return asked.groupBy("conv_id", "batch").agg(items.alias("_items")).select("conv_id", "batch", _reply(F.col("_items"), "results", F.col("conv_id") % 7 == 3).alias("raw"))
+
+
+def summary_reply_rows(asked: DataFrame) -> DataFrame:
+    """One reply per request for its messages to summarise (conv_id, req_turn, turn, text): short, invented, too long and absent summaries."""
+    turn = F.col("turn")
+    summary = F.when(turn % 4 == 0, F.substring("text", 1, 60)).when(turn % 4 == 1, F.concat(F.substring("text", 1, 60), F.lit(" 987654321"))).when(turn % 4 == 2, F.col("text"))
+    item = F.struct(turn, F.struct(turn.cast("string").alias("id"), summary.alias("summary")).alias("v"))
+    items = F.array_sort(F.collect_list(item)).getField("v")
+    return asked.groupBy("conv_id", "req_turn").agg(items.alias("_items")).select("conv_id", "req_turn", _reply(F.col("_items"), "summaries", F.col("conv_id") % 7 == 3).alias("raw"))
+
+
+def retrieval_reply_rows(pool: DataFrame) -> DataFrame:
+    """One reply per request with messages on offer (conv_id, req_turn, turn): one in three, newest first, and one that was not offered."""
+    turns = F.reverse(F.array_sort(F.collect_list(F.when(F.col("turn") % 3 == 0, F.col("turn")))))
+    ids = F.concat(F.array(F.lit("nobody")), F.transform(turns, lambda t: t.cast("string")))
+    return pool.groupBy("conv_id", "req_turn").agg(ids.alias("_items")).select("conv_id", "req_turn", _reply(F.col("_items"), "ids", F.col("conv_id") % 7 == 3).alias("raw"))
+
+
 def omitted_ids(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, folder, "orders").where(k % 2 == 0).select(k.alias("run_id"), F.concat(F.lit("m"), (k % 50).cast("string")).alias("id"))
