@@ -405,9 +405,47 @@ def test_repair_grammar_round_trip():
         assert all(repair.expand(g, np.array([6 + k])).size == length for k, length in enumerate(g.lengths))
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(13)
+    cases = [rng.choice([3, 4, 5, 5, 5, 2], 4000), np.tile(rng.integers(3, 900, 500), 1500), np.full(300, 7), np.arange(2000), np.tile([3, 3, 4], 400)]
+    for ids in cases:
+        g = repair.compress(ids, np.array([len(ids)]), int(ids.max()) + 1)
+        assert repair.expand(g, g.sequence).tolist() == ids.tolist()
+        assert all(repair.expand(g, np.array([g.first + k])).size == length for k, length in enumerate(g.lengths))
+        s = g.sequence.tolist()
+        for pair in set(zip(s, s[1:])):
+            at, n = 0, 0
+            while at + 1 < len(s):
+                hit = (s[at], s[at + 1]) == pair
+                n, at = n + hit, at + 1 + hit
+            assert n < repair.MIN_COUNT
+    copies = repair.compress(np.tile(rng.integers(3, 900, 500), 1500), 500 * np.arange(1, 1501), 1000)
+    assert len(copies.sequence) <= 2 * 1500
+
+
+def library_ids(text):
+    from tokenizers import Tokenizer
+
+    global _FRESH
+    if "_FRESH" not in globals():
+        _FRESH = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    return _FRESH.encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = ["end <|endoftext|> here", "a<|endoftext|>b", "<|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "İ! İ. x", "ÀB̈! é́?", "ǅ! ŉ's", "ΟΔΟΣ. ΟΔΟΣ", "<|endoftext|>.", "x<|end oftext|>"]
+
+
+def test_word_coder_equals_the_library():
+    rng = random.Random(21)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "İ", "ß", "Σ", "é", "'s", "'", "!", "..", "a", "B1", "日本", "\u0307", "\u0301", " ", " ", "\n", "\u00a0", "\t", "<|", "|>", "_", "½", "ﬁ"]
+    texts = SPECIAL + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    got = repair.WordCoder(queries.WORD_TOKENIZER).encode(texts)
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == library_ids(text), text
+
+
 def test_repair_files(spark, tmp_path):
-    tokenizer = repair.WordCoder(queries.WORD_TOKENIZER).tokenizer
-    texts = [*ODD, *some_texts(13), "J̌ ǰ Été, ΣΣ ok.. a. b it's <|endoftext|> #", "The the THE the, the."]
+    texts = [*ODD, *some_texts(13), "J̌ ǰ Été, ΣΣ ok.. a. b it's <|endoftext|> #", "The the THE the, the.", *SPECIAL]
     ids = [None, *range(1000, 1000 - len(texts) + 1, -1)]
     path = str(tmp_path / "ids")
     repair.blocks(frame(spark, texts, ids), queries.WORD_TOKENIZER, 2, range_bytes=20_000, block_ids=500).write.parquet(path)
@@ -416,12 +454,24 @@ def test_repair_files(spark, tmp_path):
     lists = {r.doc_id: r.ids for r in repair.read(files).collect()}
     start = 0
     for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0)):
-        want = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        want = library_ids(t) + [2]
         assert lists[i] == want and got[i].start == start and got[i].n_tokens == len(want)
         assert got[i].ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         start += len(want)
 
 
+def test_rows_of_one_doc_id_are_several_ranges(spark, tmp_path):
+    texts = [f"word{i} and text number {i}" for i in range(400)]
+    path = str(tmp_path / "ids")
+    repair.blocks(frame(spark, texts, [None] * 200 + [7] * 200, 4), queries.WORD_TOKENIZER, 2, range_bytes=1000).write.parquet(path)
+    files = spark.read.parquet(path)
+    assert files.select("range").distinct().count() > 4
+    rows = repair.read(files).collect()
+    assert len(rows) == 400 and sorted(tuple(r.ids) for r in rows) == sorted(tuple(library_ids(t) + [2]) for t in texts)
+    places = sorted((r.start, len(r.ids), r.doc_id is not None) for r in rows)
+    assert [p[0] for p in places] == [sum(n for _, n, _ in places[:k]) for k in range(400)] and [p[2] for p in places] == [False] * 200 + [True] * 200
+
+
 # fingerprints
 
 

@@ -2,25 +2,32 @@
 
 Documents are encoded with the tokenizers library, an end id is appended, and the
 ids are written in ascending order of doc_id. A file row is one block of about a
-million ids: frequent pairs of ids are replaced by nonterminals again and again,
-and the row keeps the rules, the length of every rule's expansion, the remaining
-sequence and where each document begins in it. A document is decoded from its
-own stretch; its length is known from the expansion lengths without decoding.
-
-Each round replaces many pairs at once: pairs are counted in hashed slots, each
-slot stands for one of its pairs, and runs of overlapping places take every
-second one. No pair spans two documents.
+million ids with a grammar of its own: frequent pairs of symbols are replaced by
+nonterminals until no pair occurs ``MIN_COUNT`` times, and the row keeps the
+rules, the length of every rule's expansion, the remaining sequence and where
+each document begins in it. A document is decoded from its own stretch; its
+length is known from the expansion lengths without decoding.
+
+Many pairs are replaced at once. The first rounds take the most frequent ones, by
+counts in hashed slots of which each stands for one pair. Later rounds take all
+frequent pairs, counted exactly, and look only next to symbols that the round
+before made; when that finds none, the whole sequence is looked at again, and
+only if that finds none either is the grammar done. Of overlapping places
+the more frequent pair's is taken, of a symbol's run every second one. No pair
+spans two documents.
 
 Texts are cut at spaces and line ends, where the tokenizer's own split cannot
-join, and each distinct word is encoded once while a task remembers it.
+join, and each distinct word is encoded once while a task remembers it. The
+tokenizer's own special tokens are recognised in texts, as the library does.
 
-Blocks are cut while a range of doc_id streams through a task; ranges, at most
-``MAX_RANGES``, come from quantiles of doc_id. Blocks know where they start in
-their range, so only one number per range is added up.
+Rows are dealt into ranges of (doc_id, hash of the text), so that a doc_id with
+very many rows spreads too, and blocks are cut while a range streams through a
+task. Blocks know where they start in their range, so only one number per range
+is added up.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id comes
-before all others; rows of equal doc_id follow each other by their ids; a text
-longer than a block is a block of its own; an empty table gives no rows.
+before all others; rows of equal doc_id follow each other by a hash of their
+texts; a text longer than a block is a block of its own; an empty table gives no rows.
 """
 
 import functools
@@ -31,13 +38,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_BYTES = 8 << 20
-MAX_RANGES = 10_000
+#: Ranges are tasks; more text than this many times RANGE_BYTES makes longer ranges, which stream all the same.
+MAX_RANGES = 100_000
 BLOCK_IDS = 1 << 20
-ROUNDS = 4
+FIRST_ROUNDS = 2
 RULES = 4096
 MIN_COUNT = 8
 SLOT_BITS = 20
@@ -106,7 +115,7 @@ class WordCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self._as_bytes = lambda x: level.pre_tokenize_str(x)[0][0]
         probe = ["token", "Été", "größe", "x"]
@@ -127,12 +136,13 @@ class WordCoder:
         self._learn()
         return [self._ids_of(f) for f in found]
 
-    @staticmethod
-    def _plain(text: str) -> str:
+    def _plain(self, text: str) -> str:
         try:
-            return text.encode("latin-1").lower().decode("latin-1")
+            low = text.encode("latin-1").lower().decode("latin-1")
         except UnicodeEncodeError:
             return text
+        # special tokens are looked for before letters are lowered
+        return text if any(t in low for t in self.special) else low
 
     def _learn(self) -> None:
         words, self.words.fresh = self.words.fresh, []
@@ -142,7 +152,8 @@ class WordCoder:
         number = self.pieces.__getitem__
         for word in words:
             stem = word.rstrip(PUNCTUATION)
-            if len(stem) < len(word) and stem.isalpha():
+            # a letter may become a letter and a mark, which goes with the punctuation
+            if len(stem) < len(word) and stem.isalpha() and stem.lower()[-1].isalpha():
                 stems.append(number(stem))
                 tails.append(number(word[len(stem) :]))
             else:
@@ -183,60 +194,127 @@ def coder(tokenizer_file: str) -> WordCoder:
     return WordCoder(tokenizer_file)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = ROUNDS, rules: int = RULES, min_count: int = MIN_COUNT) -> Grammar:
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    slot = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)
+    slot ^= slot >> np.uint32(15)
+    slot *= np.uint32(0x2C1B3C6D)
+    slot >>= np.uint32(32 - SLOT_BITS)
+    return slot
+
+
+def _whole_slots(sequence: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all pairs and their counts; a pair that would span documents has the slot behind all others, of count 0."""
+    slot = _slots(sequence[:-1], sequence[1:])
+    slot[last[:-1]] = 1 << SLOT_BITS
+    counts = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)
+    counts[-1] = 0
+    return slot, counts
+
+
+def _top_pairs(sequence: np.ndarray, last: np.ndarray, rules: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of the most frequent slots, each slot for one of its pairs, and the pair's number there."""
+    slot, counts = _whole_slots(sequence, last)
+    top = np.argpartition(counts, -rules)[-rules:]
+    top = np.sort(top[counts[top] >= min_count])
+    rank = np.full(len(counts), -1, dtype=np.int16)
+    rank[top] = np.arange(len(top))
+    ranks = rank[slot]
+    places = np.flatnonzero(ranks >= 0)
+    ranks = ranks[places]
+    stands = np.zeros(len(top), dtype=np.int64)
+    stands[ranks] = places
+    left, right = sequence[stands], sequence[stands + 1]
+    same = (sequence[places] == left[ranks]) & (sequence[places + 1] == right[ranks])
+    return places[same], ranks[same]
+
+
+def _all_pairs(sequence: np.ndarray, last: np.ndarray, recent: int | None, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that occur often enough, and the pair's number there; with ``recent`` only of pairs with a symbol from there on."""
+    if recent is None:
+        slot, counts = _whole_slots(sequence, last)
+        places = np.flatnonzero((counts >= min_count)[slot])
+    else:
+        new = np.flatnonzero(sequence >= recent)
+        places = np.union1d(new, new - 1)
+        places = places[(places >= 0) & (places < len(sequence) - 1)]
+        places = places[~last[places]]
+    pair = sequence[places].astype(np.uint64) << np.uint64(32) | sequence[places + 1]
+    _, number, counts = np.unique(pair, return_inverse=True, return_counts=True)
+    often = counts[number] >= min_count
+    return places[often], number[often]
+
+
+def _every_second(place: np.ndarray, rank: np.ndarray, alike: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbouring places (``alike``: of the same pair) every second one."""
+    near = np.diff(place) == 1
+    run = np.flatnonzero(np.r_[True, ~(near & (np.diff(rank) == 0)) if alike else ~near])
+    every = (place - np.repeat(place[run], np.diff(np.r_[run, len(place)]))) % 2 == 0
+    return place[every], rank[every]
+
+
+def _often(place: np.ndarray, rank: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.bincount(rank, minlength=1)[rank] >= min_count
+    return place[keep], rank[keep]
+
+
+def _most_frequent(place: np.ndarray, rank: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that do not overlap: a place stays if its pair is more frequent than those of its neighbours.
+
+    The most frequent pair keeps all its places, so the result is empty only if no pair is frequent.
+    """
+    if not len(place):
+        return place, rank
+    place, rank = _often(*_every_second(place, rank, True), min_count)
+    weight = np.bincount(rank, minlength=1)[rank] * (1 << 32) + rank
+    beaten = np.zeros(len(place), bool)
+    near = np.diff(place) == 1
+    beaten[1:] |= near & (weight[:-1] > weight[1:])
+    beaten[:-1] |= near & (weight[1:] > weight[:-1])
+    return _often(place[~beaten], rank[~beaten], min_count)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, rules: int = RULES, min_count: int = MIN_COUNT) -> Grammar:
     """Grammar of the ids of several documents; ``ends[i]`` is the place after document i, ``first`` above all ids."""
     sequence = ids.astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)  # last symbol of a document
     last[ends - 1] = True
     pairs = [np.zeros((0, 2), np.int64)]
-    symbol = first
-    for _ in range(rounds):
+    symbol, done, recent = first, 0, None  # recent: symbols from this one on are of the last round
+    while True:
         if len(sequence) < 2:
             break
-        left, right = sequence[:-1], sequence[1:]
-        slot = left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)
-        slot ^= slot >> np.uint32(15)
-        slot *= np.uint32(0x2C1B3C6D)
-        slot >>= np.uint32(32 - SLOT_BITS)
-        slot[last[:-1]] = 1 << SLOT_BITS  # no pair spans documents
-        counts = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[:-1]
-        top = np.argpartition(counts, -rules)[-rules:]
-        top = np.sort(top[counts[top] >= min_count])
-        if not len(top):
-            break
-        rank = np.full((1 << SLOT_BITS) + 1, -1, dtype=np.int16)
-        rank[top] = np.arange(len(top))
-        ranks = rank[slot]
-        place = np.flatnonzero(ranks >= 0)
-        ranks = ranks[place]
-        stands = np.zeros(len(top), dtype=np.int64)
-        stands[ranks] = place
-        of = stands[ranks]
-        same = (left[place] == left[of]) & (right[place] == right[of])
-        place, ranks = place[same], ranks[same]
-        # of neighbouring places every second one
-        fresh = np.r_[True, np.diff(place) > 1]
-        run = np.flatnonzero(fresh)
-        every = (place - np.repeat(place[run], np.diff(np.r_[run, len(place)]))) % 2 == 0
-        place, ranks = place[every], ranks[every]
-        used = np.flatnonzero(np.bincount(ranks, minlength=len(top)) >= min_count)
-        if not len(used):
-            break
-        number = np.full(len(top), -1, dtype=np.int64)
-        number[used] = symbol + np.arange(len(used))
-        keep = number[ranks] >= 0
-        place, ranks = place[keep], ranks[keep]
-        pairs.append(np.stack([left[stands[used]], right[stands[used]]], axis=1).astype(np.int64))
-        sequence[place] = number[ranks]
+        if done < FIRST_ROUNDS:
+            place, rank = _top_pairs(sequence, last, rules, min_count)
+            place, rank = _often(*_every_second(place, rank, False), min_count) if len(place) else (place, rank)
+        else:
+            place, rank = _most_frequent(*_all_pairs(sequence, last, recent, min_count), min_count)
+        done += 1
+        if not len(place):
+            if recent is None and done >= FIRST_ROUNDS:
+                break
+            recent, done = None, max(done, FIRST_ROUNDS)
+            continue
+        used = np.flatnonzero(np.bincount(rank))
+        number = np.zeros(used[-1] + 1, dtype=np.int64)
+        number[used] = np.arange(len(used))
+        number = number[rank]
+        stands = np.zeros(len(used), dtype=np.int64)
+        stands[number] = place
+        pairs.append(np.stack([sequence[stands], sequence[stands + 1]], axis=1).astype(np.int64))
+        sequence[place] = symbol + number
         last[place] |= last[place + 1]
         stay = np.ones(len(sequence), dtype=bool)
         stay[place + 1] = False
         sequence, last = sequence[stay], last[stay]
+        recent = symbol if done >= FIRST_ROUNDS + 1 else None
         symbol += len(used)
     table = np.concatenate(pairs).astype(np.int32)
     lengths = np.ones(len(table), dtype=np.int64)
-    for k, (a, b) in enumerate(table.tolist()):
-        lengths[k] = (1 if a < first else lengths[a - first]) + (1 if b < first else lengths[b - first])
+    at = 0
+    for step in pairs[1:]:  # a round's rules are made of what was there before it
+        sides = np.where(step < first, 1, lengths[np.maximum(step - first, 0)])
+        lengths[at : at + len(step)] = sides.sum(axis=1)
+        at += len(step)
     return Grammar(first, table, lengths.astype(np.int32), sequence.astype(np.int32), np.flatnonzero(last) + 1)
 
 
@@ -270,70 +348,39 @@ def document(grammar: Grammar, number: int) -> np.ndarray:
 
 def grammar_of(row: dict) -> Grammar:
     """Grammar of a file row."""
-    low, high = np.frombuffer(row["low"], "<u2").astype(np.int32), np.frombuffer(row["high"], np.uint8).astype(np.int32)
+    low, high = np.frombuffer(row["low"], "<u2").astype(np.int32), np.frombuffer(row["high"], "<u2").astype(np.int32)
     return Grammar(row["first_nonterminal"], np.frombuffer(row["rules"], "<i4").reshape(-1, 2), np.frombuffer(row["lengths"], "<i4"), low | high << 16, np.frombuffer(row["doc_starts"], "<i8"))
 
 
-def _ranges(docs: DataFrame, range_bytes: int) -> list:
-    """Upper ends of the ranges of doc_id but the last."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    count = min(MAX_RANGES, max(1, math.ceil(total / range_bytes)))
-    if count == 1:
-        return []
-    shares = [k / count for k in range(1, count)]
-    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("ends")).first()["ends"] or []))
-
-
 def blocks(docs: DataFrame, tokenizer_file: str, end_id: int, range_bytes: int = RANGE_BYTES, block_ids: int = BLOCK_IDS) -> DataFrame:
     """File rows of the documents' ids."""
-    docs = docs.select("doc_id", "text")
-    ends = _ranges(docs, range_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def encode(batches):
-        own = coder(tokenizer_file)
-        for batch in batches:
-            ids, texts = [], batch.column("text")
-            for start in range(0, len(texts), 512):
-                ids += [np.append(x, end_id).astype("<u4").tobytes() for x in own.encode([t.as_py() or "" for t in texts[start : start + 512]])]
-            keys = [-1 if x is None else int(np.searchsorted(ends, x, "left")) for x in batch.column("doc_id").to_pylist()]
-            narrow = [_narrow(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array([max(k, 0) for k in keys], pa.int32()), batch.column("doc_id"), pa.array([x[0] for x in narrow], pa.binary()), pa.array([x[1] for x in narrow], pa.binary())], ["range", "doc_id", "low", "high"])
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranges = min(MAX_RANGES, max(1, math.ceil(total / range_bytes)))
+    text = F.coalesce("text", F.lit(""))
+    order = [F.asc_nulls_first("doc_id"), F.col("_hash")]
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def pack(batches):
-        state = {"range": None, "block": 0, "start": 0}
+        own = coder(tokenizer_file)
+        state = {"range": TaskContext.get().partitionId(), "block": 0, "start": 0}
         held: list[tuple] = []
-        size = 0
+        size, id_type = 0, pa.int64()
         for batch in batches:
-            for range_no, doc_id, low, high in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "low", "high"))):
-                ids = _wide(low, high)
-                if held and (range_no != state["range"] or size + len(ids) > block_ids):
-                    yield _row(held, state, kind_of[0])
-                    held, size = [], 0
-                if range_no != state["range"]:
-                    state.update(range=range_no, block=0, start=0)
-                held.append((doc_id, ids))
-                size += len(ids)
-                kind_of[0] = batch.schema.field("doc_id").type
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            id_type = batch.schema.field("doc_id").type
+            for start in range(0, len(texts), 512):
+                coded = own.encode([t.as_py() for t in texts[start : start + 512]])
+                for doc_id, found in zip(ids[start : start + 512], coded):
+                    if held and size + len(found) + 1 > block_ids:
+                        yield _row(held, state, id_type)
+                        held, size = [], 0
+                    held.append((doc_id, np.append(found, end_id)))
+                    size += len(found) + 1
         if held:
-            yield _row(held, state, kind_of[0])
-
-    kind_of = [pa.int64()]
-    rows = docs.mapInArrow(encode, f"range int, doc_id {kind}, low binary, high binary")
-    rows = rows.repartitionById(len(ends) + 1, F.col("range")).sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "low", "high")
-    return rows.mapInArrow(pack, BLOCK_TYPE.format(id=kind))
-
-
-def _narrow(raw: bytes) -> tuple[bytes, bytes | None]:
-    """Low 16 bits of all ids, and the high ones where there are any."""
-    ids = np.frombuffer(raw, "<u4")
-    high = ids >> 16
-    return ids.astype("<u2").tobytes(), high.astype("<u2").tobytes() if high.any() else None
-
+            yield _row(held, state, id_type)
 
-def _wide(low: bytes, high: bytes | None) -> np.ndarray:
-    ids = np.frombuffer(low, "<u2").astype(np.int64)
-    return ids if high is None else ids | np.frombuffer(high, "<u2").astype(np.int64) << 16
+    return rows.select("doc_id", "text").mapInArrow(pack, BLOCK_TYPE.format(id=kind))
 
 
 def _row(held: list[tuple], state: dict, id_type: pa.DataType) -> pa.RecordBatch:
@@ -350,7 +397,7 @@ def _row(held: list[tuple], state: dict, id_type: pa.DataType) -> pa.RecordBatch
         "rules": pa.array([grammar.rules.astype("<i4").tobytes()], pa.binary()),
         "lengths": pa.array([grammar.lengths.astype("<i4").tobytes()], pa.binary()),
         "low": pa.array([grammar.sequence.astype("<u2").tobytes()], pa.binary()),
-        "high": pa.array([(grammar.sequence >> 16).astype(np.uint8).tobytes()], pa.binary()),
+        "high": pa.array([(grammar.sequence >> 16).astype("<u2").tobytes()], pa.binary()),
     }
     state["block"] += 1
     state["start"] += len(ids)
