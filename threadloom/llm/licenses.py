@@ -103,7 +103,8 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
     keys = [r["word"] for r in index.select("word").distinct().collect()]
     reach = 2 * max(len(t.words) for t in known)
 
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words_of(F.col("text")).alias("_words"))
+    # the number of a row depends on its file split only, so a task that runs again gives the same
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_words"))
     rare = F.array(*[F.lit(k) for k in keys])
     spots = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(keys), i)), lambda i: i.isNotNull())
     near = F.transform(
@@ -115,8 +116,8 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
             F.slice(F.col("_words"), F.greatest(p - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("words"),
         ),
     )
-    rows = rows.select("doc_id", "_text", F.size("_words").cast("bigint").alias("n_words"), F.explode_outer(F.when(F.arrays_overlap("_words", rare), near)).alias("_near"))
-    rows = rows.select("doc_id", "_text", "n_words", "_near.*").join(F.broadcast(index), "word", "left")
+    rows = rows.select("doc_id", "_row", F.size("_words").cast("bigint").alias("n_words"), F.explode_outer(F.when(F.arrays_overlap("_words", rare), near)).alias("_near"))
+    rows = rows.select("doc_id", "_row", "n_words", "_near.*").join(F.broadcast(index), "word", "left")
 
     length = F.size("phrase")
 
@@ -132,7 +133,7 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
     start = F.col("at") - F.col("place")
     stands = F.col("_met").isNotNull() & (start >= 0) & (F.slice("words", F.greatest(start - F.col("from"), F.lit(0)) + 1, length) == F.col("phrase"))
     rows = rows.withColumn("_start", F.when(stands, start.cast("bigint")))
-    grouped = rows.groupBy("doc_id", "_text").agg(
+    grouped = rows.groupBy("doc_id", "_row").agg(
         F.max("n_words").alias("n_words"),
         F.count("_start").alias("n_base"),
         F.min("_start").alias("first_word"),
@@ -142,4 +143,4 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
         F.coalesce(F.max(F.col("_met") / F.size("ordered")), F.lit(0.0)).alias("score"),
         F.count("_met").alias("n_met"),
     )
-    return grouped.drop("_text")
+    return grouped.drop("_row")

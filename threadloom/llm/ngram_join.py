@@ -13,8 +13,9 @@ Links are wanted as classes, so pairs that are connected already need no
 comparison. First every set is compared with the one set it meets under most of
 its prefix n-grams among the first ``LEADERS`` of each, which settles groups of
 copies of any size in linear work; then all pairs that are not connected yet and
-share as many prefix n-grams as their sizes demand are compared. The second step
-leaves no class out.
+share as many prefix n-grams as their sizes demand are compared. They meet in
+bands of sizes under each n-gram, and signatures of ``SIGNATURE_BITS`` parities
+drop pairs that differ in too many members. The second step leaves no class out.
 
 Links as such, and their number for each document, come from a third step: every
 link lies inside a class, so all pairs of different sets of a class are compared,
@@ -38,6 +39,8 @@ separate rows; a null doc_id is never the name of a class with other ids; an
 empty table gives no rows.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -53,6 +56,8 @@ LEADERS = 2
 TRIE_SETS = 512
 BROADCAST_ROWS = 1_000_000
 CELL_ROWS = 2048
+SIGNATURE_BITS = 256
+SIGNATURE = [f"s{i}" for i in range(SIGNATURE_BITS // 64)]
 LINK_SETS = 1024
 LINK_BYTES = 1 << 24
 LINK_COLUMNS = 4096
@@ -76,6 +81,12 @@ def set_name(hashes: np.ndarray) -> bytes:
     return one.sum(dtype=np.uint64).tobytes() + two.sum(dtype=np.uint64).tobytes()
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's members in SIGNATURE_BITS slots: two sets differ in at least as many members as signatures in bits."""
+    odd = np.bincount((hashes >> np.uint64(64 - SIGNATURE_BITS.bit_length() + 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def in_order(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Set members as numbers whose size is the global order, sorted."""
     known, rank = frequent
@@ -96,14 +107,18 @@ def overlap_needed(n, m, num: int, den: int):
 
 
 def sets_and_counts(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, name of every document; of kind 1: n-gram and how often a task saw it, if more than once."""
+    """Rows of kind 0: doc_id, hash (of the text), n, name, signature of every document; of kind 1: n-gram and how often a task saw it, if more than once."""
 
     def count(blocks: list[np.ndarray]):
         gram, times = np.unique(np.concatenate(blocks), return_counts=True)
         gram, times = gram[times > 1], times[times > 1]
         none = pa.nulls(len(gram))
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(gram), np.int32)), none.cast(id_type[0]), pa.array(times.astype(np.int32)), none.cast(pa.binary()), pa.array(gram.view(np.int64))], ["kind", "doc_id", "n", "name", "gram"])
+        longs = none.cast(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(gram), np.int32)), none.cast(id_type[0]), longs, pa.array(times.astype(np.int32)), none.cast(pa.binary()), pa.array(gram.view(np.int64)), *[longs] * len(SIGNATURE)], names
+        )
 
+    names = ["kind", "doc_id", "hash", "n", "name", "gram", *SIGNATURE]
     id_type = [pa.int64()]
 
     def run(batches):
@@ -111,19 +126,22 @@ def sets_and_counts(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             id_type[0] = batch.schema.field("doc_id").type
             n, name = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
+            signs = np.zeros((batch.num_rows, len(SIGNATURE)), np.int64)
             for row, grams in set_rows(batch.column("text"), size):
-                n[row], name[row] = len(grams), set_name(grams)
+                n[row], name[row], signs[row] = len(grams), set_name(grams), signature(grams)
                 blocks.append(grams)
                 held += len(grams)
                 if held >= COUNT_BLOCK:
                     yield count(blocks)
                     blocks, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(n), pa.array(name, pa.binary()), pa.nulls(batch.num_rows, pa.int64())], ["kind", "doc_id", "n", "name", "gram"])
+            own = [batch.column("doc_id"), batch.column("hash"), pa.array(n), pa.array(name, pa.binary()), pa.nulls(batch.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), *own, *[pa.array(signs[:, k]) for k in range(len(SIGNATURE))]], names)
         if blocks:
             yield count(blocks)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n int, name binary, gram bigint")
+    signs = ", ".join(f"{c} bigint" for c in SIGNATURE)
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, f"kind int, doc_id {kind}, hash bigint, n int, name binary, gram bigint, {signs}")
 
 
 def frequent_grams(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -226,22 +244,45 @@ def nearest_leaders(met: DataFrame, num: int, den: int) -> DataFrame:
     return best.select(F.least("name", "leader").alias("a"), F.greatest("name", "leader").alias("b")).distinct()
 
 
-def open_pairs(met: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+def _band(n, num: int, den: int):
+    """Sets that can be alike enough are in the same or in neighbouring bands of sizes."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) * (1 + 1e-6))).cast("int") if num < den else n
+
+
+def _differ_little(num: int, den: int):
+    """Condition on x and y: their signatures do not differ in more bits than sets that are alike enough can differ in members."""
+    n, m = F.col("x.n"), F.col("y.n")
+    bits = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE[1:]), F.bit_count(F.col(f"x.{SIGNATURE[0]}").bitwiseXOR(F.col(f"y.{SIGNATURE[0]}"))))
+    return bits <= n + m - 2 * F.ceil((n + m) * num / F.lit(num + den) - 1e-9)
+
+
+def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link.
 
-    N-grams whose sets are all in one component are dropped; the sets under any
-    other n-gram are dealt into cells, so that many under one n-gram spread over tasks.
+    N-grams whose sets are all in one component are dropped. Under any other n-gram sets meet in bands
+    of sizes, and only if their signatures differ little enough; the sets of a band are dealt into
+    cells, so that many under one n-gram spread over tasks.
     """
     rows = met.join(near.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_count"))
-    tokens = tokens.where(F.col("_low") != F.col("_high")).select("token", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts"))
-    cells = rows.join(tokens, "token").withColumn("_own", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int"))
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    cells = cells.select("token", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "name", "n", "pos", "before", "component")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name"))
-    crossing = (F.col("x._own") != F.col("y._own")) | (F.col("x._i") == F.col("x._j"))
-    shared = cells.alias("x").join(cells.alias("y"), ["token", "_i", "_j"]).where(_may_link(num, den) & apart & crossing)
-    shared = shared.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    rows = rows.withColumn("_band", _band(F.col("n"), num, den))
+    tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    tokens = tokens.where(F.col("_low") != F.col("_high")).select("token")
+    # in each band its own sets, to the left, and those and the next smaller band's, to the right
+    rows = written(rows.join(tokens, "token", "left_semi").join(signatures, "name"), "ngram-open")
+    counts = rows.groupBy("token", "_band").agg(F.count("*").alias("_count"))
+    parts = counts.select("token", "_band", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts"))
+    fields = ["name", "n", "pos", "before", "component", "token", *SIGNATURE]
+    dealt = lambda sets, own: F.pmod(F.xxhash64("name"), F.col(sets)).cast("int").alias(own)
+    left = rows.join(parts, ["token", "_band"]).select(*fields, "_band", dealt("_parts", "_i"))
+    other = parts.select("token", (F.col("_band") + 1).alias("_to"), "_band", "_parts").unionByName(parts.select("token", F.col("_band").alias("_to"), "_band", "_parts"))
+    wide = parts.select("token", F.col("_band").alias("_to"), F.col("_parts").alias("_left_parts"))
+    right = rows.join(other.join(wide, ["token", "_to"]), ["token", "_band"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_left_parts") - 1)))
+    right = right.select(*fields, F.col("_band").alias("_own"), F.col("_to").alias("_band"), "_i")
+    apart = F.col("x.component") != F.col("y.component")
+    once = (F.col("y._own") < F.col("x._band")) | (F.col("x.name") < F.col("y.name"))
+    shared = left.alias("x").join(right.alias("y"), ["token", "_band", "_i"]).where(_may_link(num, den) & apart & once & _differ_little(num, den))
+    a, b = F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")
+    shared = shared.groupBy(a, b).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
     return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b")
 
 
@@ -403,11 +444,12 @@ def class_links(classes: DataFrame, sets: DataFrame, num: int, den: int, counted
 
 
 def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, name) of all documents; name, first_id, n, copies, component and whether it is alone of every set; members of those that are not."""
+    """Rows (doc_id, hash, n, name) of all documents; name, first_id, n, copies, component and whether it is alone of every set; members of those that are not."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     both = written(sets_and_counts(docs, size), "ngram-sets")
-    rows = both.where("kind = 0").select("doc_id", "n", "name")
+    rows = both.where("kind = 0").select("doc_id", "hash", "n", "name")
+    signatures = both.where("kind = 0 and n > 0").groupBy("name").agg(*[F.first(c).alias(c) for c in SIGNATURE])
     frequent = spark.sparkContext.broadcast(frequent_grams(both.where("kind = 1")))
 
     met = met_entries(prefix_entries(docs, size, num, den, frequent))
@@ -419,7 +461,7 @@ def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[Da
     pairs = written(nearest_leaders(met, num, den), "ngram-pairs")
     edges, sets = _verified(docs, pairs, some, size, num, den, frequent)
     near = written(connected(edges, "ngram-near"), "ngram-near")
-    rest = written(open_pairs(met, near, num, den).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    rest = written(open_pairs(met, near, signatures, num, den).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
     more, more_sets = _verified(docs, rest, some, size, num, den, frequent)
 
     classes = connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "ngram-classes")
@@ -429,13 +471,13 @@ def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[Da
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, name (of the set) for every row; two documents link when den * intersection >= num * union.
+    """doc_id, hash (of the text), n_shingles, component_id, name (of the set), component for every row; two documents link when den * intersection >= num * union.
 
     With ``counted`` also n_links: the other rows, copies included, that the row links with.
     """
     rows, named, sets = _classes_of_sets(docs, size, num, den)
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    facts = named.join(first, "component").select("name", "component_id", "copies")
+    facts = named.join(first, "component").select("name", "component", "component_id", "copies")
     if counted:
         links = class_links(named.where("not alone").drop("first_id", "alone"), sets, num, den, True)
         links = written(links.groupBy("name").agg(F.sum("n_links").alias("n_links")), "ngram-n-links")
@@ -443,7 +485,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted:
     more = [F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] if counted else []
     return (
         rows.join(facts.drop("copies"), "name", "left")
-        .select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "name", *more)
+        .select("doc_id", "hash", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "name", "component", *more)
     )
 
 
@@ -464,15 +506,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num
 
 def classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    return join(docs, size, num, den).drop("name")
+    return join(docs, size, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def links(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links."""
-    return join(docs, size, num, den, counted=True).drop("name")
+    return join(docs, size, num, den, counted=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that are the smallest doc_id of their class, with all their columns."""
-    dropped = join(docs, size, num, den).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class, with all its columns: that of the smallest doc_id, null as the largest, of several such texts that of the smallest hash.
+
+    Documents without words are no class and stay; of equal rows, in id and text, one stays where they are of a class.
+    """
+    rows = written(join(docs, size, num, den).where("n_shingles > 0").select("doc_id", "hash", "component"), "ngram-kept")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = rows.groupBy("component").agg(F.min(place).alias("_best"), F.count("*").alias("_rows")).where("_rows > 1")
+    best = written(best.select("_best.doc_id", "_best.hash", "component"), "ngram-best")
+    # rows that are not their class's best; a (doc_id, hash) is one text and so of one class
+    several = rows.join(best.select("component"), "component", "left_semi").select("doc_id", "hash").distinct()
+    gone = several.join(best.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
+    again = rows.groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash")
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    here = lambda t: F.col("_id").eqNullSafe(t["doc_id"]) & (F.col("_hash") == t["hash"])
+    left = marked.join(gone, here(gone), "left_anti")
+    once = left.join(again, here(again), "left_semi").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return left.join(again, here(again), "left_anti").select("_row.*").unionByName(once.select("_row.*"))
