@@ -109,6 +109,12 @@ def test_trie_counts_when_words_are_forgotten(spark, monkeypatch):
 # license scans
 
 
+def test_license_scan_keeps_repeated_rows(spark):
+    rows = [(1, "This is under the MIT license ok"), (1, "This is under the MIT license ok"), (1, "cc by nc"), (None, None), (None, None), (2, "plain"), (2, "plain")]
+    got = licenses.scan(spark.createDataFrame([(i, t, 3, "w") for i, t in rows], "doc_id bigint, text string, n_base int, word string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_base, r.labels) for r in got) == sorted([("1", 1, "mit"), ("1", 1, "mit"), ("1", 1, "cc-by-nc"), ("None", 0, ""), ("None", 0, ""), ("2", 0, ""), ("2", 0, "")])
+
+
 def brute_places(text, phrase):
     words, wanted = alnum_words(text), phrase.split()
     return [i for i in range(len(words) - len(wanted) + 1) if words[i : i + len(wanted)] == wanted]
@@ -241,6 +247,48 @@ def test_keep_one_keeps_columns_and_single_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4]
 
 
+def test_keep_one_goes_by_text(spark):
+    a, b, c = ("a b c d e f g h", "other words that stand here alone", "A b  c d e f g h")
+    rows = [(None, a), (None, a), (2, a), (2, b), (2, b), (3, c), (None, b), (None, "x y z"), (None, "x y z"), (4, ""), (4, ""), (None, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id bigint, text string, name string, component int").repartition(3))
+    assert kept.columns == ["doc_id", "text", "name", "component"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(2, a), (2, b), (None, "x y z"), (4, ""), (4, ""), (None, None)], key=repr)
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(30)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate([y, rng.choice(x, len(x) // 2)]))
+        bits = sum(int(v).bit_count() for v in (ngram_join.signature(x) ^ ngram_join.signature(y)).view(np.uint64))
+        assert bits <= len(np.setxor1d(x, y))
+    assert (ngram_join.signature(x) == ngram_join.signature(x[::-1])).all()
+
+
+@pytest.mark.parametrize("shape", ["star", "random", "chain", "cliques"])
+def test_components_equal_a_plain_search(spark, shape):
+    rng = random.Random(31)
+    edges = {
+        "star": [(0, i) for i in range(1, 200)] + [(500, i) for i in range(501, 560)] + [(7, 7)],
+        "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(200)],
+        "chain": [(i, i + 1) for i in range(300)],
+        "cliques": [(10 * k + i, 10 * k + j) for k in range(10) for i in range(10) for j in range(i)],
+    }[shape]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.connected(chain).collect()}
@@ -399,7 +447,7 @@ def test_repair_grammar_round_trip():
         parts = [np.append(rng.choice([3, 4, 5, 5, 5, 2], rng.integers(0, 200)), 2) for _ in range(n_docs)]
         ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
         g = repair.compress(ids, ends, 6)
-        assert repair.expand(g, g.sequence).tolist() == ids.tolist()
+        assert repair.expand(g, g.sequence).tolist() == ids.tolist() == repair.expand_all(g).tolist()
         assert repair.document_lengths(g).tolist() == [len(p) for p in parts]
         assert all(repair.document(g, i).tolist() == p.tolist() for i, p in enumerate(parts))
         assert all(repair.expand(g, np.array([6 + k])).size == length for k, length in enumerate(g.lengths))
@@ -410,7 +458,7 @@ def test_repair_leaves_no_frequent_pair():
     cases = [rng.choice([3, 4, 5, 5, 5, 2], 4000), np.tile(rng.integers(3, 900, 500), 1500), np.full(300, 7), np.arange(2000), np.tile([3, 3, 4], 400)]
     for ids in cases:
         g = repair.compress(ids, np.array([len(ids)]), int(ids.max()) + 1)
-        assert repair.expand(g, g.sequence).tolist() == ids.tolist()
+        assert repair.expand(g, g.sequence).tolist() == ids.tolist() == repair.expand_all(g).tolist()
         assert all(repair.expand(g, np.array([g.first + k])).size == length for k, length in enumerate(g.lengths))
         s = g.sequence.tolist()
         for pair in set(zip(s, s[1:])):

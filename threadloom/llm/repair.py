@@ -333,6 +333,39 @@ def expand(grammar: Grammar, part: np.ndarray) -> np.ndarray:
         part = out
 
 
+def expand_all(grammar: Grammar) -> np.ndarray:
+    """Ids of the whole sequence: every rule is spelled out once, those made of others after them."""
+    rules, first = grammar.rules.astype(np.int64), grammar.first
+    sizes = grammar.lengths.astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.int32)
+    depth = np.zeros(len(rules), np.int64)
+    inner = np.maximum(rules - first, 0)
+    while len(rules) and (deeper := np.where(rules < first, 0, depth[inner] + 1).max(axis=1)).any() and (deeper != depth).any():
+        depth = deeper
+    for d in range(int(depth.max(initial=-1)) + 1):
+        at = np.flatnonzero(depth == d)
+        left = np.where(rules[at, 0] < first, 1, sizes[inner[at, 0]])
+        for symbol, to in ((rules[at, 0], begin[at]), (rules[at, 1], begin[at] + left)):
+            _spell(flat, to, symbol, first, flat, begin, sizes)
+    length = np.ones(len(grammar.sequence), np.int64)
+    rule = grammar.sequence >= first
+    length[rule] = sizes[grammar.sequence[rule] - first]
+    out = np.empty(int(length.sum()), np.int32)
+    _spell(out, np.cumsum(length) - length, grammar.sequence.astype(np.int64), first, flat, begin, sizes)
+    return out
+
+
+def _spell(out: np.ndarray, to: np.ndarray, symbols: np.ndarray, first: int, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
+    """Write what each symbol stands for to its place."""
+    rule = symbols >= first
+    out[to[~rule]] = symbols[~rule]
+    to, number = to[rule], symbols[rule] - first
+    size = sizes[number]
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(to, size) + step] = flat[np.repeat(begin[number], size) + step]
+
+
 def document_lengths(grammar: Grammar) -> np.ndarray:
     """Number of ids of each document, from the expansion lengths."""
     sizes = np.ones(len(grammar.sequence), dtype=np.int64)
@@ -433,7 +466,7 @@ def _decoded(files: DataFrame, columns: str, result) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 grammar = grammar_of(row)
-                ids = expand(grammar, grammar.sequence)
+                ids = expand_all(grammar)
                 sizes = document_lengths(grammar)
                 stops = np.cumsum(sizes)
                 out = [result(ids[b - n : b]) for n, b in zip(sizes, stops)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import fixed_values as V
+from threadloom.operators import ordered
 
 MILLION = 1_000_000
 PRICE_COLUMNS = "model, input, output, cache_write, cache_write_1h, cache_read"
@@ -81,6 +82,36 @@ def expected_eval_usage(calls: DataFrame, order: Column) -> DataFrame:
     )
 
 
+def expected_eval_usage_as_of(calls: DataFrame, order: str) -> DataFrame:
+    """For every call what :func:`expected_eval_usage` said just before it; ``order`` is a whole-number column that calls are unique in.
+
+    Successful evaluations are numbered along the order, block by block. The newest 20 up to one of them are
+    the difference of two running sums, twenty numbers apart; every call takes the sums of the last one before it.
+    """
+    usable = (F.col("kind") == "evaluation") & (F.col("ok") == 1) & F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
+    along, block = ["_all"], ["_block"]
+    rows = calls.withColumns({"_all": F.lit(0), "_block": ordered.block_of(F.col(order))})
+    done = ordered.positions(rows.where(usable).select(*along, *block, order, "input_tokens", "output_tokens"), along, block, [order], "_nth")
+    done = ordered.cut_lineage(ordered.running_sums(done, along, block, [order], {"_i": F.col("input_tokens"), "_o": F.col("output_tokens")}))
+    before = done.select((F.col("_nth") + V.EVAL_WINDOW).alias("_nth"), F.col("_i").alias("_i0"), F.col("_o").alias("_o0"))
+    zero = F.lit(0)
+    recent = F.struct(
+        F.least(F.col("_nth") + 1, F.lit(V.EVAL_WINDOW)).cast("bigint").alias("n"), (F.col("_i") - F.coalesce("_i0", zero)).alias("i"), (F.col("_o") - F.coalesce("_o0", zero)).alias("o")
+    )
+    done = done.join(before, "_nth", "left").select(order, recent.alias("_recent"))
+    rows = ordered.carry(rows.select(*along, *block, order).join(done, order, "left"), along, block, [order], F.col("_recent"), "_seen", include_row=False)
+    n = F.coalesce("_seen.n", F.lit(0).cast("bigint"))
+    enough = n >= V.MIN_EVAL_SAMPLES
+    mean = lambda c: F.ceil(F.col(f"_seen.{c}") / n).cast("bigint")
+    return rows.select(
+        order,
+        n.alias("samples"),
+        F.when(enough, mean("i")).otherwise(F.lit(V.DEFAULT_EVAL_INPUT).cast("bigint")).alias("input_tokens"),
+        F.when(enough, mean("o")).otherwise(F.lit(V.DEFAULT_EVAL_OUTPUT).cast("bigint")).alias("output_tokens"),
+        F.when(enough, "history").otherwise("default").alias("source"),
+    )
+
+
 # E4 --------------------------------------------------------------------------
 def expected_eval_cost(expected: DataFrame, utility_model: str, prices: DataFrame) -> DataFrame:
     """One row: expected cost of one validation call; NULL when the utility model is unpriced."""

@@ -49,6 +49,20 @@ def expected_eval_usage(spark, sf):
     return E.expected_eval_usage(S.utility_calls(spark, sf), F.col("call_id"))
 
 
+@query(
+    "eval_usage_as_of",
+    f"""WITH {Q.UTILITY_CALLS}, s AS (
+  SELECT call_id, count(*) OVER w AS n, sum(input_tokens) OVER w AS i, sum(output_tokens) OVER w AS o FROM utility_calls
+  WHERE kind = 'evaluation' AND ok = 1 AND input_tokens IS NOT NULL AND output_tokens IS NOT NULL WINDOW w AS (ORDER BY call_id ROWS BETWEEN {V.EVAL_WINDOW - 1} PRECEDING AND CURRENT ROW))
+SELECT c.call_id, coalesce(n, 0) AS samples, CASE WHEN n >= {V.MIN_EVAL_SAMPLES} THEN CAST(ceil(i / n) AS BIGINT) ELSE {V.DEFAULT_EVAL_INPUT} END AS input_tokens,
+  CASE WHEN n >= {V.MIN_EVAL_SAMPLES} THEN CAST(ceil(o / n) AS BIGINT) ELSE {V.DEFAULT_EVAL_OUTPUT} END AS output_tokens, CASE WHEN n >= {V.MIN_EVAL_SAMPLES} THEN 'history' ELSE 'default' END AS source
+FROM utility_calls c ASOF LEFT JOIN s ON c.call_id > s.call_id""",
+)
+def eval_usage_as_of(spark, sf):
+    """What the expected usage of an evaluation was before every internal call."""
+    return E.expected_eval_usage_as_of(S.utility_calls(spark, sf), "call_id")
+
+
 @query(
     "economic_decision",
     f"""WITH {Q.RUN_ECONOMICS}, {Q.UTILITY_CALLS}, {_EXPECTED},

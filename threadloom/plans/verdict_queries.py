@@ -88,7 +88,62 @@ UNION ALL SELECT o_orderkey, 'PASS', 0, 'none', NULL, FALSE, FALSE, '' FROM orde
 def retry_proposals(spark, sf):
     verdicts = ordered.cut_lineage(W.judged(W.parse_replies(S.model_replies(spark, sf))))
     p = W.retry_proposals(verdicts, S.omitted_ids(spark, sf), S.cited_sources(spark, sf), S.later_statements(spark, sf), S.shown_payload(spark, sf))
-    return p.withColumns({"problems": F.array_join("problems", "; "), "n_missing": F.col("n_missing").cast("bigint")})
+    return p.drop("reason", "guidance", "add_ids", "add_from_score").withColumns({"problems": F.array_join("problems", "; "), "n_missing": F.col("n_missing").cast("bigint")})
+
+
+@query(
+    "retry_plans",
+    f"""WITH {_PROBLEMS}, p AS (SELECT *, {_KINDS} AS kind FROM judged)
+SELECT run_id, CASE WHEN category = 'PASS' THEN 'passed' WHEN category = 'MISSING_CONTEXT' THEN CASE WHEN kind = 'none' THEN 'unproven_missing_context' ELSE 'named_missing_context' END
+    WHEN category = 'ANSWER_QUALITY' THEN 'quality_only' WHEN category = 'INSTRUCTION_VIOLATION' THEN CASE WHEN kind = 'none' THEN 'unproven_violation' ELSE 'proven_violation' END
+    WHEN category = 'UNSUPPORTED_CLAIM' THEN CASE WHEN NOT has_link THEN 'claim_without_link' WHEN k % 3 = 1 THEN 'claim_from_memory' WHEN n_missing = 0 THEN 'claim_without_message' ELSE 'claim_from_omitted_context' END
+    WHEN n_missing > 0 THEN 'uncertain_with_message' ELSE 'uncertain' END AS reason,
+  CASE WHEN kind <> 'corrective_regeneration' THEN NULL WHEN category = 'INSTRUCTION_VIOLATION' THEN 'Keep to this instruction of a standing requirement: "never print card numbers". What was wrong: the reply printed a card number'
+    ELSE 'State only what the given context supports, and say what it does not tell. What was wrong (memory): an old note was used' END AS guidance,
+  CASE WHEN kind = 'context_expansion' THEN concat('m', k % 50) END AS add_ids FROM p
+UNION ALL SELECT o_orderkey, 'passed', NULL, NULL FROM orders WHERE o_orderkey % 16 = 15""",
+)
+def retry_plans(spark, sf):
+    """Why a retry is proposed or not, what the model is told and which messages are added."""
+    verdicts = ordered.cut_lineage(W.judged(W.parse_replies(S.model_replies(spark, sf))))
+    p = W.retry_proposals(verdicts, S.omitted_ids(spark, sf), S.cited_sources(spark, sf), S.later_statements(spark, sf), S.shown_payload(spark, sf))
+    return p.select("run_id", "reason", "guidance", F.array_join("add_ids", ",").alias("add_ids"))
+
+
+_ROUNDS = f"""{Q.RUNS}, {Q.ATTEMPTS},
+a AS (SELECT a.run_id, a.idx AS attempt, a.level, a.passed = 1 AS passed, a.context_tokens, r.original_tokens, a.run_id + 3 * a.idx AS k FROM attempts a JOIN runs r USING (run_id)),
+c AS (SELECT *, k % 7 = 2 AS blocked, k % 13 = 0 AS same, CASE WHEN passed THEN 'PASS' WHEN k % 10 = 9 THEN 'CHECK_FAILED' WHEN k % 16 = 15 OR k % 8 = 0 THEN 'UNCERTAIN' WHEN k % 8 = 2 THEN 'ANSWER_QUALITY' WHEN k % 8 IN (3, 6) THEN 'INSTRUCTION_VIOLATION'
+    WHEN k % 8 = 4 THEN 'UNSUPPORTED_CLAIM' WHEN k % 8 = 5 THEN 'UNCERTAIN' ELSE 'MISSING_CONTEXT' END AS category,
+  k % 16 <> 15 AND k % 8 IN (3, 6) AS has_violation, k % 16 <> 15 AND k % 8 IN (1, 7) AS has_evidence, k % 8 = 4 AND k % 3 <> 2 AS has_link, k % 6 = 0 AS missing,
+  coalesce(min(attempt) FILTER (level = 'regenerated') OVER w <= attempt, FALSE) AS regenerated, coalesce(min(attempt) FILTER (level = 'expanded') OVER w <= attempt, FALSE) AS expanded,
+  lead(level) OVER (PARTITION BY run_id ORDER BY attempt) AS next_level FROM a WINDOW w AS (PARTITION BY run_id)),
+t AS (SELECT *, missing AND has_evidence AND k % 4 <> 3 AND k % 10 <> 1 AND k % 12 <> 1 AS mc_ok,
+  has_violation AND k % 5 NOT IN (0, 1) AND run_id % 4 <> 0 AND NOT (run_id % 9 = 0 AND run_id % 18 <> 0) AND k % 7 <> 0 AND k % 11 <> 0 AS v_ok FROM c),
+p AS (SELECT *, CASE WHEN category = 'MISSING_CONTEXT' AND mc_ok OR category = 'CHECK_FAILED' THEN 'context_expansion' WHEN category = 'INSTRUCTION_VIOLATION' AND v_ok AND NOT regenerated THEN 'corrective_regeneration'
+    WHEN category = 'UNSUPPORTED_CLAIM' AND has_link AND k % 3 = 0 AND missing THEN 'context_expansion' WHEN category = 'UNSUPPORTED_CLAIM' AND has_link AND k % 3 = 1 AND NOT regenerated THEN 'corrective_regeneration'
+    WHEN category = 'UNCERTAIN' AND missing THEN 'context_expansion' ELSE 'none' END AS kind FROM t),
+d AS (SELECT *, CASE WHEN passed OR level = 'full' THEN 'none' WHEN kind = 'corrective_regeneration' AND NOT blocked THEN 'corrective_regeneration'
+    WHEN kind = 'context_expansion' AND NOT expanded AND NOT same AND NOT blocked THEN CASE WHEN context_tokens / CAST(greatest(1, original_tokens) AS DOUBLE) >= {V.FULL_EQUIVALENT_RATIO} THEN 'full_fallback' ELSE 'context_expansion' END
+    WHEN category = 'CHECK_FAILED' OR category = 'MISSING_CONTEXT' AND kind = 'context_expansion' THEN 'full_fallback' ELSE 'none' END AS decision FROM p)"""
+
+
+@query(
+    "retry_rounds",
+    f"""WITH {_ROUNDS} SELECT run_id, attempt, level, category, kind, regenerated AS regenerated_before, expanded AS expanded_before, decision,
+  CASE WHEN next_level IS NOT NULL THEN next_level = CASE decision WHEN 'corrective_regeneration' THEN 'regenerated' WHEN 'context_expansion' THEN 'expanded' WHEN 'full_fallback' THEN 'full' ELSE '' END END AS followed FROM d""",
+)
+def retry_rounds(spark, sf):
+    """The decision after each attempt, given what its run had tried before."""
+    k = F.col("k")
+    read = W.judged(W.parse_replies(S.judged_attempts(spark, sf)))
+    read = read.withColumn("category", W.failure_category(F.col("passed"), k % 10 == 9, F.col("category")))
+    read = read.withColumns({"blocked": k % 7 == 2, "same_context": k % 13 == 0, "recovery_tokens": F.col("context_tokens"), "full_tokens": F.col("original_tokens")})
+    read = ordered.cut_lineage(read)
+    keys = ["run_id", "attempt"]
+    omitted = read.where(k % 2 == 0).select(*keys, F.concat(F.lit("m"), (k % 50).cast("string")).alias("id"))
+    shown = read.select(*keys, F.posexplode(F.array(F.when(k % 6 == 1, "The payment gateway is slow.").otherwise("Traffic is steady."), F.when(k % 12 == 1, "Its timeout value is 30.").otherwise("Nothing else."))).alias("idx", "text"))
+    rounds = W.retry_rounds(read, omitted, S.cited_sources(spark, sf), S.later_statements(spark, sf), shown)
+    return rounds.select(*keys, "level", "category", "kind", "regenerated_before", "expanded_before", "decision", "followed")
 
 
 @query(

@@ -210,9 +210,8 @@ def run_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def model_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """One evaluator reply per run: every category, missing proofs, older formats and unusable text."""
-    k = F.col("o_orderkey")
+def reply_text(k) -> "F.Column":
+    """Evaluator replies by number: every category, missing proofs, older formats and unusable text."""
     case = k % 8
     failed = F.when(case == 6, "honors_requirements").when(case == 7, "no_missing_context")
     criterion = lambda name: F.struct(F.lit(name).alias("name"), (~F.coalesce(failed == name, F.lit(False))).alias("pass"), F.lit("as judged").alias("reason"))
@@ -246,8 +245,20 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
             F.when(case.isin(1, 7), evidence).alias("missing_context"),
         )
     )
-    raw = F.when(k % 16 == 15, "Sorry, I cannot judge this.").otherwise(F.concat(F.lit("Here is the audit:\n```json\n"), doc, F.lit("\n```")))
-    return table(spark, folder, "orders").select(k.alias("run_id"), raw.alias("raw"))
+    return F.when(k % 16 == 15, "Sorry, I cannot judge this.").otherwise(F.concat(F.lit("Here is the audit:\n```json\n"), doc, F.lit("\n```")))
+
+
+def model_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """One evaluator reply per run."""
+    k = F.col("o_orderkey")
+    return table(spark, folder, "orders").select(k.alias("run_id"), reply_text(k).alias("raw"))
+
+
+def judged_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every attempt of the runs with a reply about it; ``k`` is the reply's number."""
+    rows = numbered_attempts(spark, folder).select("run_id", F.col("idx").alias("attempt"), "level", F.col("passed") == 1, "context_tokens").toDF("run_id", "attempt", "level", "passed", "context_tokens")
+    rows = rows.join(runs(spark, folder).select("run_id", "original_tokens"), "run_id").withColumn("k", F.col("run_id") + 3 * F.col("attempt"))
+    return rows.withColumn("raw", reply_text(F.col("k")))
 
 
 def _reply(items, name: str, bad) -> "F.Column":
