@@ -51,3 +51,22 @@ def test_context_added_compares_neighbouring_attempts(spark):
 def test_oversize_prefers_the_count(spark):
     df = spark.createDataFrame([(1, 99_999, 200_000), (2, None, 100_001), (3, 100_000, None)], "id int, counted bigint, estimate bigint")
     assert [r["id"] for r in E.oversize_requests(df, "counted", "estimate").collect()] == [2]
+
+
+def test_usage_as_of_equals_a_plain_window(spark, monkeypatch):
+    import random
+
+    from threadloom.operators import ordered
+
+    monkeypatch.setattr(ordered, "block_of", lambda c: F.floor(c / 7).cast("bigint"))
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["evaluation", "evaluation", "view"]), rng.choice([0, 1, 1, 1]), rng.choice([None, 100, 107, 250]), rng.randrange(50)) for i in sorted(rng.sample(range(400), 150))]
+    got = {r["call_id"]: r for r in E.expected_eval_usage_as_of(spark.createDataFrame(rows, "call_id bigint, kind string, ok int, input_tokens bigint, output_tokens bigint"), "call_id").collect()}
+    assert len(got) == len(rows)
+    for i, *_ in rows:
+        seen = [(a, b) for j, kind, ok, a, b in rows if j < i and kind == "evaluation" and ok and a is not None][-20:]
+        r = got[i]
+        if len(seen) < 3:
+            assert (r["samples"], r["input_tokens"], r["output_tokens"], r["source"]) == (len(seen), 1500, 200, "default")
+        else:
+            assert (r["samples"], r["input_tokens"], r["output_tokens"], r["source"]) == (len(seen), -(-sum(a for a, _ in seen) // len(seen)), -(-sum(b for _, b in seen) // len(seen)), "history")

@@ -6,6 +6,7 @@ from threadloom.functions import fixed_values as V
 from threadloom.functions import text as T
 from threadloom.operators import annotate as A
 from threadloom.operators import memory as M
+from threadloom.operators import mentions
 from threadloom.operators import ordered
 from threadloom.operators import relevance as R
 from threadloom.plans import text_sql as X
@@ -262,6 +263,30 @@ def memory_sizes(spark, sf):
     return M.memory_sizes(versions, R.all_requests(messages))
 
 
+@query(
+    "memory_mentions",
+    f"""WITH {_SERVICE}, {X.MEMORY} SELECT conv_id, key, value FROM memory_items i WHERE active AND EXISTS (SELECT 1 FROM messages m WHERE m.conv_id = i.conv_id AND m.role = 'assistant' AND contains(lower(m.text), lower(i.value)))""",
+)
+def memory_mentions(spark, sf):
+    """Active memory items whose value an assistant message of the conversation repeats."""
+    messages = S.service_messages(spark, sf)
+    items = M.memory_items(M.memory_events(A.statements_of(A.annotate(messages)))).where("active")
+    return mentions.mentioned(items.select("conv_id", "key", "value"), messages.where("role = 'assistant'").select("conv_id", "text"), ["conv_id"])
+
+
+@query(
+    "word_mentions",
+    """WITH v AS (SELECT DISTINCT doc_id % 20 AS part, regexp_extract(text, '^\\S+') AS value FROM documents),
+t AS (SELECT doc_id % 20 AS part, text FROM documents WHERE doc_id % 2 = 1)
+SELECT part, value FROM v WHERE EXISTS (SELECT 1 FROM t WHERE t.part = v.part AND contains(lower(t.text), lower(v.value)))""",
+)
+def word_mentions(spark, sf):
+    """First words of documents that occur, in whatever place, in an odd document of the same part."""
+    docs = S.table(spark, sf, "documents").select((F.col("doc_id") % 20).alias("part"), "doc_id", "text")
+    values = docs.select("part", F.regexp_extract("text", r"^\S+", 0).alias("value")).distinct()
+    return mentions.mentioned(values, docs.where("doc_id % 2 = 1").select("part", "text"), ["part"])
+
+
 @query(
     "request_analysis",
     f"""WITH {_ALL}, q AS (SELECT DISTINCT text FROM messages WHERE role = 'user'), f AS (SELECT text, CASE {' '.join(f"WHEN {X.hit('text', p, 'i')} THEN '{n}'" for p, n in V.TASKS)} WHEN contains(text, '?') THEN 'question' ELSE 'general request' END AS task,

@@ -67,6 +67,21 @@ def upsert_memory(spark, sf):
     return D.upsert_memory(rows.where(F.col("updated_at") % 3 != 0), rows.where(F.col("updated_at") % 3 == 0))
 
 
+@query(
+    "stored_memory",
+    """WITH s AS (SELECT o_custkey AS conv_id, o_orderpriority AS key, o_orderkey AS version, CAST(o_orderkey % 5 AS VARCHAR) AS value FROM orders)
+SELECT conv_id, key, min(version) AS created_at, max(version) AS updated_at, max_by(value, version) AS value FROM s GROUP BY conv_id, key""",
+)
+def stored_memory(spark, sf):
+    """The same merge into a stored table in three installments, each of which rewrites the buckets it touches."""
+    k = F.col("o_orderkey")
+    rows = S.table(spark, sf, "orders").select(F.col("o_custkey").alias("conv_id"), F.col("o_orderpriority").alias("key"), (k % 5).cast("string").alias("value"), k.alias("created_at"), k.alias("updated_at"))
+    folder = f"{ordered.use_checkpoint_folder(spark)}/memory-{uuid.uuid4().hex}"
+    for part in (F.col("updated_at") % 3 == 1, F.col("updated_at") % 3 == 0, F.col("updated_at") % 3 == 2):
+        D.upsert_stored(rows.where(part), folder, ["conv_id", "key"], "updated_at", ["created_at"], buckets=8)
+    return D.read_stored(spark, folder)
+
+
 _ITEMS = f"{Q.ORDER_MESSAGES}, messages AS (SELECT * FROM order_messages), {X.annotated('messages')}, {X.STATEMENTS}, {X.MEMORY}"
 
 
@@ -171,6 +186,27 @@ def export_metrics(spark, sf):
     return spark.read.schema(metrics.schema).option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/csv")
 
 
+@query(
+    "export_summary",
+    f"""WITH {Q.RUN_ECONOMICS}, p AS (SELECT row_number() OVER (ORDER BY run_id) - 1 AS place, run_id, original_tokens, compiled_tokens, tokens_avoided FROM run_economics)
+SELECT place, run_id, original_tokens, compiled_tokens, CAST(sum(original_tokens) OVER w AS BIGINT) AS full_so_far, CAST(sum(compiled_tokens) OVER w AS BIGINT) AS sent_so_far,
+  CAST(sum(tokens_avoided) OVER () AS BIGINT) AS total_avoided, count(*) OVER () AS total_runs FROM p WINDOW w AS (ORDER BY place)""",
+)
+def export_summary(spark, sf):
+    """Write totals and the cumulative series as one JSON document in parts and read it back."""
+    runs = E.run_economics(S.runs(spark, sf), E.default_prices(spark)).select("run_id", "original_tokens", "compiled_tokens", "tokens_avoided")
+    along, block = ["_all"], ["_block"]
+    rows = runs.withColumns({"_all": F.lit(0), "_block": ordered.block_of(F.col("run_id"))})
+    rows = ordered.positions(rows, along, block, ["run_id"], "place")
+    rows = ordered.running_sums(rows, along, block, ["run_id"], {"full_so_far": F.col("original_tokens"), "sent_so_far": F.col("compiled_tokens")})
+    series = rows.select("place", "run_id", "original_tokens", "compiled_tokens", "full_so_far", "sent_so_far")
+    folder = f"{ordered.use_checkpoint_folder(spark)}/summary-{uuid.uuid4().hex}"
+    D.export_summary(series, runs.agg(F.sum("tokens_avoided").alias("total_avoided"), F.count("*").alias("total_runs")), folder)
+    point = "place bigint, run_id bigint, original_tokens bigint, compiled_tokens bigint, full_so_far bigint, sent_so_far bigint"
+    totals, back = D.read_summary(spark, folder, "total_avoided bigint, total_runs bigint", point)
+    return back.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+
 @query(
     "import_conversations",
     f"""WITH {_CONVS}, known AS (SELECT conversation_id, CASE WHEN conversation_id % 4 = 0 THEN concat('Customer#', lpad(CAST(conversation_id + 1 AS VARCHAR), 9, '0')) ELSE title END AS title FROM convs WHERE conversation_id % 2 = 0),

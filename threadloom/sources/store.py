@@ -5,6 +5,10 @@ partitions it touches). Winners are picked by aggregation, never by a window
 over a key.
 """
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,58 @@ def upsert_memory(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, ["conv_id", "key"], "updated_at", ["created_at"])
 
 
+# A stored table is a folder of buckets by the hash of its keys. Every change writes new versions of the buckets it
+# touches and then one manifest, which names the version of each bucket; the newest manifest is the table.
+BUCKETS = 64
+BUCKET = "_bucket"
+
+
+def _manifest(spark: SparkSession, folder: str) -> list:
+    """Rows (number, buckets, bucket, version) of the newest manifest, at most one for each bucket; empty for a new table."""
+    try:
+        rows = spark.read.schema("number bigint, buckets int, bucket int, version string").parquet(f"{folder}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    newest = rows.agg(F.max("number")).first()[0]
+    return rows.where(F.col("number") == newest).collect() if newest is not None else []
+
+
+def _bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def read_stored(spark: SparkSession, folder: str, only: list[int] | None = None) -> DataFrame | None:
+    """The rows of a stored table, or of some of its buckets; None if it has none there."""
+    paths = [f"{folder}/data/version={r['version']}/{BUCKET}={r['bucket']}" for r in _manifest(spark, folder) if only is None or r["bucket"] in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_stored(incoming: DataFrame, folder: str, keys: list[str], version: str, keep_first: list[str] | None = None, buckets: int = BUCKETS) -> None:
+    """Merge rows into a stored table by :func:`upsert`; only buckets that the rows fall into are read and written again.
+
+    A table's number of buckets is fixed by its first write. Readers see the former table until the new manifest is there;
+    what a broken write left is never named by one.
+    """
+    spark = incoming.sparkSession
+    known = _manifest(spark, folder)
+    buckets = known[0]["buckets"] if known else buckets
+    rows = incoming.withColumn(BUCKET, _bucket_of(keys, buckets))
+    touched = sorted(r[BUCKET] for r in rows.select(BUCKET).distinct().collect())
+    if not touched:
+        return
+    stored = read_stored(spark, folder, touched)
+    stored = incoming.where("false") if stored is None else stored
+    name = uuid.uuid4().hex
+    merged = upsert(stored, incoming, keys, version, keep_first).withColumn(BUCKET, _bucket_of(keys, buckets))
+    merged.repartition(len(touched), BUCKET).write.partitionBy(BUCKET).parquet(f"{folder}/data/version={name}")
+    versions = {r["bucket"]: r["version"] for r in known} | dict.fromkeys(touched, name)
+    number = known[0]["number"] + 1 if known else 0
+    manifest = spark.createDataFrame([(number, buckets, b, v) for b, v in versions.items()], "number bigint, buckets int, bucket int, version string")
+    manifest.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+
+
 # IO5 -------------------------------------------------------------------------
 def list_memory(items: DataFrame, active_only: bool = True) -> DataFrame:
     rows = items.where("active") if active_only else items
@@ -83,20 +139,28 @@ def ledger_tables(runs: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_run_ledger(tables: dict[str, DataFrame], folder: str, batch: str) -> None:
-    """Append one batch of runs to the four tables; rewriting the same batch replaces it, so a retry is safe.
+    """Write one batch of runs to the four tables; writing the same batch again replaces it.
 
-    Run rows are written last: their presence is what makes a batch complete for :func:`read_run_ledger`.
+    All rows go to folders of a new version. One row in ``commits`` then makes that version the batch's:
+    before it readers see the batch as it was, after it all four tables as they are now, never a mixture.
     """
-    for name in sorted(tables, key=lambda name: name == "compiler_run"):
-        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}/batch={batch}/version={version}")
+    commit = spark.createDataFrame([(batch, version, time.time_ns())], COMMITS)
+    commit.coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+
+
+COMMITS = "batch string, version string, committed bigint"
 
 
 def read_run_ledger(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of one ledger table, of complete batches only."""
-    rows = spark.read.parquet(f"{folder}/{name}")
-    if name == "compiler_run":
-        return rows
-    return rows.join(spark.read.parquet(f"{folder}/compiler_run").select("batch").distinct(), "batch", "left_semi")
+    """Rows of one ledger table: of each batch the version committed last."""
+    commits = spark.read.schema(COMMITS).parquet(f"{folder}/commits")
+    current = commits.groupBy("batch").agg(F.max_by("version", "committed").alias("version"))
+    rows = spark.read.parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("string"))
+    return rows.join(current, ["batch", "version"], "left_semi").drop("version")
 
 
 # IO8 -------------------------------------------------------------------------
@@ -123,6 +187,26 @@ def export_metrics(metrics: DataFrame, folder: str) -> None:
     metrics.write.mode("overwrite").json(f"{folder}/json")
 
 
+def export_summary(metrics: DataFrame, totals: DataFrame, folder: str, part_rows: int = 10_000) -> None:
+    """The export as JSON lines: a line of totals, and the ordered series in lines of at most ``part_rows`` points each.
+
+    ``metrics`` has ``place`` (from 0, without gaps) and the measures of a point; ``totals`` is one row. A line has its
+    kind and number, so the document is the lines in that order and no line grows with the series.
+    """
+    point = F.struct("place", *[c for c in metrics.columns if c != "place"])
+    parts = metrics.groupBy(F.floor(F.col("place") / part_rows).cast("int").alias("part")).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    none = F.lit(None)
+    head = totals.select(F.lit("totals").alias("kind"), F.lit(0).alias("part"), F.struct(*totals.columns).alias("totals"), none.cast(parts.schema["points"].dataType).alias("points"))
+    body = parts.select(F.lit("series").alias("kind"), "part", none.cast(head.schema["totals"].dataType).alias("totals"), "points")
+    head.unionByName(body).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def read_summary(spark: SparkSession, folder: str, totals: str, point: str) -> tuple[DataFrame, DataFrame]:
+    """(totals, series) of an export; ``totals`` and ``point`` are the schemas of the totals and of a point."""
+    lines = spark.read.schema(f"kind string, part int, totals struct<{totals}>, points array<struct<{point}>>").json(f"{folder}/summary")
+    return lines.where("kind = 'totals'").select("totals.*"), lines.where("kind = 'series'").select(F.explode("points").alias("p")).select("p.*")
+
+
 # IO11 ------------------------------------------------------------------------
 def import_conversations(target: dict[str, DataFrame], source: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Rows to append so that conversations missing by id and by title come in with their children.

@@ -61,3 +61,30 @@ def ledger_stream(runs: DataFrame) -> DataFrame:
         F.sum(F.col("original_tokens") - F.col("compiled_tokens")).alias("tokens_avoided"),
         F.avg(percent).alias("avg_reduction_percent"),
     )
+
+
+def run_updates(runs: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Arriving runs once each: a run that comes again within ``lateness`` of event time is left out, later state is dropped.
+
+    Needs run_id and created_at; a run that is later than ``lateness`` behind the newest one is not counted.
+    """
+    return runs.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["run_id"])
+
+
+def write_updates(runs: DataFrame, out: str, checkpoint: str) -> None:
+    """Process everything available: each batch writes what it adds to the totals of its days, nothing rewrites them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # a batch replayed after a failure replaces its own earlier share
+        added = batch.groupBy(F.to_date("created_at").alias("day"), "count_source").agg(
+            F.count("*").alias("runs"), F.sum("original_tokens").alias("original_tokens"), F.sum("compiled_tokens").alias("compiled_tokens")
+        )
+        added.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    runs.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def update_totals(added: DataFrame) -> DataFrame:
+    """Totals by day and count source out of what the batches added."""
+    sums = [F.sum(c).alias(c) for c in ("runs", "original_tokens", "compiled_tokens")]
+    return added.groupBy("day", "count_source").agg(*sums)
