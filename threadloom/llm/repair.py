@@ -214,8 +214,9 @@ def _whole_slots(sequence: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np
 def _top_pairs(sequence: np.ndarray, last: np.ndarray, rules: int, min_count: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of the most frequent slots, each slot for one of its pairs, and the pair's number there."""
     slot, counts = _whole_slots(sequence, last)
-    top = np.argpartition(counts, -rules)[-rules:]
-    top = np.sort(top[counts[top] >= min_count])
+    top = np.flatnonzero(counts >= min_count)
+    if len(top) > rules:
+        top = np.sort(top[np.argpartition(counts[top], -rules)[-rules:]])
     rank = np.full(len(counts), -1, dtype=np.int16)
     rank[top] = np.arange(len(top))
     ranks = rank[slot]
