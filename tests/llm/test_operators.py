@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, classifier, components, decontaminate, licenses, ngram_join, queries, rendezvous, repair, spots, templates, token_counts
 from threadloom.llm import words as W
@@ -89,7 +90,8 @@ def test_trie_counts_equal_plain_dynamic_programming(spark):
     known = token_counts.load(queries.PIECES)
     texts = [*ODD, *some_texts(2)]
     words = {w for t in texts for w in (t or "").split() if len(w) < 300}
-    assert token_counts.terminal_counts(list(words), known) == {w: brute_count(w, known) for w in words}
+    trie = token_counts.Trie(known)
+    assert {w: trie.tokens(w) for w in words} == {w: brute_count(w, known) for w in words}
     got = rows_of(token_counts.count_tokens(frame(spark, texts), queries.PIECES))
     for i, t in enumerate(texts):
         parts = (t or "").split()
@@ -106,6 +108,25 @@ def test_trie_counts_when_words_are_forgotten(spark, monkeypatch):
     assert all(got[i].n_tokens == sum(brute_count(w, known) for w in t.split()) for i, t in enumerate(texts))
 
 
+def test_trie_scores_shared_prefixes_once(monkeypatch):
+    known = token_counts.load(queries.PIECES)
+    trie = token_counts.Trie(known)
+    words = ["inter", "internet", "international", "intern", "x", "internet"]
+    got = [trie.tokens(w) for w in words]
+    assert len(trie.best) == 1 + len({(token_counts.MARK + w)[:k] for w in words for k in range(1, len(w) + 2)})
+    assert got == [token_counts.Trie(known).tokens(w) for w in words] == [brute_count(w, known) for w in words]
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    assert [token_counts.Trie(known).tokens(w) for w in [*words, "été" * 40, "\U0001f600"]] == [brute_count(w, known) for w in [*words, "été" * 40, "\U0001f600"]]
+
+
+def test_trie_starts_anew(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "NODES", 20)
+    texts = some_texts(40) + ["a a b", "a a b"]
+    known = token_counts.load(queries.PIECES)
+    got = rows_of(token_counts.count_tokens(frame(spark, texts, parts=1), queries.PIECES))
+    assert all(got[i].n_tokens == sum(brute_count(w, known) for w in t.split()) for i, t in enumerate(texts))
+
+
 # license scans
 
 
@@ -295,6 +316,48 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+# sharding
+
+
+def test_shards_are_the_winning_draws(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    rng = random.Random(2)
+    ids = [None, 0, -5, *rng.sample(range(10**12), 300), 7, 7]
+    docs = spark.createDataFrame([(i, f"t{k}" if k % 5 else None) for k, i in enumerate(ids)], "doc_id bigint, text string").repartition(3)
+
+    def draw(i, weights):
+        name = "\x00null" if i is None else str(i)
+        base = xxhash.xxh64_intdigest(name.encode(), seed=42)
+        first = xxhash.xxh64_intdigest(struct.pack("<Q", base), seed=42)
+        costs = [(-math.log(((xxhash.xxh64_intdigest(struct.pack("<i", s), seed=first) >> 11) + 0.5) / 2**53) / w, s) for s, w in enumerate(weights)]
+        return min(costs)[1]
+
+    weights = [1.0, 2.0, 0.5] + [1.0] * 9
+    rows = rendezvous.assign(docs, weights, [*weights, 1.5], slot_rows=5).collect()
+    assert len(rows) == len(ids)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (draw(r.doc_id, weights), draw(r.doc_id, [*weights, 1.5]))
+        assert r.grown_shard in (r.shard, len(weights))
+    for s in range(len(weights)):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_classifier_scores_equal_a_plain_loop():
+    import pyarrow as pa
+
+    texts = [None, "", "a", "one two two three", "Ärger über alles über alles", "x" * 5000]
+    model = classifier.train(["good clean text here", "bad bad bad junk", "more good text", "junk junk"], [1, 0, 1, 0], epochs=3)
+    got = classifier.scores(pa.array(texts, pa.string()), model)
+    for text, score in zip(texts, got):
+        found = [int(b) for buckets, _ in classifier.buckets(W.text_bytes(pa.array([text], pa.string()))) for b in buckets]
+        total = sum(float(model.weight[b]) for b in found) / max(1, len(found)) + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-5)
+
+
 # BPE
 
 
@@ -382,7 +445,7 @@ def test_line_dedup_equals_brute_force(spark):
 def test_shards(spark):
     texts = [*ODD, *some_texts(11, 400)]
     ids = [None, *range(1, len(texts))]
-    out = rendezvous.assign(frame(spark, texts, ids), [1.0] * 40, [1.0] * 41, slot_buckets=4).collect()
+    out = rendezvous.assign(frame(spark, texts, ids), [1.0] * 40, [1.0] * 41, slot_rows=3).collect()
     assert len(out) == len(texts)
     by_id = {i: t for i, t in zip(ids, texts)}
     for r in out:
@@ -562,6 +625,21 @@ def test_fingerprints(spark):
         assert row.near_next == pytest.approx(jaccard(spots_by[i], plain_spots(following)))
 
 
+def test_next_document_with_sparse_and_repeated_ids(spark):
+    rng = random.Random(3)
+    ids = [10**12, -(10**15), *range(300), *[50] * 120, *[None] * 90]
+    texts = [f"the text {rng.randrange(10**6)} of {i}" for i in ids]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").repartition(4)
+    hashes = {(r.doc_id, r.text): r.h for r in df.selectExpr("*", "xxhash64(text) AS h").collect()}
+    order = sorted(hashes, key=lambda k: (k[0] is not None, k[0] or 0, hashes[k]), reverse=True)
+    got = {(r.doc_id, r.text): r.next_text for r in spots.with_next(df, 8).collect()}
+    assert got == {k: order[(i + 1) % len(order)][1] for i, k in enumerate(order)}
+    bounds = [50, 50, 50, 200]
+    rows = df.selectExpr("doc_id", "xxhash64(text) / 18446744073709551616D + 0.5 AS u").select("doc_id", spots._block(F.col("doc_id"), F.col("u"), bounds, 2).alias("b")).collect()
+    blocks = {i: {r.b for r in rows if r.doc_id == i} for i in (None, 50, 49, 51, 10**12)}
+    assert blocks == {None: {-2, -1}, 50: {0, 1, 2}, 49: {0}, 51: {3}, 10**12: {4}}
+
+
 def test_spot_pairs_equal_brute_force(spark):
     texts = near_texts(15, copies=6)
     members, pairs = spots.similar_pairs(frame(spark, texts), 0.6)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import ordered
 
-SLOT_BUCKETS = 64
+#: Rows that are ranked together, about.
+SLOT_ROWS = 1 << 16
 
 
 def shard_of(key: Column, weights: list[float]) -> Column:
@@ -32,13 +33,14 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return F.array_min(F.transform(shards, cost))["shard"]
 
 
-def assign(docs: DataFrame, weights: list[float], grown_weights: list[float], slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
+def assign(docs: DataFrame, weights: list[float], grown_weights: list[float], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    Slots number the rows of a shard without gaps. A shard may hold a large part
-    of all rows, so it is ranked in ``slot_buckets`` buckets of its keys' hash and
-    only the buckets' counts are added up along the shard.
+    Slots number the rows of a shard without gaps. A shard may hold a large part of
+    all rows, so it is ranked in buckets of its keys' hash, of about ``slot_rows`` rows
+    if shards are even, and only the buckets' counts are added up along the shard.
     """
+    buckets = max(1, -(-docs.count() // (slot_rows * len(weights))))
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
@@ -47,7 +49,7 @@ def assign(docs: DataFrame, weights: list[float], grown_weights: list[float], sl
         F.lit("key").alias("law"),
         shard_of(F.col("doc_id"), weights).alias("shard"),
         shard_of(F.col("doc_id"), grown_weights).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slot_buckets)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("_bucket"),
     )
     rows = ordered.positions(rows, ["shard"], ["_bucket"], ["_bucket", "doc_id", "size", "text_crc32"], out="slot")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

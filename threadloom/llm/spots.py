@@ -30,7 +30,7 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 BLOCK_ROWS = 1024
-BROADCAST_ROWS = 500_000
+MAX_BLOCKS = 10_000
 
 
 def with_spots(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -63,27 +63,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
+def _block(doc_id: Column, share: Column, bounds: list, none_blocks: int) -> Column:
+    """Number of the block of a row: how many bounds are below its id. An id that is several bounds has as many blocks.
+
+    ``share`` (0 to 1, by the text's hash) chooses between those. Bounds are looked up in two steps, among every
+    so many and then among those between two of them.
+    """
+    none = F.floor(share * none_blocks).cast("bigint") - none_blocks
+    if not bounds:
+        return F.when(doc_id.isNull(), none).otherwise(F.lit(0).cast("bigint"))
+    step = max(1, math.isqrt(len(bounds)))
+    parts = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
+    tops = F.array(*[F.lit(bounds[min(i + step, len(bounds)) - 1]) for i in range(0, len(bounds), step)])
+
+    def below(holds) -> Column:
+        whole = F.size(F.filter(tops, holds))
+        return whole * step + F.coalesce(F.size(F.filter(F.get(parts, whole), holds)), F.lit(0))
+
+    low, same = below(lambda b: b < doc_id), below(lambda b: b <= doc_id)
+    found = F.when(same - low > 1, low + F.floor(share * (same - low))).otherwise(low)
+    return F.when(doc_id.isNull(), none).otherwise(found.cast("bigint"))
+
+
 def with_next(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, text and spots of every document, and next_text, next_spots of the row that follows by descending doc_id.
 
-    The first row follows the last. Rows are cut into blocks of neighbouring ids,
-    about ``block_rows`` each where ids are spread evenly; every block also gets
-    the first row of the next one, so no step orders more than a block.
+    The first row follows the last; rows of one id are in order of their text's hash. Rows are cut into
+    blocks of neighbouring ids, about ``block_rows`` each or a ``MAX_BLOCKS``-th of all, by quantiles of
+    doc_id; an id, or no id, that very many rows have is several blocks. Every block also gets the first
+    row of the next one, so no step orders more than a block.
     """
-    lowest = F.lit(-(2**62))
-    rows = docs.withColumns({"_order": F.struct("doc_id", F.xxhash64("text").alias("hash"))})
-    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    span = (bounds["high"] - bounds["low"] + 1) if bounds["high"] is not None else 1
-    width = max(1, span * block_rows // max(1, bounds["n"]))
-    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("doc_id") / width).cast("bigint"), lowest))
+    own_hash = F.xxhash64("text")
+    rows = docs.withColumns({"_order": F.struct("doc_id", own_hash.alias("hash"))})
+    counts = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    blocks = min(MAX_BLOCKS, max(1, -(-counts["n"] // block_rows)))
+    share = (own_hash.cast("double") + 2.0**63) / 2.0**64
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / blocks for k in range(1, blocks)], 10_000).alias("b")).first()["b"] if blocks > 1 else []
+    none_blocks = max(1, -(-counts["none"] * blocks // max(1, counts["n"])))
+    rows = rows.withColumn("_block", _block(F.col("doc_id"), F.least(share, F.lit(1 - 2.0**-53)), sorted(bounds or []), none_blocks))
     # one narrow row per block: its first row, and the block that this row follows
     tops = rows.groupBy("_block").agg(F.max("_order").alias("_top"))
     tops = written(tops.withColumn("_goes", F.lag("_block").over(Window.orderBy(F.desc("_block")))), "spot-blocks")
     last = tops.agg(F.min("_block").alias("n")).first()["n"]
     tops = tops.withColumn("_goes", F.coalesce("_goes", F.lit(last).cast("bigint")))
-    rows = rows.join(F.broadcast(tops) if tops.count() <= BROADCAST_ROWS else tops, "_block")
+    rows = rows.join(F.broadcast(tops), "_block")
+    first_of_block = F.col("_order").eqNullSafe(F.col("_top"))
     own, lent = F.struct(F.col("_block").alias("block"), F.lit(0).alias("lent")), F.struct(F.col("_goes").alias("block"), F.lit(1).alias("lent"))
-    rows = rows.withColumn("_to", F.explode(F.when(F.col("_order") == F.col("_top"), F.array(own, lent)).otherwise(F.array(own))))
+    rows = rows.withColumn("_to", F.explode(F.when(first_of_block, F.array(own, lent)).otherwise(F.array(own))))
     rows = with_spots(rows.select("doc_id", "text", "_order", "_to.block", "_to.lent"), "text", "spots")
     order = Window.partitionBy("block").orderBy("lent", F.desc("_order"))
     return rows.withColumns({"next_text": F.lead("text").over(order), "next_spots": F.lead("spots").over(order)}).where(F.col("lent") == 0).drop("block", "lent", "_order")
