@@ -66,7 +66,9 @@ def cost_totals(costed: DataFrame) -> DataFrame:
 
 # A14 -------------------------------------------------------------------------
 def utility_by_kind(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    cost = F.when(F.col("input_tokens").isNotNull(), economics.usage_cost(inputs=F.col("input_tokens"), outputs=F.col("output_tokens")))
+    """Calls, tokens and cost per kind; cache tokens, where the calls have them, cost what they are priced at."""
+    cached = {name: F.col(c) for name, c in (("cache_write", "cache_creation_tokens"), ("cache_read", "cache_read_tokens")) if c in calls.columns}
+    cost = F.when(F.col("input_tokens").isNotNull(), economics.usage_cost(inputs=F.col("input_tokens"), outputs=F.col("output_tokens"), **cached))
     return (
         economics.with_price(calls, prices)
         .withColumn("cost_usd", cost)
@@ -228,6 +230,21 @@ def dashboard(costed: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
+def measures(parts: dict[str, DataFrame], by: dict[str, str] | None = None) -> DataFrame:
+    """The whole dashboard as rows part, item, measure, value: every number of tables of few rows.
+
+    ``by`` names a part's column that tells its rows apart; NULL numbers are left out.
+    """
+    out = None
+    for part, rows in parts.items():
+        item = (by or {}).get(part)
+        numbers = [c for c in rows.columns if c != item]
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers])).alias("m")
+        long = rows.select(F.lit(part).alias("part"), (F.col(item) if item else F.lit("")).alias("item"), pairs).select("part", "item", "m.*").where(F.col("value").isNotNull())
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 # A21 -------------------------------------------------------------------------
 def conversation_totals(costed: DataFrame) -> DataFrame:
     full, sent = F.sum("original_tokens"), F.sum("compiled_tokens")
@@ -242,7 +259,10 @@ def conversation_totals(costed: DataFrame) -> DataFrame:
         r("optimizer_cost_usd").alias("optimizer_cost_usd"),
         r("fallback_waste_cost_usd").alias("fallback_waste_usd"),
         r("net_savings_usd").alias("net_savings_usd"),
+        r("generation_cost_usd").alias("generation_cost_usd"),
+        _sum0("attempts").alias("generations"),
         F.count_if(F.col("attempts") > 1).alias("retries"),
+        F.count_if(F.col("quality_warning").isNotNull()).alias("quality_warnings"),
         F.count_if(F.col("economic_decision").isNotNull() & (F.col("economic_decision") != "optimized")).alias("full_context_routes"),
     )
 

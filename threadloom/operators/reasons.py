@@ -36,6 +36,7 @@ RETRIED = {
     "expanded": "Asked again with added history",
     "full": "Asked again on the whole history",
     "no_retry": "No second attempt",
+    "flagged": "Answer flagged and returned; the history sent was not at fault",
 }
 
 

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed_values as V
 from threadloom.operators import annotate as A
 from threadloom.operators import explain as P
+from threadloom.operators import ledger as L
 from threadloom.operators import memory as M
+from threadloom.operators import ordered
 from threadloom.operators import relevance as R
 from threadloom.operators.reasons import RETRIED
 from threadloom.plans import routing_sql as D
@@ -14,6 +16,7 @@ from threadloom.plans import views_sql as Q
 from threadloom.plans.ledger_queries import _costed
 from threadloom.plans.registry import query, rounded
 from threadloom.plans.routing_queries import compiled
+from threadloom.plans.verdict_queries import _ROUNDS, judged_rounds
 from threadloom.sources import tables as S
 
 _CARDS = f"""{D.DECISIONS},
@@ -55,8 +58,8 @@ def decision_counts(spark, sf):
     f"""WITH {Q.RUN_COSTS}, f AS (SELECT run_id, min_by(context_tokens, idx) AS first_tokens, max_by(passed, idx) AS last_ok, bool_or(level = 'regenerated') AS regenerated, max(CASE level WHEN 'expanded' THEN 1 ELSE 0 END) AS lvl FROM attempts GROUP BY run_id),
 s AS (SELECT r.*, coalesce(first_tokens, compiled_tokens) AS initial_sent, {Q.reduction('original_tokens', 'coalesce(first_tokens, compiled_tokens)')} AS initial_percent, last_ok, regenerated, lvl FROM run_costs r LEFT JOIN f USING (run_id))
 SELECT run_id, count_source = 'provider_count' AS counted, original_tokens AS "full", compiled_tokens AS sent, tokens_avoided AS avoided, reduction_percent AS percent, initial_sent, initial_percent,
-  abs(initial_percent - reduction_percent) > 0.05 AS fell_back, CASE WHEN quality_warning IS NOT NULL THEN 'Passed with a quality warning' WHEN evaluation_status = 'PASS' THEN 'Passed' WHEN last_ok = 1 THEN 'Passed after a retry' ELSE 'Did not pass' END AS quality,
-  CASE WHEN regenerated AND lvl = 1 THEN '{V.LEVEL_TITLES['regenerated']} · More context added' WHEN regenerated THEN '{V.LEVEL_TITLES['regenerated']}' WHEN lvl = 1 THEN 'More context added' ELSE 'None' END AS fallback, round(net_savings_usd, 9) AS net_savings_usd FROM s""",
+  abs(initial_percent - reduction_percent) > 0.05 AS fell_back, CASE WHEN quality_warning IS NOT NULL THEN 'passed_with_warning' WHEN evaluation_status = 'PASS' THEN 'passed' WHEN last_ok = 1 THEN 'passed_on_retry' ELSE 'failed' END AS quality,
+  CASE WHEN regenerated AND lvl = 1 THEN 'regenerated,expanded' WHEN regenerated THEN 'regenerated' WHEN lvl = 1 THEN 'expanded' ELSE '' END AS fallback, round(net_savings_usd, 9) AS net_savings_usd FROM s""",
 )
 def trace_summary(spark, sf):
     return P.trace_summary(_costed(spark, sf), S.attempts(spark, sf)).withColumn("net_savings_usd", F.round("net_savings_usd", 9))
@@ -64,14 +67,72 @@ def trace_summary(spark, sf):
 
 @query(
     "attempt_views",
-    f"""WITH {Q.RUNS}, {Q.ATTEMPTS} SELECT run_id, idx + 1 AS n, level, CASE level WHEN 'optimized' THEN 'Optimized context' WHEN 'regenerated' THEN '{V.LEVEL_TITLES['regenerated']}' ELSE 'More context added' END AS title,
-  context_tokens AS sent, {Q.reduction('original_tokens', 'context_tokens')} AS percent, passed = 1 AS passed, CASE WHEN passed = 1 THEN 'Passed' ELSE 'Could not be confirmed' END AS verdict, idx = max(idx) OVER (PARTITION BY run_id) AS is_final FROM attempts JOIN runs USING (run_id)""",
+    f"""WITH {Q.RUNS}, {Q.ATTEMPTS} SELECT run_id, idx + 1 AS n, level, level AS title,
+  context_tokens AS sent, {Q.reduction('original_tokens', 'context_tokens')} AS percent, passed = 1 AS passed, CASE WHEN passed = 1 THEN 'PASS' ELSE 'UNCERTAIN' END AS verdict, idx = max(idx) OVER (PARTITION BY run_id) AS is_final FROM attempts JOIN runs USING (run_id)""",
 )
 def attempt_views(spark, sf):
     attempts = S.numbered_attempts(spark, sf).withColumn("category", F.when(F.col("passed") == 1, "PASS").otherwise("UNCERTAIN"))
     return P.attempt_views(attempts, S.runs(spark, sf))
 
 
+_TITLED = f"""{_ROUNDS}, led AS (SELECT *, lag(decision) OVER o AS led, lag(CASE WHEN kind = 'corrective_regeneration' THEN CASE WHEN category = 'INSTRUCTION_VIOLATION' THEN 'instruction' ELSE 'grounding' END END) OVER o AS cause FROM d WINDOW o AS (PARTITION BY run_id ORDER BY attempt)),
+titled AS (SELECT *, CASE WHEN level = 'regenerated' AND cause = 'instruction' THEN 'regenerated_for_instruction' WHEN level = 'expanded' AND led = 'full_fallback' THEN 'full_fallback' ELSE level END AS title FROM led)"""
+
+
+def _rounds(spark, sf):
+    """Attempts with the outcome of every round."""
+    decided = ordered.cut_lineage(judged_rounds(spark, sf))
+    attempts = S.numbered_attempts(spark, sf).join(decided.select("run_id", F.col("attempt").alias("idx"), "category"), ["run_id", "idx"])
+    return ordered.cut_lineage(attempts), decided
+
+
+@query(
+    "attempt_details",
+    f"""WITH {_TITLED} SELECT run_id, attempt + 1 AS n, title, CASE WHEN level = 'expanded' AND attempt > 0 AND coalesce(lag(level) OVER (PARTITION BY run_id ORDER BY attempt), '') <> 'expanded' THEN 1 ELSE 0 END AS added_entries,
+  CASE WHEN level = 'expanded' AND attempt > 0 AND coalesce(lag(level) OVER (PARTITION BY run_id ORDER BY attempt), '') <> 'expanded' THEN context_tokens // 10 ELSE 0 END AS added_tokens, decision AS retry, category AS verdict,
+  attempt = max(attempt) OVER (PARTITION BY run_id) AS is_final FROM titled""",
+)
+def attempt_details(spark, sf):
+    """Every attempt with what led to it, what it added and what followed."""
+    attempts, rounds = _rounds(spark, sf)
+    parts = F.when(F.col("level") == "expanded", F.array(F.lit("base"), F.lit("extra"))).otherwise(F.array(F.lit("base")))
+    added = L.context_added(attempts.select("run_id", "idx", F.explode(parts).alias("entry_id"), F.floor(F.col("context_tokens") / 10).alias("tokens")))
+    return P.attempt_views(attempts, S.runs(spark, sf), rounds, added).select("run_id", "n", "title", "added_entries", "added_tokens", "retry", "verdict", "is_final")
+
+
+@query(
+    "retry_summaries",
+    f"""WITH {_TITLED}, s AS (SELECT run_id, min_by(title, attempt) FILTER (level = 'regenerated') AS again, bool_or(title = 'full_fallback') AS as_full, max(CASE WHEN level = 'expanded' THEN 1 ELSE 0 END) AS lvl FROM titled GROUP BY run_id)
+SELECT run_id, array_to_string(list_filter([again, CASE WHEN lvl = 1 THEN CASE WHEN as_full THEN 'full_fallback' ELSE 'expanded' END END], lambda x: x IS NOT NULL), ',') AS fallback FROM s""",
+)
+def retry_summaries(spark, sf):
+    """What was tried again in each run that has attempts."""
+    attempts, rounds = _rounds(spark, sf)
+    runs = S.runs(spark, sf).withColumn("net_savings_usd", F.lit(0.0)).join(attempts.select("run_id").distinct(), "run_id", "left_semi")
+    return P.trace_summary(runs, P.with_titles(attempts, rounds)).select("run_id", "fallback")
+
+
+@query(
+    "fallback_texts",
+    f"""WITH {Q.ATTEMPTS}, h AS (SELECT run_id, min_by(passed, idx) AS ok, count(*) AS n FROM attempts GROUP BY run_id),
+r AS (SELECT run_id, 0 AS place, '{RETRIED['flagged']}' AS sentence FROM h WHERE run_id % 4 = 0
+UNION ALL SELECT run_id, 0, '{RETRIED['failed']}: UNCERTAIN, no reason given' FROM h WHERE ok = 0 AND run_id % 4 <> 0
+UNION ALL SELECT run_id, 1, '{RETRIED['no_retry']}' FROM h WHERE ok = 0 AND run_id % 4 <> 0 AND n = 1
+UNION ALL SELECT a.run_id, idx, concat(CASE level WHEN 'regenerated' THEN '{RETRIED['regenerated']}' WHEN 'expanded' THEN concat('{RETRIED['expanded']} (2 entries, ', context_tokens, ' tokens)') ELSE '{RETRIED['full']}' END, CASE WHEN passed = 1 THEN ': accepted' ELSE ': rejected' END)
+  FROM attempts a JOIN h ON h.run_id = a.run_id AND h.ok = 0 AND h.run_id % 4 <> 0 WHERE idx > 0)
+SELECT run_id, concat(string_agg(sentence, '. ' ORDER BY place) FILTER (place < 3), '.', CASE WHEN count(*) FILTER (place >= 3) > 0 THEN concat(' (', count(*) FILTER (place >= 3), ' more)') ELSE '' END) AS text FROM r GROUP BY run_id""",
+)
+def fallback_texts(spark, sf):
+    """One text per run about its failed or flagged first answer; a fourth of the first answers were only flagged."""
+    attempts = S.numbered_attempts(spark, sf).withColumns(
+        {
+            "category": F.when(F.col("passed") == 1, "PASS").otherwise("UNCERTAIN"), "reason": F.lit("no reason given"), "added_entries": F.lit(2), "added_tokens": F.col("context_tokens"),
+            "warning_only": (F.col("run_id") % 4 == 0) & (F.col("idx") == 0),
+        }
+    )
+    return P.fallback_texts(P.fallback_reasons(attempts), most=3)
+
+
 @query(
     "fallback_reasons",
     f"""WITH {Q.ATTEMPTS}, long_runs AS (SELECT o_orderkey AS run_id, i AS idx, CASE WHEN i % 2 = 0 THEN 'expanded' ELSE 'regenerated' END AS level, CASE WHEN i = 39 THEN 1 ELSE 0 END AS passed, 100 * i AS context_tokens

@@ -6,7 +6,7 @@ from threadloom.functions import fixed_values as V
 from threadloom.operators import economics as E
 from threadloom.operators import ledger as L
 from threadloom.plans import views_sql as Q
-from threadloom.plans.registry import query, rounded
+from threadloom.plans.registry import CHECKS, QUERIES, query, rounded
 from threadloom.sources import tables as S
 
 UTILITY_MODEL = "claude-haiku-4-5"
@@ -316,6 +316,7 @@ def dashboard(spark, sf):
   CAST(sum(tokens_avoided) AS BIGINT) AS tokens_avoided, floor(CAST(sum(tokens_avoided) AS DOUBLE) / sum(original_tokens) * 100 * 10 + 0.5) / 10 AS weighted_reduction_percent,
   round(coalesce(sum(gross_input_savings_usd) FILTER (known), 0), 6) AS gross_savings_usd, round(coalesce(sum(optimizer) FILTER (known), 0), 6) AS optimizer_cost_usd,
   round(coalesce(sum(waste) FILTER (known), 0), 6) AS fallback_waste_usd, round(coalesce(sum(net_savings_usd), 0), 6) AS net_savings_usd,
+  round(coalesce(sum(generation) FILTER (known), 0), 6) AS generation_cost_usd, CAST(sum(attempts) AS BIGINT) AS generations, count(*) FILTER (quality_warning IS NOT NULL) AS quality_warnings,
   count(*) FILTER (attempts > 1) AS retries, count(*) FILTER (economic_decision <> 'optimized') AS full_context_routes
 FROM run_costs GROUP BY conversation_id""",
 )
@@ -357,3 +358,46 @@ def messages_with_runs(spark, sf):
     asked = answers.select((-1 - F.col("message_id")).alias("message_id"))
     runs = S.runs(spark, sf).withColumn("assistant_message_id", F.col("run_id"))
     return L.messages_with_runs(answers.union(asked), runs, S.attempts(spark, sf))
+
+
+@query(
+    "usage_costs",
+    f"""WITH {Q.RUN_ECONOMICS} SELECT run_id, round((coalesce(provider_input_tokens, 0) * p.input + coalesce(provider_output_tokens, 0) * p.output + coalesce(cache_creation_tokens, 0) * p.cache_write
+  + coalesce(cache_read_tokens, 0) * p.cache_read) / 1000000, 9) AS usage_cost_usd FROM run_economics r LEFT JOIN prices p ON p.model = regexp_replace(r.model, '-[0-9]{{8}}$', '')""",
+)
+def usage_costs(spark, sf):
+    """What the counted usage of each run cost, cache tokens included."""
+    rows = E.with_price(S.runs(spark, sf), E.default_prices(spark))
+    cost = E.usage_cost(inputs=F.col("provider_input_tokens"), outputs=F.col("provider_output_tokens"), cache_write=F.col("cache_creation_tokens"), cache_read=F.col("cache_read_tokens"))
+    return rows.select("run_id", F.round(cost, 9).alias("usage_cost_usd"))
+
+
+_CACHED_CALLS = f"""{Q.UTILITY_CALLS}, cached AS (SELECT *, CASE WHEN call_id % 4 = 0 THEN 50 END AS cache_creation_tokens, CASE WHEN call_id % 6 = 0 THEN call_id % 40 END AS cache_read_tokens FROM utility_calls)"""
+
+
+@query(
+    "utility_with_cache",
+    f"""WITH {_CACHED_CALLS}, {Q.PRICES} SELECT c.kind, round(coalesce(sum((input_tokens * p.input + output_tokens * p.output + coalesce(cache_creation_tokens, 0) * p.cache_write + coalesce(cache_read_tokens, 0) * p.cache_read) / 1000000), 0), 6) AS cost_usd
+FROM cached c LEFT JOIN prices p ON p.model = c.model GROUP BY c.kind""",
+)
+def utility_with_cache(spark, sf):
+    k = F.col("call_id")
+    calls = S.utility_calls(spark, sf).withColumns({"cache_creation_tokens": F.when(k % 4 == 0, 50).cast("bigint"), "cache_read_tokens": F.when(k % 6 == 0, k % 40)})
+    return rounded(L.utility_by_kind(calls, E.default_prices(spark)).select("kind", "cost_usd"))
+
+
+_PARTS = ["run_totals", "estimator_accuracy", "actual_usage", "cost_totals", "economics_totals", "regenerated_runs", "benchmark_time", "latency_breakdown", "dashboard", "source_totals", "utility_by_kind"]
+_BY = {"source_totals": "count_source", "utility_by_kind": "kind"}
+
+
+def _long(part: str) -> str:
+    item = _BY.get(part)
+    rows = f"SELECT {item or chr(39) * 2} AS item, COLUMNS(lambda c: c <> '{item or ''}')::DOUBLE FROM ({CHECKS[part]})"
+    return f"SELECT '{part}' AS part, item, measure, round(value, 5) AS value FROM (UNPIVOT ({rows}) ON COLUMNS(* EXCLUDE item) INTO NAME measure VALUE value)"
+
+
+@query("dashboard_measures", " UNION ALL ".join(_long(part) for part in _PARTS))
+def dashboard_measures(spark, sf):
+    """Every number of the dashboard in rows: runs, estimator, usage, costs, economics, calls by kind, latency, benchmark, headline."""
+    parts = {part: QUERIES[part](spark, sf) for part in _PARTS}
+    return L.measures(parts, _BY).withColumn("value", F.round("value", 5) + 0.0)

@@ -174,7 +174,7 @@ guarded AS (
     CASE WHEN c.role = 'system' AND {hit('c.text', V.HARD_RULE, 'i')} THEN '{V.REASON_SYSTEM_HARD}' WHEN c.role = 'system' THEN '{V.REASON_SYSTEM}'
       WHEN c.role = 'developer' AND {hit('c.text', V.HARD_RULE, 'i')} THEN '{V.REASON_DEVELOPER}'
       WHEN c.role = 'user' AND contains(c.text, '```') AND {hit('c.text', V.EXACT_DEMAND, 'i')} THEN '{V.REASON_EXACT}'
-      WHEN c.role = 'user' AND s.strong IS NOT NULL THEN concat('explicit user constraint: "', CASE WHEN length(s.strong) > {V.REASON_SNIPPET} THEN concat(s.strong[1:{V.REASON_SNIPPET}], '…') ELSE s.strong END, '"') END AS reason
+      WHEN c.role = 'user' AND s.strong IS NOT NULL THEN concat('user_rule:', CASE WHEN length(s.strong) > {V.REASON_SNIPPET} THEN concat(s.strong[1:{V.REASON_SNIPPET}], '…') ELSE s.strong END) END AS reason
   FROM cut c LEFT JOIN strongs s USING (role, text) LEFT JOIN found f USING (role, text) LEFT JOIN said_types st USING (role, text)),
 typed AS (
   SELECT *, CASE
