@@ -3,8 +3,8 @@
 A document is the set of its distinct word n-grams, as 64-bit hashes. All sets
 are written in one global order, n-grams rare in the corpus first. Two sets that
 are alike enough share one of the first few n-grams of both (their prefixes), so
-documents only meet under an n-gram of their prefixes, and only when sizes and
-places leave enough to share. What meets is compared in prefix trees: the sets
+documents only meet under an n-gram of their prefixes, in groups of fitting
+sizes, and only when places leave enough to share. What meets is compared in prefix trees: the sets
 met by one probing set are put in a trie in global order, their overlap with it
 is counted once for each shared path, and a subtree is left as soon as what
 remains of either set cannot make up the overlap still missing.
@@ -178,33 +178,44 @@ def prefix_entries(docs: DataFrame, size: int, num: int, den: int, frequent) ->
     return docs.select("text").mapInArrow(run, "token bigint, name binary, n int, pos int")
 
 
-def met_entries(entries: DataFrame) -> DataFrame:
-    """Entries of n-grams that two or more different sets have in their prefixes, numbered under their n-gram."""
+def met_entries(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of n-grams that two or more different sets of fitting sizes have in their prefixes.
+
+    The sets under an n-gram are in order of size, and where one is too small for the next the group ends: no
+    pair spans that gap. ``token`` becomes a hash of the n-gram and the group's smallest size, ``at`` the number in the group.
+    """
 
     def run(batches):
-        held, held_at = None, 0  # the last row seen and its number under its n-gram
+        held, held_at, held_n = None, 0, 0  # the last row seen, its number in its group, and the group's smallest size
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            first = 0
             if held is not None:
-                table, first = pa.concat_tables([held, table]), held_at
-            token = table["token"].to_numpy()
+                table = pa.concat_tables([held, table])
+            token, n = table["token"].to_numpy(), table["n"].to_numpy().astype(np.int64)
             name = np.array(table["name"].to_pylist(), dtype="S16")
             again = np.r_[False, (token[1:] == token[:-1]) & (name[1:] == name[:-1])]
             if again.any():
                 table = table.filter(pa.array(~again))
-                token = token[~again]
-            fresh = np.r_[True, token[1:] != token[:-1]]
+                token, n = token[~again], n[~again]
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (n[:-1] * den < n[1:] * num)]
             start = np.flatnonzero(fresh)
-            at = np.arange(len(token)) - np.repeat(start, np.diff(np.r_[start, len(token)]))
-            at[: start[1] if len(start) > 1 else len(token)] += first
+            sizes = np.diff(np.r_[start, len(token)])
+            at = np.arange(len(token)) - np.repeat(start, sizes)
+            least = n[start]
+            if held is not None:
+                at[: sizes[0]] += held_at
+                least[0] = held_n
+            least = np.repeat(least, sizes)
             met = at > 0
             met[:-1] |= at[1:] > 0
-            held, held_at = table.slice(len(token) - 1), int(at[-1])
-            out = table.append_column("at", pa.array(at.astype(np.int32)))
-            yield from out.slice(0, len(token) - 1).filter(pa.array(met[:-1])).to_batches()
+            held, held_at, held_n = table.slice(len(token) - 1), int(at[-1]), int(least[-1])
+            yield from grouped(table, token, least, at).slice(0, len(token) - 1).filter(pa.array(met[:-1])).to_batches()
         if held is not None and held_at > 0:
-            yield from held.append_column("at", pa.array([held_at], pa.int32())).to_batches()
+            yield from grouped(held, held["token"].to_numpy(), np.array([held_n]), np.array([held_at])).to_batches()
+
+    def grouped(table, token, least, at):
+        group = W.mix(token.view(np.uint64) ^ W.mix(least.astype(np.uint64)))
+        return table.set_column(0, "token", pa.array(group.view(np.int64))).append_column("at", pa.array(at.astype(np.int32)))
 
     # names compare as zero-padded bytes here, which cannot make two different 16-byte names equal
     return entries.repartition("token").sortWithinPartitions("token", "n", "name").mapInArrow(run, "token bigint, name binary, n int, pos int, at int")
@@ -259,25 +270,28 @@ def _differ_little(num: int, den: int):
 def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link.
 
-    N-grams whose sets are all in one component are dropped. Under any other n-gram sets meet in bands
-    of sizes, and only if their signatures differ little enough; the sets of a band are dealt into
-    cells, so that many under one n-gram spread over tasks.
+    Groups whose sets are all in one component are dropped. In any other group sets meet in bands of
+    sizes, and only if their signatures differ little enough; the sets of a band are dealt into cells,
+    so that many in one group spread over tasks. Components are compared by 64-bit names.
     """
-    rows = met.join(near.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    rows = rows.withColumn("_band", _band(F.col("n"), num, den))
+    facts = signatures.join(near.withColumnRenamed("node", "name"), "name", "left")
+    facts = facts.select("name", *SIGNATURE, F.xxhash64(F.coalesce("component", "name")).alias("component"))
+    rows = met.drop("at").join(facts, "name").withColumn("_band", _band(F.col("n"), num, den))
+    rows = written(rows, "ngram-open")
     tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    tokens = tokens.where(F.col("_low") != F.col("_high")).select("token")
-    # in each band its own sets, to the left, and those and the next smaller band's, to the right
-    rows = written(rows.join(tokens, "token", "left_semi").join(signatures, "name"), "ngram-open")
+    tokens = written(tokens.where(F.col("_low") != F.col("_high")).select("token"), "ngram-open-tokens")
+    rows = rows.join(tokens, "token", "left_semi")
     counts = rows.groupBy("token", "_band").agg(F.count("*").alias("_count"))
-    parts = counts.select("token", "_band", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts"))
+    # a narrow row for each group and band; few bands need more than one cell
+    parts = written(counts.select("token", "_band", F.ceil(F.col("_count") / CELL_ROWS).cast("int").alias("_parts")), "ngram-open-parts")
+    large = parts.where("_parts > 1")
     fields = ["name", "n", "pos", "before", "component", "token", *SIGNATURE]
-    dealt = lambda sets, own: F.pmod(F.xxhash64("name"), F.col(sets)).cast("int").alias(own)
-    left = rows.join(parts, ["token", "_band"]).select(*fields, "_band", dealt("_parts", "_i"))
-    other = parts.select("token", (F.col("_band") + 1).alias("_to"), "_band", "_parts").unionByName(parts.select("token", F.col("_band").alias("_to"), "_band", "_parts"))
-    wide = parts.select("token", F.col("_band").alias("_to"), F.col("_parts").alias("_left_parts"))
-    right = rows.join(other.join(wide, ["token", "_to"]), ["token", "_band"]).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_left_parts") - 1)))
-    right = right.select(*fields, F.col("_band").alias("_own"), F.col("_to").alias("_band"), "_i")
+    dealt = lambda sets: F.pmod(F.xxhash64("name"), F.coalesce(F.col(sets), F.lit(1))).cast("int").alias("_i")
+    # in each band its own sets, to the left, and those and the next smaller band's, to the right
+    left = rows.join(large, ["token", "_band"], "left").select(*fields, "_band", dealt("_parts"))
+    right = rows.withColumn("_to", F.explode(F.array(F.col("_band"), F.col("_band") + 1)))
+    right = right.join(parts.select("token", F.col("_band").alias("_to"), "_parts"), ["token", "_to"])
+    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*fields, F.col("_band").alias("_own"), F.col("_to").alias("_band"), "_i")
     apart = F.col("x.component") != F.col("y.component")
     once = (F.col("y._own") < F.col("x._band")) | (F.col("x.name") < F.col("y.name"))
     shared = left.alias("x").join(right.alias("y"), ["token", "_band", "_i"]).where(_may_link(num, den) & apart & once & _differ_little(num, den))
@@ -452,7 +466,7 @@ def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[Da
     signatures = both.where("kind = 0 and n > 0").groupBy("name").agg(*[F.first(c).alias(c) for c in SIGNATURE])
     frequent = spark.sparkContext.broadcast(frequent_grams(both.where("kind = 1")))
 
-    met = met_entries(prefix_entries(docs, size, num, den, frequent))
+    met = met_entries(prefix_entries(docs, size, num, den, frequent), num, den)
     # a set has few rows here, those of its prefix
     before = F.row_number().over(Window.partitionBy("name").orderBy("pos")) - 1
     met = written(met.withColumn("before", before), "ngram-met")
