@@ -1,8 +1,8 @@
 """Quality classifier with supervised subword embeddings.
 
-Words and byte 3-grams of a text are hashed to buckets, word 2-grams of one word
-repeated share a bucket of their own, each bucket has a learned vector, a document is the mean of its vectors, and a softmax over two classes
-gives the score. Training is plain stochastic gradient descent in numpy on a
+Words, pairs of words and byte 3-grams of a text are hashed to buckets, each bucket
+has a learned vector, a document is the mean of its vectors, and a softmax over two
+classes gives the score. A pair of equal words has one bucket, whatever the word. Training is plain stochastic gradient descent in numpy on a
 bounded sample of labelled documents. Scoring reads every whole text; since the
 output is linear in the mean, each bucket is folded into one number first.
 
@@ -34,8 +34,8 @@ BITS = 17
 DIM = 10
 EPOCHS = 10
 RATE = 2.0
-REPEAT = 2 << BITS  # bucket of a word that follows itself
-SIZE = (2 << BITS) + 1
+REPEAT = 3 << BITS  # bucket of a word that follows itself
+SIZE = (3 << BITS) + 1
 
 
 class Model(NamedTuple):
@@ -55,11 +55,13 @@ def _gram_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def buckets(text: W.Bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of all words, of words that follow themselves, and of all 3-grams inside one text."""
+    """(bucket, row) of all words, of all pairs of words that follow each other, and of all 3-grams inside one text."""
     found = W.find_words(text, W.NOT_SPACE)
     out = [((found.hashes >> np.uint64(64 - BITS)).astype(np.int32), found.row)]
-    again = np.flatnonzero((found.hashes[1:] == found.hashes[:-1]) & (found.row[1:] == found.row[:-1]))
-    out.append((np.full(len(again), REPEAT, dtype=np.int32), found.row[again]))
+    pair = np.flatnonzero(found.row[1:] == found.row[:-1])
+    one, two = found.hashes[pair], found.hashes[pair + 1]
+    bucket = (W.mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> np.uint64(64 - BITS)).astype(np.int32) + (2 << BITS)
+    out.append((np.where(one == two, REPEAT, bucket).astype(np.int32), found.row[pair]))
     if len(text.data) > 2:
         row = np.repeat(np.arange(len(text.offsets) - 1), np.diff(text.offsets))
         inside = row[2:] == row[:-2]

@@ -9,6 +9,12 @@ and the words of the window are compared one by one, at last as text.
 Many stretches of text are scanned at once: every step moves one cursor per
 stretch, each by its own shift.
 
+Tasks get the items' texts, at most ``PASS_BYTES`` of them, and build the tables
+from them as arrays: a pattern is the number of its first word. A larger
+benchmark is searched for in several passes, one after the other; the hits so
+far are written with the documents between two passes, so neither the driver nor
+a task ever holds more than one pass.
+
 Defined cases: a null or empty text has no words and is never contaminated; an
 item without words has no window; items with equal id count once; a null item
 id is listed as an empty string; an empty benchmark hits nothing; repeated
@@ -17,6 +23,7 @@ documents give repeated rows.
 
 import hashlib
 import math
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -25,29 +32,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
+from threadloom.llm.shared import written
 
 WINDOW = 13
 STRETCH = 256
 TABLE_BITS = 18
 #: Benchmark text searched for in one pass; a larger benchmark is searched for in several.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
 RESULT = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items_sha256:string,contaminated:boolean>"
 STATE = "struct<hit:binary,items:array<string>>"
 
 
 class Group(NamedTuple):
-    """Patterns of one length, sorted by hash; ``owners[owner_at[p]:owner_at[p + 1]]`` are the items of pattern p."""
+    """Patterns of one length in order of hash; ``owners[owner_at[p]:owner_at[p + 1]]`` are the items of pattern p."""
 
     length: int
     block: int
     shift: np.ndarray
     hashes: np.ndarray
-    words: np.ndarray
-    texts: list
+    first: np.ndarray  # number of the pattern's first word among the items' words
     owner_at: np.ndarray
     owners: np.ndarray
 
 
+class Tables(NamedTuple):
+    names: list[str]
+    words: W.Words  # of all items
+    groups: list[Group]
+
+
 def _fold(hashes: np.ndarray, length: int) -> np.ndarray:
     """One hash per run of ``length`` values along the last axis."""
     n = hashes.shape[-1] - length + 1
@@ -61,41 +74,49 @@ def _slot(block_hashes: np.ndarray) -> np.ndarray:
     return (block_hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def build(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[list[str], list[Group]]:
+def build(items: list[tuple[str, str]], window: int = WINDOW) -> Tables:
     """Search tables for (item id, text) pairs."""
     names = sorted({name for name, _ in items})
     number = {name: i for i, name in enumerate(names)}
+    owner = np.array([number[name] for name, _ in items], dtype=np.int64)
     found = W.find_words(W.text_bytes(pa.array([text for _, text in items], pa.string())), W.ALNUM)
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
-    for i, (name, _) in enumerate(items):
-        a, b = found.first[i], found.first[i + 1]
-        length = min(window, b - a)
-        for at in range(a, b - length + 1 if length else a):
-            text = _text(found, at, length)
-            entry = by_length.setdefault(int(length), {}).setdefault(text, (found.hashes[at : at + length], set()))
-            entry[1].add(number[name])
-    return names, [_group(length, patterns) for length, patterns in sorted(by_length.items())]
+    counts = np.diff(found.first)
+    lengths = np.minimum(counts, window)
+    groups = []
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        own = np.flatnonzero(lengths == length)
+        places = counts[own] - length + 1
+        at = np.repeat(found.first[own], places) + np.arange(int(places.sum())) - np.repeat(np.cumsum(places) - places, places)
+        groups.append(_group(found, length, at, np.repeat(owner[own], places)))
+    return Tables(names, found, groups)
 
 
 def _text(found: W.Words, at: int, length: int) -> bytes:
     return b" ".join(found.data[s:e].tobytes() for s, e in zip(found.starts[at : at + length], found.ends[at : at + length]))
 
 
-def _group(length: int, patterns: dict) -> Group:
+def _group(found: W.Words, length: int, at: np.ndarray, owner: np.ndarray) -> Group:
+    """Patterns that begin at the words ``at``; equal ones are one pattern with several owners."""
     block = min(2, length)
-    matrix = np.array([h for h, _ in patterns.values()], dtype=np.uint64).reshape(-1, length)
-    whole = _fold(matrix, length)[:, 0]
-    order = np.argsort(whole, kind="stable")
-    texts, owner_sets = list(patterns), [sorted(o) for _, o in patterns.values()]
+    whole = _fold(found.hashes, length)[at]
+    order = np.lexsort((found.hashes[at + length - 1], found.hashes[at], whole))
+    at, owner, whole = at[order], owner[order], whole[order]
+    # three 64-bit hashes tell patterns apart
+    first, last = found.hashes[at], found.hashes[at + length - 1]
+    new = np.r_[True, (whole[1:] != whole[:-1]) | (first[1:] != first[:-1]) | (last[1:] != last[:-1])]
+    pattern = np.cumsum(new) - 1
+    both = np.unique(pattern * (int(owner.max()) + 1) + owner)
+    owners = both % (int(owner.max()) + 1)
+    owner_at = np.searchsorted(both // (int(owner.max()) + 1), np.arange(pattern[-1] + 2))
+    at, whole = at[new], whole[new]
     shift = np.full(1 << TABLE_BITS, length - block + 1, dtype=np.int64)
-    ends = _slot(_fold(matrix, block))
-    for j in range(ends.shape[1]):
-        np.minimum.at(shift, ends[:, j], ends.shape[1] - 1 - j)
-    owners = [owner_sets[i] for i in order]
-    return Group(length, block, shift, whole[order], matrix[order], [texts[i] for i in order], np.cumsum([0, *map(len, owners)]), np.array([x for o in owners for x in o], dtype=np.int64))
+    ends = _slot(_fold(found.hashes, block))
+    for j in range(length - block + 1):
+        np.minimum.at(shift, ends[at + j], length - block - j)
+    return Group(length, block, shift, whole, at, owner_at, owners)
 
 
-def scan(found: W.Words, group: Group) -> tuple[np.ndarray, np.ndarray]:
+def scan(found: W.Words, group: Group, items: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """Every occurrence: (number of its first word, pattern)."""
     length, block, n = group.length, group.block, len(found.hashes)
     if n < length:
@@ -123,22 +144,30 @@ def scan(found: W.Words, group: Group) -> tuple[np.ndarray, np.ndarray]:
     window = found.hashes[starts[:, None] + np.arange(length)]
     whole = _fold(window, length)[:, 0]
     pattern = np.searchsorted(group.hashes, whole)
-    pattern[pattern == len(group.hashes)] = 0
-    same = (group.words[pattern] == window).all(axis=1)
-    starts, pattern = starts[same], pattern[same]
-    sure = np.array([_text(found, s, length) == group.texts[p] for s, p in zip(starts, pattern)], dtype=bool)
-    return starts[sure], pattern[sure]
-
-
-def search(column: pa.Array, names: list[str], groups: list[Group]) -> list[tuple[np.ndarray, set[str]]]:
+    known = pattern < len(group.hashes)
+    known[known] = group.hashes[pattern[known]] == whole[known]
+    sure_starts, sure_patterns = [], []
+    for s, p in zip(starts[known].tolist(), pattern[known].tolist()):
+        text, h = _text(found, s, length), group.hashes[p]
+        while p < len(group.hashes) and group.hashes[p] == h:  # more than one only if hashes collide
+            if _text(items, group.first[p], length) == text:
+                sure_starts.append(s)
+                sure_patterns.append(p)
+                break
+            p += 1
+    return np.array(sure_starts, np.int64), np.array(sure_patterns, np.int64)
+
+
+def search(column: pa.Array, tables: Tables) -> list[tuple[np.ndarray, set[str]]]:
     """Per text: which words are hit, and the items with an occurring window."""
+    names, known, groups = tables
     out = []
     for _, part in W.slices(column):
         found = W.find_words(W.text_bytes(part), W.ALNUM)
         change = np.zeros(len(found.hashes) + 1, dtype=np.int64)
         items: list[set[str]] = [set() for _ in range(len(part))]
         for group in groups:
-            starts, pattern = scan(found, group)
+            starts, pattern = scan(found, group, known)
             np.add.at(change, starts, 1)
             np.add.at(change, starts + group.length, -1)
             for row, p in {*zip(found.row[starts].tolist(), pattern.tolist())}:
@@ -148,34 +177,43 @@ def search(column: pa.Array, names: list[str], groups: list[Group]) -> list[tupl
     return out
 
 
-def search_passes(benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> list:
-    """Broadcast search tables, one per pass; each pass holds at most about ``pass_bytes`` of item text."""
-    spark = benchmark.sparkSession
+def passes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES):
+    """The items in lists of (name, text), of about ``pass_bytes`` of text each, one at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    passes = max(1, math.ceil(size / pass_bytes))
-    out = []
-    for k in range(passes):
-        part = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == k).collect()
-        out.append(spark.sparkContext.broadcast(build([(r["name"], r["text"]) for r in part], window)))
-    return out
+    count = max(1, math.ceil(size / pass_bytes))
+    for k in range(count):
+        part = rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == k).collect()
+        yield k == count - 1, [(r["name"], r["text"]) for r in part]
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str = "_judged", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """All columns of ``docs`` and a struct of n_words, n_hit, n_items, items_sha256, contaminated."""
-    *earlier, last = search_passes(benchmark, window, pass_bytes)
-    state = f"{out}_state"
+    spark, state = docs.sparkSession, f"{out}_state"
     rows = docs.withColumn(state, F.lit(None).cast(STATE))
-    for tables in earlier:
-        rows = rows.withColumn(state, _pass(tables, final=False)("text", state))
-    return rows.withColumn(out, _pass(last, final=True)("text", state)).drop(state)
+    for final, items in passes(benchmark, pass_bytes):
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, window, items))
+        if final:
+            return rows.withColumn(out, _pass(shared, True)("text", state)).drop(state)
+        rows = written(rows.withColumn(state, _pass(shared, False)("text", state)), "decontaminate")
+        shared.destroy()
+
+
+_BUILT: dict[str, Tables] = {}
+
+
+def _tables(key: str, window: int, items: list[tuple[str, str]]) -> Tables:
+    """The search tables of a pass, built once in a worker process; those of another pass go."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = build(items, window)
+    return _BUILT[key]
 
 
-def _pass(tables, final: bool):
+def _pass(shared, final: bool):
     @F.arrow_udf(RESULT if final else STATE)
     def run(texts: pa.Array, states: pa.Array) -> pa.Array:
-        names, groups = tables.value
-        found = search(texts, names, groups)
+        found = search(texts, _tables(*shared.value))
         for i, before in enumerate(states):
             if before.is_valid and (held := before.as_py()):
                 hit = np.unpackbits(np.frombuffer(held["hit"], np.uint8), count=len(found[i][0])).astype(bool)
