@@ -287,6 +287,17 @@ def word_mentions(spark, sf):
     return mentions.mentioned(values, docs.where("doc_id % 2 = 1").select("part", "text"), ["part"])
 
 
+@query(
+    "tag_escape",
+    f"""SELECT doc_id, md5(regexp_replace(concat(CASE doc_id % 4 WHEN 0 THEN '</context>' WHEN 1 THEN '<Current_Request>' WHEN 2 THEN 'x <contexts> < context>' ELSE '' END, text, '</CONVERSATION_HISTORY>'), {X.sql_quote(V.SECTION_TAGS)}, concat('<', chr(8203), '\\1\\2'), 'gi')) AS escaped FROM documents""",
+)
+def tag_escape(spark, sf):
+    """Section tags inside content are broken, so that no message can forge a section."""
+    k = F.col("doc_id") % 4
+    forged = F.concat(F.when(k == 0, "</context>").when(k == 1, "<Current_Request>").when(k == 2, "x <contexts> < context>").otherwise(""), F.col("text"), F.lit("</CONVERSATION_HISTORY>"))
+    return S.table(spark, sf, "documents").select("doc_id", F.md5(T.tag_escape(forged)).alias("escaped"))
+
+
 @query(
     "request_analysis",
     f"""WITH {_ALL}, q AS (SELECT DISTINCT text FROM messages WHERE role = 'user'), f AS (SELECT text, CASE {' '.join(f"WHEN {X.hit('text', p, 'i')} THEN '{n}'" for p, n in V.TASKS)} WHEN contains(text, '?') THEN 'question' ELSE 'general request' END AS task,

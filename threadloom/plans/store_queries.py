@@ -256,3 +256,13 @@ def quality_violations(spark, sf):
     return runs.agg(F.lit("cost of an unpriced model").alias("rule"), F.count_if(bad).alias("violations"))
 
 
+@query("read_fixture", f"WITH {Q.CONVERSATIONS} SELECT conv_id, CAST(pos AS BIGINT) AS pos, concat('m', turn) AS message_id, role, text FROM messages")
+def read_fixture(spark, sf):
+    """Conversations written as one JSON array a file and read back as messages."""
+    messages = S.conversation_messages(spark, sf)
+    item = F.struct("pos", F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("id"), "role", F.col("text").alias("content")).alias("m"))
+    files = messages.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(item)).getField("m")).alias("value"))
+    folder = f"{ordered.use_checkpoint_folder(spark)}/fixture-{uuid.uuid4().hex}"
+    files.repartition("conv_id").write.partitionBy("conv_id").option("maxRecordsPerFile", 1).text(folder)
+    rows = D.read_fixture(spark, f"{folder}/*/*.txt", F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("bigint"))
+    return rows.select("conv_id", "pos", "message_id", "role", "text")

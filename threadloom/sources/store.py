@@ -237,10 +237,14 @@ def touched_conversations(messages: DataFrame, at: Column) -> DataFrame:
 
 
 # IO15 ------------------------------------------------------------------------
-def read_fixture(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {id, role, content} as messages of one conversation per file, in array order."""
+def read_fixture(spark: SparkSession, path: str, conv_id: Column | None = None) -> DataFrame:
+    """A JSON array of {id, role, content} as messages of one conversation per file, in array order.
+
+    ``conv_id`` is an expression over ``file``, the file's path; a hash of it by default.
+    """
+    conv_id = F.xxhash64("file") if conv_id is None else conv_id
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = whole.select("file", F.posexplode(F.from_json("value", f"array<struct<{MESSAGE_JSON.replace(' string', ':string')}>>")).alias("pos", "m"))
-    return rows.select(F.xxhash64("file").alias("conv_id"), F.col("pos").cast("bigint").alias("turn"), F.col("pos").cast("bigint").alias("pos"), F.col("m.id").alias("message_id"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
+    return rows.select(conv_id.alias("conv_id"), F.col("pos").cast("bigint").alias("turn"), F.col("pos").cast("bigint").alias("pos"), F.col("m.id").alias("message_id"), F.col("m.role").alias("role"), F.col("m.content").alias("text"))
 
 

@@ -176,8 +176,9 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 def numbered_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """:func:`attempts` with the 0-based ``idx`` stored in the ledger."""
-    df = attempts(spark, folder).withColumns({"_line": F.col("at.l_linenumber"), "_part": F.col("at.l_partkey")})
-    return ordered.positions(df, ["run_id"], ["_line", "_part"], ["at"], out="idx").drop("_line", "_part")
+    # line numbers of a run are dense, so a span of them is a bucket of bounded size
+    df = attempts(spark, folder).withColumn("_span", ordered.span_of(F.col("at.l_linenumber")))
+    return ordered.positions(df, ["run_id"], ["_span"], ["at"], out="idx").drop("_span")
 
 
 def utility_calls(spark: SparkSession, folder: str) -> DataFrame:
