@@ -9,13 +9,14 @@ logarithm of their length, and stars, groups of copies around one node, two.
 
 Skew: a node with very many edges is one row per task after the partial minimum,
 and joins bring it one row, so Spark may split its edges over tasks. Every round
-is written to the shared folder; only counts come to the driver.
+is written to the shared folder, and removed after the next; only counts come to
+the driver.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import written
+from threadloom.llm.shared import discard, written
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -34,15 +35,19 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
         least = both.groupBy("a").agg(F.min("other").alias("other"))
         tie = written(least.select(F.col("a").alias("node"), F.least(drawn("a"), "other").getField("node").alias("to")), f"{name}-ties")
         ties.append(tie)
+        before = edges
         for side in ("a", "b"):
             edges = edges.join(tie.select(F.col("node").alias(side), F.col("to").alias(f"_{side}")), side)
         edges = written(_pairs(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b"))), name)
+        discard(before)
     if not ties:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # what the nodes of each round end up tied to, from the last round on
     ends = ties[-1]
     for tie in reversed(ties[:-1]):
         later = ends.select(F.col("node").alias("to"), F.col("to").alias("_end"))
+        former = ends
         ends = written(tie.join(later, "to", "left").select("node", F.coalesce("_end", "to").alias("to")), f"{name}-ends")
+        discard(former, tie)
     first = written(ends.groupBy("to").agg(F.min("node").alias("_low")), f"{name}-lowest")
     return ends.join(first, "to").select("node", F.least("_low", "to").alias("component"))

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import words as W
 from threadloom.llm.components import connected
-from threadloom.llm.shared import written
+from threadloom.llm.shared import discard, written
 
 FREQUENT = 1 << 18
 COUNT_BLOCK = 1 << 20
@@ -267,8 +267,8 @@ def _differ_little(num: int, den: int):
     return bits <= n + m - 2 * F.ceil((n + m) * num / F.lit(num + den) - 1e-9)
 
 
-def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link.
+def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link, and the tables they are read from.
 
     Groups whose sets are all in one component are dropped. In any other group sets meet in bands of
     sizes, and only if their signatures differ little enough; the sets of a band are dealt into cells,
@@ -277,7 +277,7 @@ def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int,
     facts = signatures.join(near.withColumnRenamed("node", "name"), "name", "left")
     facts = facts.select("name", *SIGNATURE, F.xxhash64(F.coalesce("component", "name")).alias("component"))
     rows = met.drop("at").join(facts, "name").withColumn("_band", _band(F.col("n"), num, den))
-    rows = written(rows, "ngram-open")
+    opened = rows = written(rows, "ngram-open")
     tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     tokens = written(tokens.where(F.col("_low") != F.col("_high")).select("token"), "ngram-open-tokens")
     rows = rows.join(tokens, "token", "left_semi")
@@ -297,7 +297,7 @@ def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int,
     shared = left.alias("x").join(right.alias("y"), ["token", "_band", "_i"]).where(_may_link(num, den) & apart & once & _differ_little(num, den))
     a, b = F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")
     shared = shared.groupBy(a, b).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
-    return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b")
+    return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b"), [opened, tokens, parts]
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[bool]:
@@ -457,8 +457,11 @@ def class_links(classes: DataFrame, sets: DataFrame, num: int, den: int, counted
     return rows.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j").mapInArrow(run, schema)
 
 
-def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, hash, n, name) of all documents; name, first_id, n, copies, component and whether it is alone of every set; members of those that are not."""
+def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int, keep_sets: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (doc_id, hash, n, name) of all documents; name, first_id, n, copies, component and whether it is alone of every set; with ``keep_sets`` members of those that are not.
+
+    Tables in the shared folder go as soon as what is read from them is written.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     both = written(sets_and_counts(docs, size), "ngram-sets")
@@ -473,15 +476,18 @@ def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int) -> tuple[Da
     some = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
 
     pairs = written(nearest_leaders(met, num, den), "ngram-pairs")
-    edges, sets = _verified(docs, pairs, some, size, num, den, frequent)
+    edges, sets = _verified(docs, pairs, some, size, num, den, frequent, keep_sets)
     near = written(connected(edges, "ngram-near"), "ngram-near")
-    rest = written(open_pairs(met, near, signatures, num, den).join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-    more, more_sets = _verified(docs, rest, some, size, num, den, frequent)
+    candidates, used = open_pairs(met, near, signatures, num, den)
+    rest = written(candidates.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
+    discard(met, pairs, edges, *used)
+    more, more_sets = _verified(docs, rest, some, size, num, den, frequent, keep_sets)
 
     classes = connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "ngram-classes")
     named = some.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("alone", F.col("component").isNull())
     named = written(named.withColumn("component", F.coalesce("component", "name")), "ngram-named")
-    return rows, named, sets.unionByName(more_sets)
+    discard(near, rest, more)
+    return rows, named, sets.unionByName(more_sets) if keep_sets else None
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted: bool = False) -> DataFrame:
@@ -489,7 +495,7 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted:
 
     With ``counted`` also n_links: the other rows, copies included, that the row links with.
     """
-    rows, named, sets = _classes_of_sets(docs, size, num, den)
+    rows, named, sets = _classes_of_sets(docs, size, num, den, counted)
     first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     facts = named.join(first, "component").select("name", "component", "component_id", "copies")
     if counted:
@@ -505,17 +511,19 @@ def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted:
 
 def linked_sets(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """All links: (a, b) for different sets that link, and (doc_id, name) for the documents of each set; documents of one set link too."""
-    rows, named, sets = _classes_of_sets(docs, size, num, den)
+    rows, named, sets = _classes_of_sets(docs, size, num, den, True)
     links = class_links(named.where("not alone").drop("first_id", "alone"), sets, num, den, False)
     return written(links, "ngram-all-links"), rows.where("n > 0").select("doc_id", "name")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int, frequent) -> tuple[DataFrame, DataFrame]:
-    """The pairs that link, and the sets of all pairs."""
+def _verified(docs: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int, frequent, keep_sets: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs that link, and, if they are kept, the sets of all pairs."""
     names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
     wanted = written(names.join(some, "name").select(F.col("first_id").alias("doc_id")), "ngram-wanted")
     sets = written(ordered_sets(docs, wanted, size, frequent), "ngram-members")
-    return written(linked(pairs, sets, num, den), "ngram-links"), sets
+    found = written(linked(pairs, sets, num, den), "ngram-links")
+    discard(wanted, *([] if keep_sets else [sets]))
+    return found, sets if keep_sets else None
 
 
 def classes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:

@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+import pyarrow.fs
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,4 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing still to be computed reads."""
+    for frame in frames:
+        system, path = pyarrow.fs.FileSystem.from_uri(frame.written_path)
+        system.delete_dir(path)
