@@ -393,11 +393,11 @@ _BY = {"source_totals": "count_source", "utility_by_kind": "kind"}
 def _long(part: str) -> str:
     item = _BY.get(part)
     rows = f"SELECT {item or chr(39) * 2} AS item, COLUMNS(lambda c: c <> '{item or ''}')::DOUBLE FROM ({CHECKS[part]})"
-    return f"SELECT '{part}' AS part, item, measure, round(value, 5) AS value FROM (UNPIVOT ({rows}) ON COLUMNS(* EXCLUDE item) INTO NAME measure VALUE value)"
+    return f"SELECT '{part}' AS part, item, measure, value FROM (UNPIVOT ({rows}) ON COLUMNS(* EXCLUDE item) INTO NAME measure VALUE value)"
 
 
 @query("dashboard_measures", " UNION ALL ".join(_long(part) for part in _PARTS))
 def dashboard_measures(spark, sf):
     """Every number of the dashboard in rows: runs, estimator, usage, costs, economics, calls by kind, latency, benchmark, headline."""
     parts = {part: QUERIES[part](spark, sf) for part in _PARTS}
-    return L.measures(parts, _BY).withColumn("value", F.round("value", 5) + 0.0)
+    return L.measures(parts, _BY).withColumn("value", F.col("value") + 0.0)
