@@ -14,6 +14,18 @@ def test_annotation_stream_equals_batch(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_tables_in_part_files_are_streamed_whole(spark, tmp_path):
+    rows = [(c, t, "user", f"We use MySQL {c}.") for c in range(3) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = Q.QUERIES["annotate_stream"](spark, str(tmp_path))
+    want = Q.QUERIES["annotate_conversations"](spark, str(tmp_path)).select(*got.columns)
+    assert got.count() == 12
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.read.parquet(f"{SMALL}/orders.parquet").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    whole, parts = (Q.QUERIES["ledger_stream"](spark, folder).collect() for folder in (SMALL, str(tmp_path)))
+    assert sorted(map(str, parts)) == sorted(map(str, whole))
+
+
 def _write(df, folder):
     df.select("conv_id", "turn", "role", "text").write.mode("append").parquet(folder)
 
