@@ -95,6 +95,16 @@ def test_mentions_equal_a_plain_search(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_values_that_are_words_are_not_compared_with_texts(spark, monkeypatch):
+    compared, inside = [], M._inside
+    monkeypatch.setattr(M, "_inside", lambda sought, texts, keys: compared.extend(r["_value"] for r in sought.collect()) or inside(sought, texts, keys))
+    values = spark.createDataFrame([(1, f"stem{i}") for i in range(30)] + [(1, "m29 st"), (1, "tem3"), (1, "gone")], "part int, value string")
+    texts = spark.createDataFrame([(1, f"Stem{i} stem{i + 1}") for i in range(29)], "part int, text string")
+    got = sorted(r["value"] for r in M.mentioned(values, texts, ["part"]).collect())
+    assert got == sorted([*(f"stem{i}" for i in range(30)), "tem3"])
+    assert sorted(compared) == ["gone", "m29 st", "tem3"]
+
+
 def test_upsert_breaks_ties_the_same_way_in_any_order(spark):
     schema = "conv_id int, turn int, value string, updated_at int"
     a, b = spark.createDataFrame([(1, 1, "a", 5)], schema), spark.createDataFrame([(1, 1, "b", 5)], schema)
