@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import Window
@@ -66,3 +67,15 @@ def test_greedy_budget_equals_a_loop(spark, short_spans):
     df = spark.createDataFrame(rows, "k bigint, rank double, i bigint, cost bigint, budget bigint").withColumn("_span", ordered.span_of(F.col("i")))
     got = greedy.within_budget(df, ["k"], ["rank", "_span"], ["rank", "_span", "i"], "i", "cost", "budget", F.col("i"))
     assert {tuple(r) for r in got.select("k", "i").collect()} == want
+
+
+def test_intermediate_tables_are_columns_in_the_shared_folder(spark):
+    rows = [(i, [("a", float(i))] if i % 3 else None, "the same long text " * 20) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k bigint, v array<struct<n:string,x:double>>, text string")
+    kept = ordered.cut_lineage(df)
+    files = kept.inputFiles()
+    assert files and all(f.endswith(".parquet") and ordered.use_checkpoint_folder(spark).removeprefix("file:") in f for f in files)
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) < 100_000
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert ordered.cut_lineage(df.where("k < 0")).count() == 0

@@ -143,7 +143,7 @@ def judged_rounds(spark, sf):
     read = W.judged(W.parse_replies(S.judged_attempts(spark, sf)))
     read = read.withColumn("category", W.failure_category(F.col("passed"), k % 10 == 9, F.col("category")))
     read = read.withColumns({"blocked": k % 7 == 2, "same_context": k % 13 == 0, "recovery_tokens": F.col("context_tokens"), "full_tokens": F.col("original_tokens")})
-    read = ordered.cut_lineage(read)
+    read = ordered.cut_lineage(read.drop("raw", "error", "criteria"))
     keys = ["run_id", "attempt"]
     omitted = read.where(k % 2 == 0).select(*keys, F.concat(F.lit("m"), (k % 50).cast("string")).alias("id"))
     shown = read.select(*keys, F.posexplode(F.array(F.when(k % 6 == 1, "The payment gateway is slow.").otherwise("Traffic is steady."), F.when(k % 12 == 1, "Its timeout value is 30.").otherwise("Nothing else."))).alias("idx", "text"))
