@@ -554,6 +554,21 @@ def test_word_coder_equals_the_library():
     for text, ids in zip(texts, got):
         assert ids.tolist() == library_ids(text), text
 
+def test_words_are_put_together_for_many_texts_at_once(monkeypatch):
+    coder = repair.WordCoder(queries.WORD_TOKENIZER)
+    texts = ["", " ", "the same words", "Été, größe! ÿ?", "\n", "ﬁn ﬁ? ŉ!", "a b\x85c\xad!", "x " * 40, "İ! don't <s> [UNK]", ""] * 3
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    calls = []
+    gather = repair._stretches
+    monkeypatch.setattr(repair, "_stretches", lambda *args: calls.append(1) or gather(*args))
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    assert len(calls) == 2  # the new words, and all texts
+    monkeypatch.setattr(repair, "GATHERED", 20)
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    coder.forget()
+    assert [x.tolist() for x in coder.encode(texts[::-1])] == want[::-1]
+
+
 
 def test_repair_files(spark, tmp_path):
     texts = [*ODD, *some_texts(13), "J̌ ǰ Été, ΣΣ ok.. a. b it's <|endoftext|> #", "The the THE the, the.", *SPECIAL]

@@ -52,6 +52,8 @@ MIN_COUNT = 8
 SLOT_BITS = 20
 #: Words whose ids a task keeps; beyond them it starts anew.
 KEPT = 1_000_000
+#: Words whose ids are put together at once.
+GATHERED = 1 << 18
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all of ASCII but the apostrophe, which begins contractions
 BLOCK_TYPE = "range int, block int, start_in_range bigint, n_ids bigint, first_nonterminal int, doc_ids array<{id}>, doc_starts binary, rules binary, lengths binary, low binary, high binary"
 
@@ -92,6 +94,12 @@ class _Grown:
         self.size = end
 
 
+def _stretches(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of all stretches, one after the other."""
+    ahead = np.cumsum(size) - size
+    return values[np.repeat(begin - ahead, size) + np.arange(int(size.sum()))]
+
+
 def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -117,7 +125,9 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._as_bytes = lambda x: level.pre_tokenize_str(x)[0][0]
+        # the model's spelling of the bytes of every character of Latin-1 that lowered text can hold
+        self._spelling = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256)}
+        self._as_bytes = lambda x: x.translate(self._spelling)
         probe = ["token", "Été", "größe", "x"]
         whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
         self.direct = whole == [[t.id for t in self.tokenizer.model.tokenize(self._as_bytes(x.lower()))] for x in probe]
@@ -125,16 +135,25 @@ class WordCoder:
 
     def forget(self) -> None:
         self.words, self.pieces = _Numbers(), _Numbers()
-        self.stem, self.tail = _Grown(np.int32), _Grown(np.int32)  # pieces of each word, the second -1 where there is one
-        self.ids, self.ends = _Grown(np.int32), _Grown(np.int64)  # ids of all pieces, and where those of each end
+        self.piece_begin, self.piece_size, self.piece_ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32)
+        self.begin, self.size, self.ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32)  # of each word
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > KEPT:
             self.forget()
         number = self.words.__getitem__
-        found = [np.fromiter(map(number, self._plain(t).replace("\n", " ").split(" ")), np.int64) for t in texts]
+        found = []
+        for text in texts:
+            words = self._plain(text).replace("\n", " ").split(" ")
+            found.append(np.fromiter(map(number, words), np.int32, len(words)))
         self._learn()
-        return [self._ids_of(f) for f in found]
+        out, first, held = [], 0, 0
+        for i, f in enumerate(found):
+            held += len(f)
+            if held >= GATHERED or i == len(found) - 1:
+                out += self._ids_of(found[first : i + 1])
+                first, held = i + 1, 0
+        return out
 
     def _plain(self, text: str) -> str:
         try:
@@ -148,45 +167,55 @@ class WordCoder:
         words, self.words.fresh = self.words.fresh, []
         if not words:
             return
-        stems, tails = [], []
+        known = []  # pieces of each word, the second -1 where there is none
         number = self.pieces.__getitem__
         for word in words:
             stem = word.rstrip(PUNCTUATION)
             # a letter may become a letter and a mark, which goes with the punctuation
-            if len(stem) < len(word) and stem.isalpha() and stem.lower()[-1].isalpha():
-                stems.append(number(stem))
-                tails.append(number(word[len(stem) :]))
+            if len(stem) < len(word) and stem.isalpha() and (stem.isascii() or stem.lower()[-1].isalpha()):
+                known += number(stem), number(word[len(stem) :])
             else:
-                stems.append(number(word))
-                tails.append(-1)
-        self.stem.extend(np.array(stems))
-        self.tail.extend(np.array(tails))
+                known += number(word), -1
+        self._learn_pieces()
+        pieces = np.array(known, np.int64)
+        begin, size = self.piece_begin.data[pieces], np.where(pieces < 0, 0, self.piece_size.data[pieces])
+        both = size.reshape(-1, 2).sum(axis=1)
+        self.begin.extend(self.ids.size + np.cumsum(both) - both)
+        self.size.extend(both)
+        self.ids.extend(_stretches(self.piece_ids.data, begin, size))
+
+    def _learn_pieces(self) -> None:
         pieces, self.pieces.fresh = self.pieces.fresh, []
         # a piece of letters is one word to the library's model; all others go through its whole pipeline
-        sizes, ids = np.zeros(len(pieces), np.int64), [[]] * len(pieces)
-        rest, tokenize = [], self.tokenizer.model.tokenize
+        ids, sizes, places, rest = [], [], [], []
+        tokenize, as_bytes = self.tokenizer.model.tokenize, self._as_bytes
         for i, x in enumerate(pieces):
-            if self.direct and x.isalpha() and (x.isascii() or _is_latin(x)):
-                ids[i] = [t.id for t in tokenize(x.lower() if x.isascii() else self._as_bytes(x.lower()))]
+            if self.direct and x.isalpha() and ((ascii := x.isascii()) or _is_latin(x)):
+                found = [t.id for t in tokenize(x.lower() if ascii else as_bytes(x.lower()))]
+                ids += found
+                sizes.append(len(found))
+                places.append(i)
             else:
                 rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            ids[i] = e.ids
-        sizes[:] = list(map(len, ids))
-        before = self.ends.data[self.ends.size - 1] if self.ends.size else 0
-        self.ends.extend(before + np.cumsum(sizes))
-        self.ids.extend(np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum())))
-
-    def _ids_of(self, words: np.ndarray) -> np.ndarray:
-        both = np.empty((len(words), 2), np.int32)
-        both[:, 0], both[:, 1] = self.stem.data[words], self.tail.data[words]
-        pieces = both.ravel()
-        pieces = pieces[pieces >= 0]
-        end = self.ends.data[pieces]
-        begin = np.where(pieces > 0, self.ends.data[pieces - 1], 0)
-        sizes = end - begin
-        ahead = np.cumsum(sizes) - sizes
-        return self.ids.data[np.repeat(begin - ahead, sizes) + np.arange(int(sizes.sum()))]
+        for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False):
+            found = e.ids
+            ids += found
+            sizes.append(len(found))
+        size = np.array(sizes, np.int64)
+        place = np.array(places + rest, np.int64)
+        begin, in_order = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        begin[place], in_order[place] = self.piece_ids.size + np.cumsum(size) - size, size
+        self.piece_begin.extend(begin)
+        self.piece_size.extend(in_order)
+        self.piece_ids.extend(np.array(ids, np.int32))
+
+    def _ids_of(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """Ids of texts, given the numbers of their words."""
+        words = np.concatenate(found)
+        size = self.size.data[words]
+        ids = _stretches(self.ids.data, self.begin.data[words], size)
+        ends = np.cumsum(size)[np.cumsum([len(f) for f in found]) - 1]  # a text has at least one word, if an empty one
+        return np.split(ids, ends[:-1])
 
 
 @functools.lru_cache(maxsize=2)
