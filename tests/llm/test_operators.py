@@ -218,6 +218,27 @@ def test_ngram_join(spark, monkeypatch, size, num, cell, seed):
     assert got == brute_classes(texts, ids, size, num, 100)
 
 
+def test_ngram_join_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3])):
+            copy[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    compared, verified = [], ngram_join._verified
+
+    def counting(docs, pairs, *more):
+        compared.append(pairs.count())
+        return verified(docs, pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(frame(spark, texts), 3, 90, 100).collect()}
+    assert got == brute_classes(texts, list(range(90)), 3, 90, 100)
+    assert compared[-1] <= 90, compared  # what is left after the drawn leaders grows with the sets, not with their pairs
+
+
 def brute_links(texts, size, num, den):
     sets = []
     for t in texts:

@@ -12,12 +12,15 @@ remains of either set cannot make up the overlap still missing.
 Links are wanted as classes, so pairs that are connected already need no
 comparison. First every set is compared with the one set it meets under most of
 its prefix n-grams among the first ``LEADERS`` of each, which settles groups of
-copies of any size in linear work; then all pairs that are not connected yet and
+copies of any size in linear work. Sets that are still apart are
+compared with the ``NEAREST``, by signature, of ``DRAWN`` leaders drawn under each n-gram, as
+most links of a large group of near copies tell nothing new; again, up to ``DRAWS`` times,
+while that finds ``DRAW_LINKS``. Then all pairs that are not connected yet and
 share as many prefix n-grams as their sizes demand are compared. They meet in
 bands of sizes under each n-gram, and signatures of ``SIGNATURE_BITS`` parities
-drop pairs that differ in too many members. The second step leaves no class out.
+drop pairs that differ in too many members. This last step leaves no class out.
 
-Links as such, and their number for each document, come from a third step: every
+Links as such, and their number for each document, come from a further step: every
 link lies inside a class, so all pairs of different sets of a class are compared,
 by counting the n-grams that two blocks of at most about ``LINK_SETS`` sets, or
 ``LINK_BYTES`` of members, have in common. Copies count by their number.
@@ -29,8 +32,8 @@ sets of, if they are at most ``BROADCAST_ROWS``.
 
 Skew: equal sets are one set from the start, and a task emits a set once; tries
 of a set that many others meet are dealt over several tasks; buckets of an
-n-gram that are still open in the second step are split into cells, and so are
-the blocks of a large class in the third. Steps are cut by tables in the shared folder.
+n-gram that are still open in the last comparison are split into cells, and so are
+the blocks of a large class after it. Steps are cut by tables in the shared folder.
 
 Defined cases: null and empty texts, and texts without words, have no n-grams,
 link with nothing and are their own class; a text of fewer words than n is one
@@ -40,6 +43,7 @@ empty table gives no rows.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +57,8 @@ from threadloom.llm.shared import discard, written
 FREQUENT = 1 << 18
 COUNT_BLOCK = 1 << 20
 LEADERS = 2
+DRAWS, DRAWN, NEAREST = 3, 16, 4
+DRAW_LINKS = 1000
 TRIE_SETS = 512
 BROADCAST_ROWS = 1_000_000
 CELL_ROWS = 2048
@@ -245,7 +251,7 @@ def _shared_needed(n, m, num: int, den: int):
 def nearest_leaders(met: DataFrame, num: int, den: int) -> DataFrame:
     """For each set the leader (one of the first sets under an n-gram) it meets under most n-grams: pairs (a, b).
 
-    At most one row per set. Those unlikely to link are left to the second step.
+    At most one row per set. Those unlikely to link are left to the later steps.
     """
     x, y = met.where(F.col("at") < LEADERS).alias("x"), met.alias("y")
     shared = x.join(y, "token").where(_may_link(num, den) & (F.col("x.at") < F.col("y.at")))
@@ -260,26 +266,56 @@ def _band(n, num: int, den: int):
     return F.floor(F.log(n.cast("double")) / (math.log(den / num) * (1 + 1e-6))).cast("int") if num < den else n
 
 
-def _differ_little(num: int, den: int):
-    """Condition on x and y: their signatures do not differ in more bits than sets that are alike enough can differ in members."""
+def _slack(num: int, den: int):
+    """How many more bits the signatures of x and y may differ in; below zero for sets that cannot be alike enough."""
     n, m = F.col("x.n"), F.col("y.n")
     bits = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE[1:]), F.bit_count(F.col(f"x.{SIGNATURE[0]}").bitwiseXOR(F.col(f"y.{SIGNATURE[0]}"))))
-    return bits <= n + m - 2 * F.ceil((n + m) * num / F.lit(num + den) - 1e-9)
+    return n + m - 2 * F.ceil((n + m) * num / F.lit(num + den) - 1e-9) - bits
 
 
-def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+def _in_components(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows of sets with ``component``, a 64-bit name of the component that they are in so far."""
+    named = near.select(F.col("node").alias("name"), F.col("component").alias("_component"))
+    return rows.join(named, "name", "left").withColumn("component", F.xxhash64(F.coalesce("_component", "name"))).drop("_component")
+
+
+def _open_tokens(rows: DataFrame) -> DataFrame:
+    """The n-grams whose sets are not all in one component."""
+    tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return tokens.where(F.col("_low") != F.col("_high")).select("token")
+
+
+def open_entries(met: DataFrame, near: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The entries, with signatures, under n-grams whose sets are not all in one component."""
+    tokens = _open_tokens(_in_components(met.select("token", "name"), near))
+    return written(met.drop("at").join(tokens, "token", "left_semi").join(signatures, "name"), "ngram-open")
+
+
+def closer_leaders(entries: DataFrame, near: DataFrame, draw: int, num: int, den: int) -> DataFrame:
+    """For each set the ``NEAREST`` drawn leaders, in other components, whose signatures leave most room: pairs (a, b).
+
+    Under each n-gram ``DRAWN`` sets lead, the first in orders of all sets that are drawn anew for every ``draw``.
+    A set meets at most that many under each n-gram of its prefix.
+    """
+    rows = _in_components(entries, near)
+    fields = ["name", "n", "pos", "before", "component", *SIGNATURE]
+    first = [F.min(F.struct(F.xxhash64(F.lit(DRAWN * draw + k), "name").alias("_order"), *fields)).alias(f"_{k}") for k in range(DRAWN)]
+    leaders = rows.groupBy("token").agg(*first).select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"_{k}.{c}").alias(c) for c in fields]) for k in range(DRAWN)]))).alias("x")).select("token", "x.*")
+    shared = leaders.alias("x").join(rows.alias("y"), "token").where(_may_link(num, den) & (F.col("x.component") != F.col("y.component")) & (_slack(num, den) >= 0))
+    best = shared.groupBy(F.col("y.name").alias("name")).agg(F.sort_array(F.collect_set(F.struct(_slack(num, den).alias("slack"), F.col("x.name").alias("leader"))), asc=False).alias("_best"))
+    best = best.select("name", F.explode(F.slice("_best", 1, NEAREST)).alias("x")).select("name", "x.leader")
+    return best.select(F.least("name", "leader").alias("a"), F.greatest("name", "leader").alias("b")).distinct()
+
+
+def open_pairs(entries: DataFrame, near: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
     """All pairs (a, b) of sets in different components whose prefixes share enough n-grams to link, and the tables they are read from.
 
     Groups whose sets are all in one component are dropped. In any other group sets meet in bands of
     sizes, and only if their signatures differ little enough; the sets of a band are dealt into cells,
     so that many in one group spread over tasks. Components are compared by 64-bit names.
     """
-    facts = signatures.join(near.withColumnRenamed("node", "name"), "name", "left")
-    facts = facts.select("name", *SIGNATURE, F.xxhash64(F.coalesce("component", "name")).alias("component"))
-    rows = met.drop("at").join(facts, "name").withColumn("_band", _band(F.col("n"), num, den))
-    opened = rows = written(rows, "ngram-open")
-    tokens = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    tokens = written(tokens.where(F.col("_low") != F.col("_high")).select("token"), "ngram-open-tokens")
+    rows = _in_components(entries, near).withColumn("_band", _band(F.col("n"), num, den))
+    tokens = written(_open_tokens(rows), "ngram-open-tokens")
     rows = rows.join(tokens, "token", "left_semi")
     counts = rows.groupBy("token", "_band").agg(F.count("*").alias("_count"))
     # a narrow row for each group and band; few bands need more than one cell
@@ -294,10 +330,10 @@ def open_pairs(met: DataFrame, near: DataFrame, signatures: DataFrame, num: int,
     right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*fields, F.col("_band").alias("_own"), F.col("_to").alias("_band"), "_i")
     apart = F.col("x.component") != F.col("y.component")
     once = (F.col("y._own") < F.col("x._band")) | (F.col("x.name") < F.col("y.name"))
-    shared = left.alias("x").join(right.alias("y"), ["token", "_band", "_i"]).where(_may_link(num, den) & apart & once & _differ_little(num, den))
+    shared = left.alias("x").join(right.alias("y"), ["token", "_band", "_i"]).where(_may_link(num, den) & apart & once & (_slack(num, den) >= 0))
     a, b = F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")
     shared = shared.groupBy(a, b).agg(F.count("*").alias("times"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
-    return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b"), [opened, tokens, parts]
+    return shared.where(F.col("times") >= _shared_needed(F.col("n"), F.col("m"), num, den)).select("a", "b"), [tokens, parts]
 
 
 def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[bool]:
@@ -478,16 +514,36 @@ def _classes_of_sets(docs: DataFrame, size: int, num: int, den: int, keep_sets:
     pairs = written(nearest_leaders(met, num, den), "ngram-pairs")
     edges, sets = _verified(docs, pairs, some, size, num, den, frequent, keep_sets)
     near = written(connected(edges, "ngram-near"), "ngram-near")
-    candidates, used = open_pairs(met, near, signatures, num, den)
-    rest = written(candidates.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
-    discard(met, pairs, edges, *used)
-    more, more_sets = _verified(docs, rest, some, size, num, den, frequent, keep_sets)
+    entries = open_entries(met, near, signatures)
+    discard(met, edges)
+    tried, kept = [pairs], [sets]
+    for draw in range(DRAWS):
+        closer = closer_leaders(entries, near, draw, num, den)
+        for former in tried:
+            closer = closer.join(former, ["a", "b"], "left_anti")
+        tried.append(written(closer, "ngram-closer"))
+        edges, sets = _verified(docs, tried[-1], some, size, num, den, frequent, keep_sets)
+        kept.append(sets)
+        found, former = edges.count(), near
+        if found:
+            near = written(connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(edges), "ngram-near"), "ngram-near")
+            discard(former)
+        discard(edges)
+        if found < DRAW_LINKS:
+            break
+    candidates, used = open_pairs(entries, near, num, den)
+    for former in tried:
+        candidates = candidates.join(former, ["a", "b"], "left_anti")
+    rest = written(candidates, "ngram-rest")
+    discard(entries, *tried, *used)
+    more, sets = _verified(docs, rest, some, size, num, den, frequent, keep_sets)
+    kept.append(sets)
 
     classes = connected(near.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more), "ngram-classes")
     named = some.join(classes.withColumnRenamed("node", "name"), "name", "left").withColumn("alone", F.col("component").isNull())
     named = written(named.withColumn("component", F.coalesce("component", "name")), "ngram-named")
     discard(near, rest, more)
-    return rows, named, sets.unionByName(more_sets) if keep_sets else None
+    return rows, named, reduce(DataFrame.unionByName, kept) if keep_sets else None
 
 
 def join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, counted: bool = False) -> DataFrame:
