@@ -4,6 +4,7 @@ import pytest
 from small_tables import SMALL
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as T
 from threadloom.operators import annotate as A
 from threadloom.operators import ordered
 from threadloom.operators import recovery as Y
@@ -177,3 +178,13 @@ def test_prompt_is_refused_above_the_limit(spark, monkeypatch):
     monkeypatch.setattr(G.V, "MAX_REQUEST_TOKENS", 5)
     refused = G.render_prompts(entries, c.requests).first()
     assert refused["too_large"] and refused["prompt"] is None
+
+
+def test_messages_are_numbered_once_and_signatures_are_short(spark):
+    from threadloom.plans.routing_queries import _service
+
+    messages, _, features, _ = _service(spark, SMALL)
+    # read from the written table: no window numbers them again for each step that needs texts
+    assert "Window" not in messages._jdf.queryExecution().executedPlan().toString()
+    assert {r["n"] for r in features.select(F.octet_length("sig").alias("n")).distinct().collect()} == {16}
+    assert features.select("sig").distinct().count() == messages.select("role", T.signature(F.col("text"))).distinct().count()
