@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import fixed_values as V
 from threadloom.functions import text as T
+from threadloom.functions.regex import java
 
 
 def one(spark, text, expr):
@@ -105,3 +107,17 @@ def test_forged_section_tags_are_broken(spark):
 def test_boundary_before_punctuation_is_tested_in_full(spark):
     assert one(spark, "open ./x/y.py or ../lib/z", T.exact_tokens) == ["x/y.py", "lib/z"]
     assert one(spark, "say .x=1", lambda c: T.extract_all(c, T.V.KEY_VALUE)) == ["x=1"]
+
+
+def test_rules_tested_in_parts_equal_their_patterns(spark):
+    texts = ["see `x`", "http://a", "https:", "http", "A_B", "a_b", "A_", "a/b", "/ b", "a /", "lib.js", ".js", "x.jsx", "x.json now", "é.ts", "plain. text", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    for own, pattern in ((T.needs_exact_wording(c), V.EXACT_WORDING),):
+        assert rows.where(~own.eqNullSafe(T.match(c, pattern))).count() == 0
+    pasted = ["a=1 b=2 c=3", "a=1 b=2", "one\ntwo\nthree", "one\n\n \ntwo", "a=1\nb", "nothing"]
+    got = [one(spark, t, T.pasted_output) for t in pasted]
+    assert got == [True, False, True, False, False, False]
+    assert [one(spark, t, T.collapse) for t in (" a  b\t\nc\td ", "a b")] == ["a b c d", "a b"]
+    # alternatives behind one at the start of a line test the first character too
+    assert "|(?=[ESTest])(?:" in java(V.TOOL_OUTPUT, "im")
