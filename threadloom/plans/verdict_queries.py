@@ -147,7 +147,9 @@ def judged_rounds(spark, sf):
     keys = ["run_id", "attempt"]
     omitted = read.where(k % 2 == 0).select(*keys, F.concat(F.lit("m"), (k % 50).cast("string")).alias("id"))
     shown = read.select(*keys, F.posexplode(F.array(F.when(k % 6 == 1, "The payment gateway is slow.").otherwise("Traffic is steady."), F.when(k % 12 == 1, "Its timeout value is 30.").otherwise("Nothing else."))).alias("idx", "text"))
-    return W.retry_rounds(read, omitted, S.cited_sources(spark, sf), S.later_statements(spark, sf), shown)
+    # the sizes have their own names by now, and the reply's number is done with
+    judged = read.drop("context_tokens", "original_tokens", "k")
+    return W.retry_rounds(judged, omitted, S.cited_sources(spark, sf), S.later_statements(spark, sf), shown)
 
 
 @query(
