@@ -137,7 +137,7 @@ def context_added(entries: DataFrame) -> DataFrame:
     ``entries``: run_id, idx, entry_id and any payload columns; first attempts add nothing.
     """
     before = entries.select("run_id", (F.col("idx") + 1).alias("idx"), "entry_id")
-    return entries.where(F.col("idx") > 0).join(before, ["run_id", "idx", "entry_id"], "left_anti")
+    return entries.where(F.col("idx") > 0).join(ordered.merged(before), ["run_id", "idx", "entry_id"], "left_anti")
 
 
 # A17, A19 ----------------------------------------------------------------------
