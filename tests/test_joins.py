@@ -8,6 +8,13 @@ from pyspark.sql.readwriter import DataFrameWriter
 import __spark_entry__
 from threadloom.plans import routing_queries as Q
 
+ROUTED = [
+    "compressed_groups", "context_checks", "decision_card_texts", "decision_cards", "decision_counts", "evaluation_prompts", "expansion_items", "expansion_report",
+    "identifier_checks", "injected_memory", "memory_checks", "memory_provenance", "omission_report", "payload", "payload_entries", "retrieval_prompts",
+    "route_messages", "savings_partition", "search_needs", "search_pool", "top_omitted", "trace_sections", "understanding",
+]
+
+
 def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
@@ -48,7 +55,7 @@ def sent():
         yield found
 
 
-@pytest.mark.parametrize("name", ["attempt_details"])
+@pytest.mark.parametrize("name", ["attempt_details", *ROUTED])
 def test_nothing_is_broadcast(spark, folder, sent, name):
     sent.clear()
     out = __spark_entry__.queries()[name](spark, folder)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import fixed_values as V
 from threadloom.functions import text as T
 from threadloom.functions.reply_text import STRICT, first_object
-from threadloom.operators import annotate, verdicts
+from threadloom.operators import annotate, ordered, verdicts
 
 KEYS = ["conv_id", "req_turn"]
 _MEMBER = "id string, type string, protected boolean, protection_reason string, memory array<string>, complete boolean"
@@ -57,7 +57,7 @@ def classifications(replies: DataFrame, asked: DataFrame) -> DataFrame:
     rows = _members(replies, "results").where(F.col("member").startswith("{")).withColumn("r", F.from_json("member", _MEMBER, STRICT))
     rows = rows.select("conv_id", "batch", "place", "r.*").withColumnRenamed("id", "_id")
     named = asked.select("conv_id", "batch", "turn", F.col("turn").cast("string").alias("_id")).distinct()
-    rows = rows.join(named, ["conv_id", "batch", "_id"])
+    rows = rows.join(ordered.merged(named), ["conv_id", "batch", "_id"])
     parsed = F.transform(F.filter(F.coalesce("memory", F.array().cast("array<string>")), lambda m: m.startswith("{")), lambda m: F.from_json(m, _STATEMENT, STRICT))
 
     def statement(m):
@@ -84,7 +84,7 @@ def annotations_with(annotated: DataFrame, classified: DataFrame) -> DataFrame:
     said = classified.select("conv_id", "turn", F.col("statements").alias("_said"))
     open_ = annotated.where(F.col("ambiguous") & (F.col("role") == "user")).select("conv_id", "turn")
     merged = annotate.merge_model_annotations(annotated, classified.drop("statements"))
-    merged = merged.join(said.join(open_, ["conv_id", "turn"], "left_semi"), ["conv_id", "turn"], "left")
+    merged = merged.join(ordered.merged(said.join(ordered.merged(open_), ["conv_id", "turn"], "left_semi")), ["conv_id", "turn"], "left")
     kind = annotated.schema["statements"].dataType
     more = F.coalesce(F.col("_said"), F.array().cast(STATEMENTS)).cast(kind)
     return merged.withColumn("statements", F.concat(F.coalesce("statements", F.array().cast(kind)), more)).drop("_said")
@@ -101,13 +101,13 @@ def summary_results(replies: DataFrame, asked: DataFrame) -> DataFrame:
     rows = rows.select(*KEYS, "place", F.col("r.id").alias("_id"), T.strip(F.coalesce("r.summary", F.lit(""))).alias("summary")).where(F.col("summary") != "")
     wanted = asked.select(*KEYS, "turn", "text").dropDuplicates([*KEYS, "turn"])
     named = wanted.select(*KEYS, "turn", F.col("turn").cast("string").alias("_id"))
-    given = rows.join(named, [*KEYS, "_id"]).drop("_id")
+    given = rows.join(ordered.merged(named), [*KEYS, "_id"]).drop("_id")
     checked = verdicts.check_summaries(given, wanted.select(*KEYS, "turn", "text"), [*KEYS, "turn"])
     # the last accepted one, else the first rejection
     order = F.struct("accepted", F.when(F.col("accepted"), F.col("place")).otherwise(-F.col("place")))
     best = checked.groupBy(*KEYS, "turn").agg(F.max_by(F.struct("accepted", "summary", "reason"), order).alias("_r"))
     answered = with_object(replies).where(F.col("doc").isNotNull()).select(*KEYS).distinct()
-    out = wanted.join(answered, KEYS, "left_semi").join(best, [*KEYS, "turn"], "left")
+    out = wanted.join(ordered.merged(answered), KEYS, "left_semi").join(ordered.merged(best), [*KEYS, "turn"], "left")
     message_id = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     accepted = F.coalesce("_r.accepted", F.lit(False))
     return out.select(
@@ -128,10 +128,10 @@ def selected_messages(replies: DataFrame, pool: DataFrame, requests: DataFrame)
     """
     named = _members(replies, "ids").withColumnRenamed("member", "_id")
     offered = pool.select(*KEYS, "turn", F.col("turn").cast("string").alias("_id")).distinct()
-    rows = named.join(offered, [*KEYS, "_id"])
+    rows = named.join(ordered.merged(offered), [*KEYS, "_id"])
     # a reply is one row, and so are the places of its ids
     chosen = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("place", "turn"))).alias("_t"))
     back = F.col("follow_up") | F.col("reference").isNotNull()
     limits = requests.select(*KEYS, F.when(back, V.FOLLOW_UP_SELECTED).otherwise(V.SELECTED).alias("_limit"))
-    chosen = chosen.join(limits, KEYS).select(*KEYS, F.explode(F.array_distinct(F.slice(F.col("_t.turn"), F.lit(1), F.col("_limit")))).alias("turn"))
+    chosen = chosen.join(ordered.merged(limits), KEYS).select(*KEYS, F.explode(F.array_distinct(F.slice(F.col("_t.turn"), F.lit(1), F.col("_limit")))).alias("turn"))
     return chosen.withColumn("score", F.lit(V.SEMANTIC_RETRIEVAL_SCORE))
